@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontam, linededup, urlfilter, warc
+from helixframe.llm import decontam, linededup, minhash, urlfilter, warc
 from helixframe.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -31,7 +35,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op7_line_dedup, op8_decontamination, op10_url_filter)
+    f.__name__: f for f in (op1_warc, op5_minhash, op7_line_dedup, op8_decontamination, op10_url_filter)
 }
 
 OP1_SQL = """
@@ -53,6 +57,29 @@ select d.page_id, cast(d.payload_bytes as bigint) as payload_bytes,
 from d join o using (h)
 """
 
+OP5_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as g
+  from w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) as t(i) where len(w) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), e as (
+  select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id
+  join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+), r as (
+  select doc_id, doc_id as other from documents
+  union select r.doc_id, e.b from r join e on r.other = e.a
+), c as (
+  select doc_id, min(other) as component_id from r group by doc_id
+)
+select c.doc_id, coalesce(n.n, 0) as n_shingles, component_id, c.doc_id = component_id as kept
+from c left join n using (doc_id)
+"""
+
 OP7_SQL = """
 with l as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -105,6 +132,7 @@ from dw left join hits on dw.doc_id = hits.doc_id left join its on dw.doc_id = i
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op5_minhash": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_decontamination": OP8_SQL,
 }
