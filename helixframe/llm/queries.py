@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontam, linededup, minhash, urlfilter, warc
+from helixframe.llm import decontam, langid, linededup, minhash, urlfilter, warc
 from helixframe.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op5_minhash, op7_line_dedup, op8_decontamination, op10_url_filter)
+    f.__name__: f for f in (op1_warc, op4_language_id, op5_minhash, op7_line_dedup, op8_decontamination, op10_url_filter)
 }
 
 OP1_SQL = """
