@@ -94,7 +94,7 @@ def add_batch(runs: LineRuns, docs: DataFrame, min_chars: int = MIN_CHARS) -> Da
     runs.add(owned.filter("new"))
     shared = owned.filter("last > owner").select("h", "owner")
     verdict_path = new_path(runs.spark, "line-drops")
-    dropped = lines.join(shared, "h").filter("doc > owner")
+    dropped = lines.join(shared.hint("merge"), "h").filter("doc > owner")
     dropped.groupBy("doc").agg(F.collect_list("pos").alias("drops")).write.parquet(verdict_path)
     discard(owned)
     return runs.spark.read.schema("doc long, drops array<int>").parquet(verdict_path)
@@ -157,7 +157,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     own = ("kept_text", "n_lines", "n_dropped", "kept_sha256")
     base = docs.drop(*own) if id_col not in own and text_col not in own else docs
     wide = base.withColumns({"_hf_id": F.col(id_col).cast("long"), "_hf_text": F.col(text_col)}).join(
-        verdicts.withColumnsRenamed({"doc": "_hf_doc", "drops": "_hf_drops"}), F.col("_hf_id") == F.col("_hf_doc"), "left"
+        verdicts.withColumnsRenamed({"doc": "_hf_doc", "drops": "_hf_drops"}).hint("merge"), F.col("_hf_id") == F.col("_hf_doc"), "left"
     )
     keep = [f for f in wide.schema.fields if not f.name.startswith("_hf_")]
     schema = T.StructType([*keep, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()),
