@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontam, langid, linededup, minhash, urlfilter, warc
+from helixframe.llm import decontam, langid, linededup, minhash, packing, urlfilter, warc
 from helixframe.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -39,7 +43,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op4_language_id, op5_minhash, op7_line_dedup, op8_decontamination, op10_url_filter)
+    f.__name__: f for f in (op1_warc, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op10_url_filter)
 }
 
 OP1_SQL = """
