@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontam, langid, linededup, minhash, packing, urlfilter, warc
+from helixframe.llm import decontam, langid, linededup, minhash, packing, substring, urlfilter, warc
 from helixframe.llm.common import read_table
 
 
@@ -16,6 +16,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op10_url_filter)
+    f.__name__: f for f in (op1_warc, op3_suffix_dedup, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op10_url_filter)
 }
 
 OP1_SQL = """
