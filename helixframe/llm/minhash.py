@@ -223,12 +223,10 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, p: Params) ->
 
 
 def _within(rows: DataFrame, p: Params) -> DataFrame:
-    """Links between members of different components in each (bucket, chunk pair)."""
+    """Links between the left and the right rows of each (bucket, ci, cj)."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, sig, full = (table.column(c).to_pylist() for c in ("node", "sig", "shingles"))
-        comp = table.column("comp").to_pylist()
-        side = table.column("side").to_pylist()
+        node, sig, full, comp, left = (table.column(c).to_pylist() for c in ("node", "sig", "shingles", "comp", "left"))
         sigs = np.frombuffer(b"".join(sig), np.uint8).reshape(len(node), -1)
         root = {c: c for c in comp}
 
@@ -238,11 +236,11 @@ def _within(rows: DataFrame, p: Params) -> DataFrame:
             return c
 
         out = []
-        for i in range(len(node)):
-            agree = (sigs[i] == sigs[i + 1 :]).mean(1) >= p.low
-            for j in (np.flatnonzero(agree) + i + 1).tolist():
+        right = np.array([i for i in range(len(node)) if not left[i]], int)
+        for i in (i for i in range(len(node)) if left[i]):
+            for j in right[(sigs[right] == sigs[i]).mean(1) >= p.low].tolist():
                 a, b = find(comp[i]), find(comp[j])
-                if a != b and (side[i] != side[j] or side[i] == 2) and linked(full[i], full[j], p.percent):
+                if a != b and linked(full[i], full[j], p.percent):
                     root[a] = b
                     out.append((node[i], node[j]))
         return pa.table([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
@@ -261,10 +259,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with the same id.  Other columns are ignored.
 
     Sets are merged by a 128-bit digest before banding, so copies cost one row
-    each.  A bucket's members are compared with one centre, round by round, and
-    members that are still in different components afterwards in chunks of
-    ``CHUNK`` by ``CHUNK``; every shared bucket is decided exactly, with rows
-    in proportion to the members and no list of all pairs.
+    each.  Members of a bucket of at most ``CHUNK`` are compared with each
+    other.  Those of a larger one are compared with one centre, round by round,
+    and what is still in different components afterwards in chunks of ``CHUNK``
+    by ``CHUNK``; every shared bucket is decided exactly, with rows in
+    proportion to the members and no list of all pairs.
     """
     p = params
     ids = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
@@ -284,35 +283,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ).filter("size > 1")
     # buckets of several bands with the same members are one
     shared = shared.groupBy("size", "who", "centre").agg(F.min("bucket").alias("bucket"))
-    members = store(spread.join(shared.select("bucket"), "bucket"), "members")
+    members = store(spread.join(shared.select("bucket", "size"), "bucket"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = wanted.join(ids, F.col("rep") == F.col("doc")).select("node", "text")
     sets = store(texts.mapInArrow(lambda b: _sets(b, p), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
     sigs = nodes.select("node", "sig")
 
+    small = members.filter(F.col("size") <= CHUNK)
+    other = small.select("bucket", F.col("node").alias("b"))
+    pairs = small.select("bucket", F.col("node").alias("a")).join(other, "bucket").filter("a > b").select("a", "b")
+    active = members.filter(F.col("size") > CHUNK).select("bucket", "node", F.col("node").alias("comp"))
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    active = members
     for turn in range(STAR_ROUNDS + 1):
-        if labels is not None:
-            seen = active.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-            now = store(seen.join(mixed.select("bucket"), "bucket").select("bucket", "node", "comp"), "active")
-        else:
-            now = active.withColumn("comp", F.col("node"))
-        if turn and not now.limit(1).count():
-            break
         if turn == STAR_ROUNDS:
-            found = _blocks(now, sigs, sets, p)
+            found = _blocks(active, sigs, sets, p)
         else:
-            centre = now.groupBy("bucket").agg(F.min("node").alias("b"), F.min_by("comp", "node").alias("of"))
-            pairs = now.join(centre, "bucket").filter("node <> b and comp <> of").select(F.col("node").alias("a"), "b").distinct()
-            found = _confirmed(pairs, sigs, sets, p)
-            active = now.join(centre.select("bucket", "b"), "bucket").filter("node <> b").select("bucket", "node")
+            centre = active.groupBy("bucket").agg(F.min("node").alias("b"), F.min_by("comp", "node").alias("of"))
+            star = active.join(centre, "bucket").filter("node <> b and comp <> of").select(F.col("node").alias("a"), "b")
+            found = _confirmed((pairs.unionByName(star) if turn == 0 else star).distinct(), sigs, sets, p)
+            active = active.join(centre, "bucket").filter("node <> b").select("bucket", "node")
         fresh = store(found, "links")
         links = fresh if links is None else links.unionByName(fresh)
         if fresh.limit(1).count():
             labels = components(links)
+        if turn == STAR_ROUNDS:
+            break
+        if labels is not None:
+            active = active.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        else:
+            active = active.withColumn("comp", F.col("node"))
+        mixed = active.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        active = store(active.join(mixed.select("bucket"), "bucket").select("bucket", "node", "comp"), "active")
+        if not active.limit(1).count():
+            break
     out = described.select("doc", "n", "node")
     if labels is not None:
         lowest = nodes.join(labels, "node").groupBy("comp").agg(F.min("rep").alias("low"))
@@ -329,12 +333,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _blocks(now: DataFrame, sigs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Compare the members of each bucket chunk by chunk."""
-    sizes = now.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    rows = now.join(sizes, "bucket").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
-    rows = rows.select("bucket", "node", "comp", "c", other).select(
-        "bucket", "node", "comp", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"),
-        F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).alias("side"),
-    )
-    return _within(rows.join(sigs, "node").join(sets, "node"), p)
+    """Compare members of different components in each bucket, chunk by chunk.
+
+    The members of a bucket's largest component need no comparison with each
+    other: chunks of the others (left) meet chunks of all members (right).
+    """
+    parts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    rows = now.join(parts, "bucket").withColumns({
+        "cl": F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int"), "cr": F.ceil(F.col("all") / CHUNK).cast("int"),
+    })
+    chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter("comp <> major").select("bucket", "node", "comp", chunk("cl").alias("ci"), each("cr").alias("cj"), F.lit(True).alias("left"))
+    right = rows.select("bucket", "node", "comp", each("cl").alias("ci"), chunk("cr").alias("cj"), F.lit(False).alias("left"))
+    return _within(left.unionByName(right).join(sigs, "node").join(sets, "node"), p)
