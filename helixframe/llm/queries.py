@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontam, langid, linededup, minhash, packing, substring, urlfilter, warc
+from helixframe.llm import decontam, langid, linededup, minhash, packing, substring, topk, toxicity, urlfilter, warc
 from helixframe.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -43,12 +47,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    labels = read_table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
+    labels = labels.select("doc_id", grade.alias("grade"))
+    return toxicity.assess(read_table(spark, sf_dir, "documents"), labels).select("doc_id", "severity", "grade", "toxic")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op3_suffix_dedup, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op10_url_filter)
+    f.__name__: f for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filter)
 }
 
 OP1_SQL = """
@@ -70,6 +82,20 @@ select d.page_id, cast(d.payload_bytes as bigint) as payload_bytes,
 from d join o using (h)
 """
 
+OP2_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q
+  from embeddings where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q::double[], b.q::double[]) as bigint) as score
+  from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select * from r where rank <= 10
+"""
+
 OP5_SQL = """
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -145,6 +171,7 @@ from dw left join hits on dw.doc_id = hits.doc_id left join its on dw.doc_id = i
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op2_topk": OP2_SQL,
     "op5_minhash": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_decontamination": OP8_SQL,
