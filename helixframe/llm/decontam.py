@@ -221,12 +221,13 @@ def _report(batches: Iterator[pa.RecordBatch], drop: tuple[str, ...], share: int
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20,
-                  pass_bytes: int = PASS_BYTES) -> DataFrame:
+                  pass_bytes: int = PASS_BYTES, keep: bool = False) -> DataFrame:
     """Words of each document inside any window of a benchmark item.
 
     Returns one row per input row: the id, ``n_words``, ``n_hit``, ``n_items``,
     ``items`` (sorted ids, as strings), ``items_sha256`` and ``contaminated``
-    (``n_hit > 0 and share * n_hit >= n_words``).
+    (``n_hit > 0 and share * n_hit >= n_words``); with ``keep`` all columns of
+    ``docs`` in place of the id.
 
     Null and empty texts have no words and are not contaminated.  An item
     without words has no window; an item with a null id hits words but is not
@@ -241,8 +242,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-size // pass_bytes))
+    mine = docs.columns if keep else [id_col]
     out = docs.select(
-        F.col(id_col),
+        *mine,
         F.col(text_col).alias("_hf_text"),
         F.lit(0).cast("long").alias("_hf_words"),
         F.lit(None).cast("array<bigint>").alias("_hf_spans"),
@@ -253,7 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         held = spark.sparkContext.broadcast(Matcher([(r.item, r.text) for r in part.collect()], window))
         out = out.mapInArrow(lambda b, held=held: _scan(b, held, "_hf_text"), out.schema)
     schema = T.StructType(
-        [docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+        [*(docs.schema[c] for c in mine), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
          T.StructField("n_items", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
          T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
     )

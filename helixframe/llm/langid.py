@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.llm.common import utf8_runs
 
@@ -158,13 +159,19 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS) -> Profiles:
     return Profiles(languages, prototypes.astype(np.float32))
 
 
-def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row, without a shuffle."""
+def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every row, without a shuffle.
+
+    With ``keep`` all columns of ``docs`` stay and the last three are added.
+    """
     held = docs.sparkSession.sparkContext.broadcast(profiles)
+    slim = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_name, text_name = (id_col, text_col) if keep else ("doc_id", "text")
+    names = slim.columns if keep else ["doc_id"]
 
     def run(batches):
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
+            ids, text = batch.column(id_name), batch.column(text_name)
             langs, scores = [], []
             for start, end, _, _ in utf8_runs(text, RUN_BYTES):
                 part = [t or "" for t in text.slice(start, end - start).to_pylist()]
@@ -172,16 +179,16 @@ def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text
                 langs += lang
                 scores.append(score)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(held_out(ids.to_pylist())), pa.array(langs, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))],
-                ["doc_id", "held_out", "lang_pred", "score"],
-            )
+                [*(batch.column(c) for c in names), pa.array(held_out(ids.to_pylist())), pa.array(langs, pa.string()),
+                 pa.array(np.concatenate(scores or [np.zeros(0)]))],
+                [*names, "held_out", "lang_pred", "score"],
+            )
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    added = [T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return slim.mapInArrow(run, T.StructType([*(slim.schema[c] for c in names), *added]))
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False) -> DataFrame:
     """Learn from the labelled rows that are not held out, then predict every row.
 
     A row is held out if crc32 of its id, as text, has the remainder 2 modulo 4;
@@ -192,4 +199,5 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     out = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
     learn = docs.filter(F.col(lang_col).isNotNull() & ~F.coalesce(out, F.lit(False)))
-    return predict(docs, train(learn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))), id_col=id_col, text_col=text_col)
+    profiles = train(learn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
+    return predict(docs, profiles, id_col=id_col, text_col=text_col, keep=keep)

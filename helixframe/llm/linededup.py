@@ -155,7 +155,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     for level in runs.levels:
         discard(*level)
     own = ("kept_text", "n_lines", "n_dropped", "kept_sha256")
-    base = docs.drop(*own) if id_col not in own and text_col not in own else docs
+    base = docs.drop(*(c for c in own if c not in (id_col, text_col)))
     wide = base.withColumns({"_hf_id": F.col(id_col).cast("long"), "_hf_text": F.col(text_col)}).join(
         verdicts.withColumnsRenamed({"doc": "_hf_doc", "drops": "_hf_drops"}).hint("merge"), F.col("_hf_id") == F.col("_hf_doc"), "left"
     )

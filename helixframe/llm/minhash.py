@@ -145,12 +145,13 @@ def _describe(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(start, end - start),
+                    batch.column(2).slice(start, end - start),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_node(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(short, pa.binary()),
                 ],
-                ["doc", "n", "node", "bands", "sig"],
+                ["doc", "mark", "n", "node", "bands", "sig"],
             )
 
 
@@ -248,9 +249,12 @@ def _within(rows: DataFrame, p: Params) -> DataFrame:
     return rows.groupBy("bucket", "ci", "cj").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: Params = Params(),
+                    with_mark: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
+    ``with_mark`` adds xxhash64 of the text, which tells rows of one id apart.
+
     Words are runs of other than ASCII white space with A-Z in lower case; a
     text with fewer words than a shingle has its whole sequence as the one
     shingle.  Null and empty texts have no shingles and link with nothing:
@@ -266,10 +270,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     proportion to the members and no list of all pairs.
     """
     p = params
-    ids = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    ids = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
     kind = ids.schema["doc"].dataType.simpleString()
     described = store(
-        ids.mapInArrow(lambda b: _describe(b, p), f"doc {kind}, n long, node binary, bands array<bigint>, sig binary"), "minhash"
+        ids.mapInArrow(lambda b: _describe(b, p), f"doc {kind}, mark long, n long, node binary, bands array<bigint>, sig binary"), "minhash"
     )
     nodes = store(
         described.filter("doc is not null and node is not null")
@@ -317,7 +321,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         active = store(active.join(mixed.select("bucket"), "bucket").select("bucket", "node", "comp"), "active")
         if not active.limit(1).count():
             break
-    out = described.select("doc", "n", "node")
+    out = described.select("doc", "mark", "n", "node")
     if labels is not None:
         lowest = nodes.join(labels, "node").groupBy("comp").agg(F.min("rep").alias("low"))
         of_node = labels.join(lowest, "comp").select("node", "low")
@@ -328,7 +332,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = F.when(F.col("doc").isNotNull(), F.coalesce("own", "doc"))
     return out.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"),
-        F.coalesce(own == F.col("doc"), F.lit(True)).alias("kept"),
+        F.coalesce(own == F.col("doc"), F.lit(True)).alias("kept"), *(["mark"] if with_mark else []),
     )
 
 
