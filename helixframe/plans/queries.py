@@ -198,9 +198,9 @@ def gene_concordant(spark, d):
 
 
 REGIONS = """, bodies as (select chr, r_start, r_end + 200 as r_end, gene, gene_reverse from genes)
-, g as (select a.read_id, bool_or(r_start < "end" and genes_end > "start") as ex, bool_or(gene_reverse = is_reverse) as sense, bool_or(gene_reverse <> is_reverse) as anti
+, g as (select a.read_id, bool_or(r_start < "end" and genes_end > "start") as ex, bool_or(gene_reverse = is_reverse) as sense, bool_or(gene_reverse <> is_reverse) as opposite
   from aln a join (select *, r_end - 200 as genes_end from bodies) b on a.chr = b.chr and b.r_start < a."end" and b.r_end > a."start" group by a.read_id)
-, r as (select a.read_id, case when ex then 'exonic' when sense is not null then 'intronic' else 'intergenic' end as region, coalesce(anti and not sense, false) as antisense
+, r as (select a.read_id, case when ex then 'exonic' when sense is not null then 'intronic' else 'intergenic' end as region, coalesce(opposite and not sense, false) as antisense
   from (select distinct read_id from aln) a left join g using (read_id))"""
 
 
