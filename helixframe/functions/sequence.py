@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clean_bases(seq: Column) -> Column:
-    """Upper-case bases; everything but A, C, G, T is N."""
-    return F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
+    """Upper-case bases, one for each character; everything but A, C, G, T is N."""
+    return F.regexp_replace(F.translate(seq, "acgt", "ACGT"), "[^ACGT]", "N")
 
 
 def reverse_complement(seq: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CB_BASES = 8
+LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,7 +123,7 @@ def scored(spark, d):
 
 def sequences(spark, d):
     """(doc_id, seq): letters of a text as bases, others N."""
-    s = F.upper(F.coalesce("text", F.lit("")))
+    s = F.translate(F.coalesce("text", F.lit("")), LOWER, LOWER.upper())
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.translate(s, "EOISNRHLDUMFPGWYBV", "ACGTACGTACGTACGTAC"), "[^ACGT]", "N").alias("seq"))
 
 
@@ -159,7 +160,7 @@ SQL = {
     "scored": f"""select distinct l_orderkey as read_id, l_suppkey % 5 as chr, {READ_ID} as "start", l_returnflag = 'R' as is_reverse,
         cast(floor(l_quantity) as integer) + 50 as score, l_linenumber % 3 as n_junction, 100 as read_len,
         cast(floor(l_quantity) as integer) + 50 as n_match, l_partkey % 14 as n_mismatch from lineitem""",
-    "seqs": """select doc_id, regexp_replace(translate(upper(coalesce(text, '')), 'EOISNRHLDUMFPGWYBV', 'ACGTACGTACGTACGTAC'), '[^ACGT]', 'N', 'g') as seq
+    "seqs": """select doc_id, regexp_replace(translate(translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'EOISNRHLDUMFPGWYBV', 'ACGTACGTACGTACGTAC'), '[^ACGT]', 'N', 'g') as seq
         from documents""",
     "chain": "select n_nationkey % 5 as chr, n_nationkey * 4000 as s1, n_nationkey * 4100 + 7 as s2, n_nationkey * 10 + 3000 as len from nation",
 }
