@@ -65,14 +65,17 @@ class LineRuns:
 
 
 def batch_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, pos, h) of every line whose key has at least ``min_chars`` characters."""
-    lines = docs.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    key = lines.select("doc", "pos", line_key(F.col("line")).alias("key"))
-    return key.filter(F.length("key") >= min_chars).select("doc", "pos", F.unhex(F.md5("key")).alias("h"))
+    """(doc, mark, pos, h) of every line whose key has at least ``min_chars`` characters.
+
+    ``mark`` is a hash of the text, which tells rows of one id apart.
+    """
+    lines = docs.select("doc", F.xxhash64("text").alias("mark"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    key = lines.select("doc", "mark", "pos", line_key(F.col("line")).alias("key"))
+    return key.filter(F.length("key") >= min_chars).select("doc", "mark", "pos", F.unhex(F.md5("key")).alias("h"))
 
 
 def add_batch(runs: LineRuns, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Verdicts (doc, positions to drop) of one batch; its new hashes join the runs.
+    """Verdicts (doc, mark, positions to drop) of one batch; its new hashes join the runs.
 
     ``docs`` has columns ``doc`` and ``text``.  A hash belongs to the batch that
     first held it and there to the smallest doc; every line with it in another
@@ -95,9 +98,9 @@ def add_batch(runs: LineRuns, docs: DataFrame, min_chars: int = MIN_CHARS) -> Da
     shared = owned.filter("last > owner").select("h", "owner")
     verdict_path = new_path(runs.spark, "line-drops")
     dropped = lines.join(shared.hint("merge"), "h").filter("doc > owner")
-    dropped.groupBy("doc").agg(F.collect_list("pos").alias("drops")).write.parquet(verdict_path)
+    dropped.groupBy("doc", "mark").agg(F.collect_set("pos").alias("drops")).write.parquet(verdict_path)
     discard(owned)
-    return runs.spark.read.schema("doc long, drops array<int>").parquet(verdict_path)
+    return runs.spark.read.schema("doc long, mark long, drops array<int>").parquet(verdict_path)
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +159,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         discard(*level)
     own = ("kept_text", "n_lines", "n_dropped", "kept_sha256")
     base = docs.drop(*(c for c in own if c not in (id_col, text_col)))
+    same = (F.col("_hf_id") == F.col("_hf_doc")) & (F.xxhash64("_hf_text") == F.col("_hf_mark"))
     wide = base.withColumns({"_hf_id": F.col(id_col).cast("long"), "_hf_text": F.col(text_col)}).join(
-        verdicts.withColumnsRenamed({"doc": "_hf_doc", "drops": "_hf_drops"}).hint("merge"), F.col("_hf_id") == F.col("_hf_doc"), "left"
+        verdicts.withColumnsRenamed({"doc": "_hf_doc", "mark": "_hf_mark", "drops": "_hf_drops"}).hint("merge"), same, "left"
     )
     keep = [f for f in wide.schema.fields if not f.name.startswith("_hf_")]
     schema = T.StructType([*keep, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()),
