@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,3 +129,46 @@ def cigar_introns(start: Column, cigar: Column) -> Column:
     )
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
     return F.aggregate(cigar, F.struct(start.cast("long").alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+
+#: Motif codes of donor and acceptor bases, and the primer of 5' libraries.
+MOTIFS = {"GTAG": 1, "CTAC": 2, "GCAG": 3, "CTGC": 4, "ATAC": 5, "GTAT": 6}
+PRIMER = "AAGCAGTGGTATCAACGCAGAGTACATGGG"
+
+
+def splice_motif(donor: Column, acceptor: Column) -> Column:
+    """Motif code of an intron's first and last two bases, 0 for none of the known ones."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in MOTIFS.items() for x in pair)), F.concat(donor, acceptor)), F.lit(0))
+
+
+def primer_clips(seq: Column, most: int = 3, tail: int = 8) -> tuple[Column, Column]:
+    """Bases to clip at the start (the primer with up to ``most`` mismatches) and at the end (A's, if there are ``tail``)."""
+    unlike = sum((F.substring(seq, i + 1, 1) != b).cast("int") for i, b in enumerate(PRIMER))
+    five = F.when((F.length(seq) >= len(PRIMER)) & (unlike <= most), len(PRIMER)).otherwise(0)
+    run = F.least(F.length(seq) - F.length(F.rtrim(seq, F.lit("A"))), F.length(seq) - five)
+    return five, F.when(run >= tail, run).otherwise(0)
+
+
+def adapter_offset(seq: Column, adapter: str, share: float) -> Column:
+    """Where an adapter begins that may run past the end: most matches, then fewest mismatches, then first.
+
+    Mismatches may be ``share`` of the matches; N counts as neither.  Without
+    such a place it is the length of the sequence.
+    """
+
+    def places(column: pd.Series) -> pd.Series:
+        y = np.frombuffer(adapter.encode(), np.uint8)
+        out = []
+        for s in column:
+            x = np.frombuffer((s or "").encode(), np.uint8)
+            same, other = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+            for i, base in enumerate(y[: len(x)]):
+                part = x[i:]
+                hit = part == base
+                same[: len(part)] += hit
+                other[: len(part)] += ~hit & (part != 0x4E)
+            good = np.flatnonzero((same > 0) & (other <= share * same))
+            out.append(int(good[(same[good] * (len(y) + 1) - other[good]).argmax()]) if len(good) else len(x))
+        return pd.Series(out, dtype="int32")
+
+    return F.pandas_udf(places, "int")(seq)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators.ranking import adjust_p
+from helixframe.operators.ranking import adjust_p, global_rank
 
 
 def top_cells(cells: DataFrame, n: int) -> DataFrame:
@@ -138,3 +138,28 @@ def umi_rank(cells: DataFrame, first: int, last: int) -> DataFrame:
     from helixframe.operators.ranking import global_rank
 
     return global_rank(cells, [F.col("n_umis").desc(), F.col("cb")]).filter(F.col("rank").between(first, last))
+
+
+def read_stats(reads: DataFrame) -> DataFrame:
+    """Counters of each barcode over reads (cb, region, antisense); -1 holds reads without a listed barcode."""
+    n = lambda test: F.sum(test.cast("long"))
+    region = lambda name: n(F.col("region") == name).alias(name)
+    return reads.groupBy(F.coalesce("cb", F.lit(-1)).alias("cb")).agg(
+        F.count(F.lit(1)).alias("reads"), region("exonic"), region("intronic"), region("intergenic"), n(F.col("antisense")).alias("antisense")
+    )
+
+
+def read_counts(assigned: DataFrame) -> DataFrame:
+    """(cell, gene, value): reads of one gene, for libraries without molecule tags."""
+    return assigned.filter("status = 'gene'").groupBy("cell", "gene").agg(F.count(F.lit(1)).alias("value"))
+
+
+def ambient(counts: DataFrame, first: int, last: int) -> DataFrame:
+    """(gene, value) summed over the barcodes of rank ``first`` to ``last``, from 1 by descending count."""
+    cells = counts.groupBy("cb").agg(F.sum("value").alias("n_umis"))
+    return counts.join(umi_rank(cells, first, last).select("cb"), "cb").groupBy("gene").agg(F.sum("value").alias("value"))
+
+
+def filtered_matrix(counts: DataFrame, called: DataFrame) -> DataFrame:
+    """(gene, col, value) of the called cells, their columns numbered from 1 in order of barcode."""
+    return counts.join(global_rank(called, [F.col("cb")], "col"), "cb").select("gene", "col", "value")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
@@ -18,20 +15,7 @@ from helixframe.operators import molecules as M
 from helixframe.operators.ranking import adjust_p
 from helixframe.plans import adapters as V
 from helixframe.plans.adapters import with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from helixframe.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 MOLS = ", m as (select cb, umi, gene, cast(sum(n) as bigint) as reads from sparse group by cb, umi, gene)"
 DMOLS = ", m as (select cb, umi, gene, count(*) as reads from dense group by cb, umi, gene)"
@@ -80,6 +64,7 @@ def umi_dedup_1mm_all(spark, d):
     return M.count_components(_sparse(spark, d), 5)
 
 
+# The two greedy rules have no SQL form: the tests hold them against a serial version.
 @query()
 def umi_dedup_directional(spark, d):
     return M.count_directional(_sparse(spark, d), 5)
