@@ -4,7 +4,8 @@ A 400-byte string that occurs twice has the same smallest gram hash at the same
 place in both, so every window of 400 bytes belongs to one anchor, and equal
 windows to equal anchors.  The windows of one anchor form a segment of text.
 Segments whose anchor is unique hold no repeat; equal segments are counted, not
-compared; the others meet by anchor, where a Burrows-Wheeler transform of their
+compared.  A window reaches at least half of its spare bytes to one side of its
+anchor, so the others meet by their anchor with either half around it, where a Burrows-Wheeler transform of their
 texts is searched: intervals are extended backwards, breadth first, which gives
 the common prefixes in increasing order of length, up to the minimum length.
 """
@@ -28,7 +29,7 @@ MIN_BYTES = 400
 GRAM = 32
 RUN_BYTES = 1 << 20
 #: Bytes of segments that one transform takes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Segments of one anchor that may differ before its windows are counted one by one.
 MANY = 4096
 
@@ -47,12 +48,16 @@ def _hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, off: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each text: (text, anchor hash, digest, first window, windows) of its segments."""
+    """Of each text: (text, anchor hash, digest, first window, windows, left, right) of its segments.
+
+    ``left`` and ``right`` are hashes of the anchor with half a window's other
+    bytes before or after it, 0 where the segment has fewer.
+    """
     width = size - gram + 1
     n = len(data)
     nothing = np.zeros(0, np.int64)
     if n < size:
-        return nothing, nothing, nothing, nothing, nothing
+        return (nothing,) * 7
     sums = _sums(data)
     _, down = _powers(n + 1)
     places = n - gram + 1
@@ -79,21 +84,26 @@ def segments(data: np.ndarray, off: np.ndarray, size: int, gram: int) -> tuple[n
     # the windows of a text that fit come first in its run of one anchor
     digest = _hash(sums, head, head + count - 1 + size)
     of = text[head]
-    return of, hashes[anchor[head]].view(np.int64), digest.view(np.int64), head - off[of], count
+    at, end, half = anchor[head], head + count - 1 + size, (size - gram + 1) // 2
+    has = at - half >= head, at + gram + half <= end
+    sides = [np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)]
+    sides[0][has[0]] = _hash(sums, at[has[0]] - half, at[has[0]] + gram).view(np.int64)
+    sides[1][has[1]] = _hash(sums, at[has[1]], at[has[1]] + gram + half).view(np.int64)
+    return of, hashes[at].view(np.int64), digest.view(np.int64), head - off[of], count, *sides
 
 
 def _scan(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, end, data, off in utf8_runs(batch.column(2), RUN_BYTES):
-            of, h, d, first, n = segments(data, off, size, gram)
+            of, *rest = segments(data, off, size, gram)
             rows = pa.array(of + start)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h), pa.array(d), pa.array(first), pa.array(n)],
-                ["doc", "mark", "h", "d", "first", "n"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, rest)],
+                ["doc", "mark", "h", "d", "first", "n", "left", "right"],
             )
 
 
-SEGMENT = "doc long, mark long, h long, d long, first long, n long"
+SEGMENT = "doc long, mark long, h long, d long, first long, n long, left long, right long"
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -206,13 +216,13 @@ def _runs(hit: np.ndarray) -> list[int]:
 
 
 def _transform(batches: Iterator[pa.RecordBatch], size: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by anchor -> (h, d, n, spans of window starts that repeat)."""
-    held: list[tuple[int, int, int, int, bytes]] = []
+    """Segments sorted by group -> (h, d, n, spans of window starts that repeat)."""
+    held: list[tuple[int, int, int, int, int, bytes]] = []
     total = 0
 
     def flush(rows):
-        hits = repeated_windows([r[4] for r in rows], [r[2] for r in rows], size)
-        out = [(r[0], r[1], r[2], [0, r[2]] if r[3] > 1 else _runs(x)) for r, x in zip(rows, hits)]
+        hits = repeated_windows([r[5] for r in rows], [r[3] for r in rows], size)
+        out = [(*r[1:4], _runs(x)) for r, x in zip(rows, hits) if r[4] == 1]
         out = [r for r in out if r[3]]
         cols = list(zip(*out)) if out else [()] * 4
         return pa.RecordBatch.from_arrays(
@@ -220,13 +230,13 @@ def _transform(batches: Iterator[pa.RecordBatch], size: int, chunk: int) -> Iter
         )
 
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("h", "d", "n", "c", "bytes")))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("g", "h", "d", "n", "c", "bytes")))
         for row in rows:
             if total >= chunk and row[0] != held[-1][0]:
                 yield flush(held)
                 held, total = [], 0
             held.append(row)
-            total += len(row[4])
+            total += len(row[5])
     if held:
         yield flush(held)
 
@@ -242,52 +252,55 @@ def _cut_out(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         out = []
         for packed, wanted in zip(batch.column("packed"), batch.column("wanted").to_pylist()):
             raw = zlib.decompress(packed.as_py())
-            out += [(w["h"], w["d"], w["n"], w["c"], raw[w["first"] : w["first"] + w["n"] - 1 + size]) for w in wanted]
-        cols = list(zip(*out)) if out else [()] * 5
+            out += [(w["g"], w["h"], w["d"], w["n"], w["c"], raw[w["first"] : w["first"] + w["n"] - 1 + size]) for w in wanted]
+        cols = list(zip(*out)) if out else [()] * 6
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["h", "d", "n", "c", "bytes"]
+            [*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["g", "h", "d", "n", "c", "bytes"]
         )
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """One row for each window of the segments of a crowded anchor."""
     for batch in batches:
-        for h, d, n, c, raw in zip(*(batch.column(x).to_pylist() for x in ("h", "d", "n", "c", "bytes"))):
+        for g, h, d, n, c, raw in zip(*(batch.column(x).to_pylist() for x in ("g", "h", "d", "n", "c", "bytes"))):
             sums = _sums(np.frombuffer(raw, np.uint8))
             at = np.arange(n)
             w = _hash(sums, at, at + size).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, x)) for x in (h, d, n, c)] + [pa.array(at), pa.array(w)], ["h", "d", "n", "c", "at", "w"]
+                [pa.array(np.full(n, x)) for x in (g, h, d, n, c)] + [pa.array(at), pa.array(w)], ["g", "h", "d", "n", "c", "at", "w"]
             )
 
 
 def repeated_spans(docs: DataFrame, size: int, gram: int, chunk: int, many: int) -> DataFrame:
     """(doc, mark, spans): bytes of each text inside a repeated string, as joined spans."""
     seg = store(docs.mapInArrow(lambda b: _scan(b, size, gram), SEGMENT), "segments")
-    unlike = seg.groupBy("h", "d", "n").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "mark", "first")).alias("rep"))
+    unlike = seg.groupBy("h", "d", "n").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "mark", "first")).alias("rep"), F.first("left").alias("left"), F.first("right").alias("right")
+    )
     unlike = store(unlike, "unlike")
-    crowd = unlike.groupBy("h").agg(F.sum("c").alias("times"), F.count(F.lit(1)).alias("kinds")).filter("times > 1")
-    alone = crowd.filter("kinds = 1").select("h")
-    kinds = crowd.filter("kinds > 1").select("h", "kinds")
-    # one text repeated as a whole: all its windows repeat
-    whole = unlike.filter("c > 1").join(alone.hint("merge"), "h").select("h", "d", "n", F.array(F.lit(0).cast("long"), "n").alias("spans"))
-    mixed = unlike.join(kinds.hint("merge"), "h")
+    # a segment that occurs twice as a whole: all its windows repeat
+    whole = unlike.filter("c > 1").select("h", "d", "n", F.array(F.lit(0).cast("long"), "n").alias("spans"))
+    sides = F.array(F.struct(F.lit(0).alias("s"), F.col("left").alias("v")), F.struct(F.lit(1).alias("s"), F.col("right").alias("v")))
+    by_side = unlike.withColumn("side", F.explode(sides)).filter("side.v <> 0")
+    by_side = by_side.select(F.xxhash64("h", "side.s", "side.v").alias("g"), "h", "d", "n", "c", "rep")
+    crowd = by_side.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    mixed = by_side.join(crowd.hint("merge"), "g")
     wanted = mixed.groupBy(F.col("rep.doc").alias("doc"), F.col("rep.mark").alias("mark")).agg(
-        F.collect_list(F.struct("h", "d", "n", "c", F.col("rep.first").alias("first"), "kinds")).alias("wanted")
+        F.collect_list(F.struct("g", "h", "d", "n", "c", F.col("rep.first").alias("first"), "kinds")).alias("wanted")
     )
     packed = docs.mapInArrow(_pack_text, "doc long, mark long, packed binary")
     texts = wanted.join(packed.hint("merge"), ["doc", "mark"]).dropDuplicates(["doc", "mark"])
-    cut = "h long, d long, n long, c long, bytes binary"
+    cut = "g long, h long, d long, n long, c long, bytes binary"
     crowded = F.filter("wanted", lambda w: w["kinds"] > many)
     common = F.filter("wanted", lambda w: w["kinds"] <= many)
     texts = store(texts, "segment-texts")
     plain = texts.withColumn("wanted", common).filter(F.size("wanted") > 0).mapInArrow(lambda b: _cut_out(b, size), cut)
-    plain = plain.repartition("h").sortWithinPartitions("h")
+    plain = plain.repartition("g").sortWithinPartitions("g")
     found = plain.mapInArrow(lambda b: _transform(b, size, chunk), "h long, d long, n long, spans array<bigint>")
     single = texts.withColumn("wanted", crowded).filter(F.size("wanted") > 0).mapInArrow(lambda b: _cut_out(b, size), cut)
-    single = single.mapInArrow(lambda b: _windows(b, size), "h long, d long, n long, c long, at long, w long")
-    again = single.groupBy("h", "w").agg(F.sum("c").alias("times")).filter("times > 1").select("h", "w")
-    single = single.join(again, ["h", "w"]).groupBy("h", "d", "n").agg(
+    single = single.mapInArrow(lambda b: _windows(b, size), "g long, h long, d long, n long, c long, at long, w long")
+    again = single.groupBy("g", "w").agg(F.sum("c").alias("times")).filter("times > 1").select("g", "w")
+    single = single.join(again, ["g", "w"]).groupBy("h", "d", "n").agg(
         F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("spans")
     )
     spans = store(whole.unionByName(found).unionByName(single), "spans")
