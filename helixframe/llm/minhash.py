@@ -21,6 +21,8 @@ from helixframe.llm.common import discard, mix64, store, utf8_runs
 
 RUN_BYTES = 1 << 20
 STAR_ROUNDS = 3
+#: Members of a bucket whose pairs are listed; those of larger ones meet a centre first.
+SMALL = 4
 #: Members of one bucket that a task compares with each other; larger buckets are cut.
 CHUNK = 64
 
@@ -263,7 +265,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with the same id.  Other columns are ignored.
 
     Sets are merged by a 128-bit digest before banding, so copies cost one row
-    each.  Members of a bucket of at most ``CHUNK`` are compared with each
+    each.  Members of a bucket of at most ``SMALL`` are compared with each
     other.  Those of a larger one are compared with one centre, round by round,
     and what is still in different components afterwards in chunks of ``CHUNK``
     by ``CHUNK``; every shared bucket is decided exactly, with rows in
@@ -293,10 +295,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = store(texts.mapInArrow(lambda b: _sets(b, p), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
     sigs = nodes.select("node", "sig")
 
-    small = members.filter(F.col("size") <= CHUNK)
+    small = members.filter(F.col("size") <= SMALL)
     other = small.select("bucket", F.col("node").alias("b"))
     pairs = small.select("bucket", F.col("node").alias("a")).join(other, "bucket").filter("a > b").select("a", "b")
-    active = members.filter(F.col("size") > CHUNK).select("bucket", "node", F.col("node").alias("comp"))
+    active = members.filter(F.col("size") > SMALL).select("bucket", "node", F.col("node").alias("comp"))
     links: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(STAR_ROUNDS + 1):

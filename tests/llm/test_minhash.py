@@ -52,6 +52,7 @@ def corpus(seed=1):
 @pytest.mark.parametrize("chunk", [64, 3])
 def test_components_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "SMALL", min(chunk, 4))
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
     out = minhash.near_duplicates(docs).collect()
