@@ -33,7 +33,7 @@ def bedgraph_lines(runs: DataFrame, per: float | None = None) -> DataFrame:
     v = F.col("value").cast("double")
     short = F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6g", v), r"0+$", ""))
     value = short if per is None else F.format_string("%.5f", v * per)
-    return runs.select(F.concat_ws("\t", F.col("chr").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"), value).alias("line"))
+    return runs.orderBy("chr", "start").select(F.concat_ws("\t", "chr", "start", "end", value).alias("value"))
 
 
 def fastq_lines(reads: DataFrame) -> DataFrame:
