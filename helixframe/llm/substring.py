@@ -216,13 +216,17 @@ def _runs(hit: np.ndarray) -> list[int]:
 
 
 def _transform(batches: Iterator[pa.RecordBatch], size: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by group -> (h, d, n, spans of window starts that repeat)."""
-    held: list[tuple[int, int, int, int, int, bytes]] = []
-    total = 0
+    """Segments sorted by group -> (h, d, n, spans of window starts that repeat).
+
+    A segment may be in two groups, by its left and its right side.  Where both
+    fall into one transform its text is taken once, or it would match its own copy.
+    """
+    held: dict[tuple[int, int, int], tuple[int, bytes]] = {}
+    total, last = 0, None
 
     def flush(rows):
-        hits = repeated_windows([r[5] for r in rows], [r[3] for r in rows], size)
-        out = [(*r[1:4], _runs(x)) for r, x in zip(rows, hits) if r[4] == 1]
+        hits = repeated_windows([raw for _, raw in rows.values()], [n for _, _, n in rows], size)
+        out = [(*key, _runs(x)) for (key, (c, _)), x in zip(rows.items(), hits) if c == 1]
         out = [r for r in out if r[3]]
         cols = list(zip(*out)) if out else [()] * 4
         return pa.RecordBatch.from_arrays(
@@ -230,13 +234,14 @@ def _transform(batches: Iterator[pa.RecordBatch], size: int, chunk: int) -> Iter
         )
 
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("g", "h", "d", "n", "c", "bytes")))
-        for row in rows:
-            if total >= chunk and row[0] != held[-1][0]:
+        for g, h, d, n, c, raw in zip(*(batch.column(x).to_pylist() for x in ("g", "h", "d", "n", "c", "bytes"))):
+            if total >= chunk and g != last:
                 yield flush(held)
-                held, total = [], 0
-            held.append(row)
-            total += len(row[5])
+                held, total = {}, 0
+            last = g
+            if (h, d, n) not in held:
+                held[h, d, n] = c, raw
+                total += len(raw)
     if held:
         yield flush(held)
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helixframe.llm import substring
@@ -60,6 +61,35 @@ def test_default_parameters(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute(rows, 400)
 
 
+@pytest.fixture
+def one_partition(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_all_groups_in_one_transform(spark, one_partition, seed):
+    rows = corpus(seed)
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_bytes=40, gram=8).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=repr) == brute(rows, 40)
+
+
+def test_a_segment_in_two_groups_does_not_match_itself():
+    rng = random.Random(8)
+    fresh = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    shared = fresh(400)
+    # the first text is in both groups, with one neighbour in each; only the second shares a window
+    texts = [fresh(100) + shared + fresh(100), shared + fresh(200), fresh(600)]
+    rows = [(g, 7, i, len(texts[i]) - 399, 1, texts[i]) for g, i in ((1, 0), (1, 1), (2, 0), (2, 2))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["g", "h", "d", "n", "c", "bytes"])
+    found = {}
+    for out in substring._transform(iter([batch]), 400, substring.CHUNK_BYTES):
+        for r in out.to_pylist():
+            found.setdefault(r["d"], []).append(r["spans"])
+    assert found == {0: [[100, 101]], 1: [[0, 1]]}
+
+
 def test_kept_bytes_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "q" * 50), (2, "z")], "doc_id long, text string")
     out = {r.doc_id: bytes(r.kept) for r in substring.remove_repeats(docs, min_bytes=40, gram=8, keep_bytes=True).collect()}
