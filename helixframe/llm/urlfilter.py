@@ -9,20 +9,21 @@ their log-likelihoods per character against a calibrated threshold.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import lower_ascii, mix64
+from helixframe.llm.common import discard, lower_ascii, store
 
 #: (verdict, host, path), in the order of the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ORDER = 5
-#: Hashed contexts and n-grams of each order share 2**SLOT_BITS counters.
-SLOT_BITS = 16
+#: Follows the last character of each URL.
+END = "\0"
+#: Windows that a task holds at once.
+RUN_CHARS = 1 << 17
 BINS = 2001
 RANGE = 8.0
 
@@ -46,101 +47,87 @@ def with_rules(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame
     return out.withColumns({"rule": name, "rule_verdict": verdict})
 
 
-def _characters(urls: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points with an end mark after each URL, the URL of each, and its place."""
-    texts = [(u or "") + "\0" for u in urls]
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lens = np.array([len(t) for t in texts], np.int64)
-    row = np.repeat(np.arange(len(texts)), lens)
-    place = np.arange(len(chars)) - np.repeat(np.cumsum(lens) - lens, lens)
-    return chars, row, place
-
-
-def _slots(chars: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order k: counter of the k characters before, of those with the next, and where they exist."""
-    context = np.zeros(len(chars), np.uint64)
-    down = np.uint64(64 - SLOT_BITS)
-    for k in range(order + 1):
-        if k:
-            before = np.concatenate([np.zeros(k, np.uint64), chars[:-k]])[: len(chars)]
-            context = mix64(context * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(k))
-        gram = mix64(context ^ (chars * np.uint64(0xD6E8FEB86659FD93)))
-        yield (mix64(context + np.uint64(1)) >> down).astype(np.int64), (gram >> down).astype(np.int64), place >= k
-
-
-@dataclass
-class Model:
-    """Counters per class and order: context totals, n-gram totals, n-grams seen per context."""
-
-    total: np.ndarray
-    gram: np.ndarray
-    kinds: np.ndarray
-    threshold: float = 0.0
-
-    def score(self, urls: pd.Series) -> np.ndarray:
-        """Accepted minus rejected log-likelihood, per character."""
-        chars, row, place = _characters(urls)
-        out = np.zeros(len(urls))
-        logs = []
-        for side in (0, 1):
-            p = np.full(len(chars), 1.0 / 256)
-            for k, (context, gram, there) in enumerate(_slots(chars, place, self.total.shape[1] - 1)):
-                n, t = self.total[side, k][context], self.kinds[side, k][context]
-                held = there & (n > 0)
-                p = np.where(held, (self.gram[side, k][gram] + t * p) / np.maximum(n + t, 1), p)
-            logs.append(np.log(np.maximum(p, 1e-300)))
-        np.add.at(out, row, logs[0] - logs[1])
-        return out / np.maximum(np.bincount(row, minlength=len(urls)), 1)
-
-
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums of a partition: a row per (class, order, context, n-gram)."""
-    held: dict[tuple[int, int], list] = {}
-    for frame in frames:
-        for side, urls in frame.groupby("side")["url"]:
-            chars, _, place = _characters(urls)
-            for k, (context, gram, there) in enumerate(_slots(chars, place, ORDER)):
-                key = ((context << SLOT_BITS) | gram)[there]
-                held.setdefault((side, k), []).append(np.unique(key, return_counts=True))
-    for (side, k), parts in held.items():
-        keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
-        yield pd.DataFrame({"side": side, "k": k, "context": keys >> SLOT_BITS, "gram": keys & ((1 << SLOT_BITS) - 1), "n": n})
-
-
-def train(labelled: DataFrame) -> Model:
-    """Count both models over all of ``labelled`` (side 0 accepted, 1 rejected; url).
-
-    Every URL is counted.  Sums are formed per partition, then by Spark; what
-    reaches the driver are counters of a fixed number (two classes, ``ORDER`` + 1
-    orders, 2**``SLOT_BITS`` slots), whatever the size of the input.
+def _windows(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """(..., url) -> (..., w): each character and the end mark, after up to ``order`` characters before it."""
+    for batch in batches:
+        keep = batch.schema.names[:-1]
+        found: list[str] = []
+        rows: list[tuple[int, int]] = []
+        for row, url in enumerate([*batch.column("url").to_pylist(), None]):
+            text = "" if url is None else url + END
+            for start in range(0, len(text), RUN_CHARS):
+                stop = min(start + RUN_CHARS, len(text))
+                found += [text[max(i - order, 0) : i + 1] for i in range(start, stop)]
+                rows.append((row, stop - start))
+                if len(found) >= RUN_CHARS:
+                    yield _window_batch(batch, keep, rows, found)
+                    found, rows = [], []
+        if found:
+            yield _window_batch(batch, keep, rows, found)
+
+
+def _window_batch(batch: pa.RecordBatch, keep: list[str], rows: list[tuple[int, int]], found: list[str]) -> pa.RecordBatch:
+    of = np.repeat(*np.array(rows, np.int64).T)
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of)) for c in keep), pa.array(found, pa.string())], [*keep, "w"])
+
+
+def steps(urls: DataFrame, folds: int, order: int = ORDER) -> DataFrame:
+    """(size, gram, a, b): chance of a gram's last character is a + b * that without the first character.
+
+    ``urls`` is (fold, side, n, url), the side null where a URL counts in no
+    model.  ``a`` and ``b`` have a pair of entries, accepted and rejected, for
+    the model without each fold and at last for that of all URLs.  A gram of
+    ``size`` characters has ``size`` - 1 of context; with n occurrences of the
+    context and t characters seen after it, Witten-Bell smoothing gives
+    a = count / (n + t) and b = t / (n + t), or 0 and 1 without the context.
+    Grams shorter than their size begin a URL and step over.
     """
-    pairs = labelled.mapInPandas(_count, "side int, k int, context long, gram long, n long")
-    pairs = pairs.groupBy("side", "k", "context", "gram").agg(F.sum("n").alias("n"))
-    shape = (2, ORDER + 1, 1 << SLOT_BITS)
-    model = Model(np.zeros(shape), np.zeros(shape), np.zeros(shape))
-    contexts = pairs.groupBy("side", "k", F.col("context").alias("slot")).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.lit(0).alias("what")
-    )
-    grams = pairs.groupBy("side", "k", F.col("gram").alias("slot")).agg(
-        F.sum("n").alias("n"), F.lit(0).cast("long").alias("kinds"), F.lit(1).alias("what")
-    )
-    got = contexts.unionByName(grams).toPandas()
-    for what, into in ((0, model.total), (1, model.gram)):
-        part = got[got["what"] == what]
-        into[part["side"], part["k"], part["slot"]] = part["n"]
-        if what == 0:
-            model.kinds[part["side"], part["k"], part["slot"]] = part["kinds"]
-    return model
+    parts = [(f, s, f"c{f}_{s}") for f in range(folds) for s in (0, 1)]
+    cells = (F.sum(F.when((F.col("fold") == f) & (F.col("side") == s), F.col("n")).otherwise(0)).alias(c) for f, s, c in parts)
+    whole = urls.mapInArrow(lambda b: _windows(b, order), "fold int, side int, n long, w string").groupBy("w").agg(*cells)
+    sizes = F.explode(F.sequence(F.lit(1), F.lit(order + 1)))
+    grams = whole.withColumn("size", sizes).withColumn("gram", F.right("w", F.col("size")))
+    real = F.length("gram") == F.col("size")
+    grams = grams.groupBy("size", "gram").agg(*(F.sum(F.when(real, F.col(c)).otherwise(0)).alias(c) for _, _, c in parts))
+    # a context is followed by at most the alphabet
+    context = Window.partitionBy("size", F.left("gram", F.col("size") - 1))
+    models = [(f, s, f"m{f}_{s}") for f in range(folds + 1) for s in (0, 1)]
+    grams = grams.select("size", "gram", *(sum((F.col(c) for g, t, c in parts if t == s and g != f), F.lit(0)).alias(m) for f, s, m in models))
+    totals = {f"n_{m}": F.sum(m).over(context) for _, _, m in models}
+    totals |= {f"t_{m}": F.sum((F.col(m) > 0).cast("long")).over(context) for _, _, m in models}
+    grams = grams.select("*", *(c.alias(name) for name, c in totals.items()))
+    held = lambda m: real & (F.col(f"n_{m}") > 0)
+    all_of = lambda m: F.col(f"n_{m}") + F.col(f"t_{m}")
+    a = F.array(*(F.when(held(m), F.col(m) / all_of(m)).otherwise(0.0) for _, _, m in models))
+    b = F.array(*(F.when(held(m), F.col(f"t_{m}") / all_of(m)).otherwise(1.0) for _, _, m in models))
+    return grams.select("size", "gram", a.alias("a"), b.alias("b"))
+
+
+def ratios(nodes: DataFrame, folds: int, order: int = ORDER) -> DataFrame:
+    """(w, ratio): log-ratio of the chances of each window's last character, in the models of :func:`steps`.
+
+    Each size is joined with the one below on the gram without its first
+    character, so a key meets at most one gram for each character before it.
+    """
+    level = None
+    entries = range(2 * (folds + 1))
+    for size in range(1, order + 2):
+        at = nodes.filter(F.col("size") == size)
+        if level is None:
+            at = at.withColumn("p", F.array(*(F.lit(1.0 / 256) for _ in entries)))
+        else:
+            at = at.withColumn("tail", F.right("gram", F.lit(size - 1))).join(level.hint("merge"), F.col("tail") == F.col("w"))
+        level = at.select(F.col("gram").alias("w"), F.array(*(F.col("a")[i] + F.col("b")[i] * F.col("p")[i] for i in entries)).alias("p"))
+    return level.select("w", F.array(*(F.log(F.col("p")[i]) - F.log(F.col("p")[i + 1]) for i in entries[::2])).alias("ratio"))
 
 
 def calibrate(scores: DataFrame) -> float:
-    """Threshold with the least balanced error on held-out labelled scores (side, score).
+    """Threshold with the least balanced error on held-out labelled scores (side, n, score).
 
     The scores are summed in ``BINS`` bins; without both classes it is 0.
     """
     bin_of = F.least(F.greatest(F.floor((F.col("score") + RANGE) / (2 * RANGE) * BINS), F.lit(0)), F.lit(BINS - 1))
-    got = scores.groupBy("side", bin_of.alias("bin")).count().toPandas()
+    got = scores.groupBy("side", bin_of.alias("bin")).agg(F.sum("n").alias("count")).toPandas()
     hist = np.zeros((2, BINS))
     hist[got["side"], got["bin"]] = got["count"]
     if not hist.sum(1).all():
@@ -152,34 +139,31 @@ def calibrate(scores: DataFrame) -> float:
     return float((best[0] + best[-1]) / 2 / BINS * 2 * RANGE - RANGE)
 
 
-def _scored(df: DataFrame, model: Model, keep: str) -> DataFrame:
-    held = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(frames):
-        for f in frames:
-            f["score"] = held.value.score(f["_hf_url"]) if len(f) else 0.0
-            yield f
-
-    return df.mapInPandas(run, f"{keep}, score double")
-
-
 def judge(pages: DataFrame, *, rules=RULES, id_col: str = "page_id", url_col: str = "url", folds: int = 5) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row.
 
-    The models learn from the URLs that a rule judges, except one fold in
-    ``folds`` (by hash of the URL) which calibrates the threshold; they give the
-    verdict where no rule fits: ``allow`` at or above the threshold.  Without
-    labelled URLs of both kinds the threshold is 0 and all scores are equal for
-    the missing class, so the verdict stays defined.  A null URL scores as an
-    empty one.  Rows are judged one by one, repeated rows alike; other columns
-    are ignored.
+    The models count all URLs that a rule judges.  The threshold is calibrated
+    on the same URLs, each scored by models without its fold, one of ``folds``
+    (by hash of the URL).  The models give the verdict where no rule fits:
+    ``allow`` at or above the threshold.  Without labelled URLs of both kinds
+    the threshold is 0 and all scores are equal for the missing class, so the
+    verdict stays defined.  A null URL scores as an empty one.  Rows are judged
+    one by one, repeated rows alike; other columns are ignored.
+
+    Counts are exact and stay in tables; only the bins of the calibration reach
+    the driver.
     """
-    base = with_rules(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("_hf_url")), rules, "_hf_url")
-    labelled = base.filter("rule is not null").select((F.col("rule_verdict") == "block").cast("int").alias("side"), F.col("_hf_url"))
-    held_out = F.pmod(F.xxhash64("_hf_url"), F.lit(folds)) == 0
-    model = train(labelled.filter(~held_out).select("side", F.col("_hf_url").alias("url")))
-    model.threshold = calibrate(_scored(labelled.filter(held_out), model, "side int, _hf_url string"))
-    kind = base.schema["page_id"].dataType.simpleString()
-    out = _scored(base, model, f"page_id {kind}, _hf_url string, host string, path string, rule string, rule_verdict string")
-    own = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "score")
+    base = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_hf_url"))
+    urls = with_rules(base.groupBy("_hf_url").agg(F.count(F.lit(1)).alias("n")), rules, "_hf_url")
+    urls = urls.withColumn("side", (F.col("rule_verdict") == "block").cast("int")).withColumn("u", F.monotonically_increasing_id())
+    urls = store(urls.withColumn("fold", F.pmod(F.xxhash64("_hf_url"), F.lit(folds)).cast("int")), "urls")
+    nodes = store(steps(urls.select("fold", "side", "n", F.col("_hf_url").alias("url")), folds), "url-grams")
+    chars = urls.select("u", "fold", F.col("_hf_url").alias("url")).mapInArrow(lambda b: _windows(b, ORDER), "u long, fold int, w string")
+    each = chars.join(ratios(nodes, folds).hint("merge"), "w").select("u", F.get("ratio", F.col("fold")).alias("fit"), F.col("ratio")[folds].alias("all"))
+    means = each.groupBy("u").agg(F.avg("fit").alias("fit"), F.avg("all").alias("all"))
+    scored = store(urls.join(means.hint("merge"), "u"), "url-scores")
+    discard(nodes)
+    threshold = calibrate(scored.filter("side is not null").select("side", "n", F.col("fit").alias("score")))
+    own = F.when(F.col("all") >= threshold, "allow").otherwise("block")
+    verdicts = scored.select("_hf_url", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), F.col("all").alias("score"))
+    return base.join(verdicts.hint("merge"), "_hf_url").drop("_hf_url")

@@ -112,6 +112,46 @@ def test_rules_and_models(spark):
     assert urlfilter.judge(pages.filter("page_id >= 400 and page_id < 600")).count() == 80
 
 
+def serial_models(labelled, order=5):
+    grams, contexts = {}, {}
+    for side, url in labelled:
+        text = url + "\0"
+        for i in range(len(text)):
+            for k in range(min(i, order) + 1):
+                before = text[i - k : i]
+                grams[side, before, text[i]] = grams.get((side, before, text[i]), 0) + 1
+                contexts.setdefault((side, before), []).append(text[i])
+    size = {c: (len(x), len(set(x))) for c, x in contexts.items()}
+
+    def score(url):
+        text, total = url + "\0", 0.0
+        for i in range(len(text)):
+            p = [1 / 256, 1 / 256]
+            for side in (0, 1):
+                for k in range(min(i, order) + 1):
+                    n, t = size.get((side, text[i - k : i]), (0, 0))
+                    if n:
+                        p[side] = (grams.get((side, text[i - k : i], text[i]), 0) + t * p[side]) / (n + t)
+            total += np.log(p[0]) - np.log(p[1])
+        return total / len(text)
+
+    return score
+
+
+def test_scores_equal_a_serial_model_of_all_ruled_urls(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "RUN_CHARS", 64)
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 12)))
+    letters = "abcdefghijklmnopqrstuvwxyzéß日0123456789-_"
+    urls = [f"http://{word(letters)}.net/{word(letters)}/{word(letters)}" for _ in range(150)] + [f"http://{word(letters)}.org/fr/{word(letters)}" for _ in range(150)]
+    urls += [f"http://{word(letters)}.test/{word(letters)}" for _ in range(60)] + ["", None, "a\0b", "x" * 300, "a", urls[0], urls[0]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = urlfilter.judge(pages).collect()
+    score = serial_models([(int(r.verdict == "block"), urls[r.page_id]) for r in out if r.rule is not None])
+    assert sorted(r.page_id for r in out) == list(range(len(urls)))
+    assert max(abs(r.score - score(urls[r.page_id] or "")) for r in out) < 1e-9
+
+
 # Packing
 
 
