@@ -494,4 +494,4 @@ def solo_gene_matrix(spark, d):
 @query()
 def empty_drops(spark, d):
     x = V.table(spark, d, "lineitem").select((F.col("l_orderkey") % 3000).alias("cb"), (F.col("l_partkey") % 300).alias("gene"))
-    return C.empty_drops(x.groupBy("cb", "gene").agg(F.count(F.lit(1)).alias("value")), lower=18, simulations=200, expected=300)
+    return C.empty_drops(x.groupBy("cb", "gene").agg(F.count(F.lit(1)).alias("value")), lower=18, expected=300)
