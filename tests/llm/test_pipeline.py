@@ -73,3 +73,21 @@ def test_run_and_empty_table(spark, small):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_near_copies_from_four_fifths_on_are_dropped(spark):
+    rng = random.Random(7)
+    grams = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    rows, below = [], []
+    for pair, (n, edits) in enumerate([(45, 1), (90, 2), (135, 3), (52, 1), (96, 2), (103, 2), (145, 3), (42, 1), (86, 2)]):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        copy = list(words)
+        for e in range(edits):
+            copy[6 + 10 * e] = f"x{rng.randrange(10**9)}"
+        share = len(grams(words) & grams(copy)) / len(grams(words) | grams(copy))
+        assert 0.75 < share < 0.85
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(copy))]
+        below += [2 * pair + 1] if share < 0.8 else []
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(below) == 2
+    assert sorted(r.doc_id for r in kept) == sorted([i for i, _ in rows if i % 2 == 0] + below)
