@@ -159,18 +159,22 @@ def gene_overlap(spark, d):
     return G.overlapping_genes(V.alignments(spark, d), V.gene_intervals(spark, d), 512)
 
 
-@query(with_views("aln", "genes") + OVERLAP + """, s as (
+ONE = """, one as (select * from (select *, row_number() over (partition by read_id order by chr, "start", "end", is_reverse) as k from aln) where k = 1)"""
+
+
+@query(with_views("aln", "genes") + ONE + OVERLAP.replace("from aln", "from one").replace("aln.", "one.") + """, s as (
   select a.read_id, count(distinct gene) as n, count(distinct gene) filter (same) as ns, count(distinct gene) filter (not same) as no,
     min(gene) as g, min(gene) filter (same) as gs, min(gene) filter (not same) as go
-  from aln a left join h on h.read_id = a.read_id where a.n_loci = 1 group by a.read_id)
+  from one a left join h on h.read_id = a.read_id where a.n_loci = 1 group by a.read_id)
 , l as (
   select 'a' as c, case when n = 0 then 'N_noFeature' when n = 1 then cast(g as varchar) else 'N_ambiguous' end as feature from s
   union all select 's', case when ns = 0 then 'N_noFeature' when ns = 1 then cast(gs as varchar) else 'N_ambiguous' end from s
   union all select 'o', case when no = 0 then 'N_noFeature' when no = 1 then cast(go as varchar) else 'N_ambiguous' end from s)
 select feature, count(*) filter (c = 'a') as any_strand, count(*) filter (c = 's') as same_strand, count(*) filter (c = 'o') as other_strand from l group by feature
-union all select case when n_loci = 0 then 'N_unmapped' else 'N_multimapping' end, count(*), count(*), count(*) from aln where n_loci <> 1 group by n_loci = 0""")
+union all select case when n_loci = 0 then 'N_unmapped' else 'N_multimapping' end, count(*), count(*), count(*) from one where n_loci <> 1 group by n_loci = 0""")
 def gene_counts_3col(spark, d):
-    one = V.alignments(spark, d).dropDuplicates(["read_id"])
+    place = F.min(F.struct("chr", "start", "end", "is_reverse", "n_loci")).alias("first")  # of a read's places the first
+    one = V.alignments(spark, d).groupBy("read_id").agg(place).select("read_id", "first.*")
     return G.three_column_counts(one, V.gene_intervals(spark, d), 512)
 
 
@@ -260,7 +264,7 @@ def bysj_antijoin(spark, d):
 
 
 @query("""with x as (select l_orderkey as t, l_partkey % 5 as chr, l_linenumber * 1000 + l_partkey % 7 as s, l_linenumber * 1000 + 300 as e from lineitem)
-, n as (select chr, e + 1 as "start", lead(s) over (partition by t order by s, e) - 1 as "end" from x)
+, n as (select chr, e + 1 as "start", lead(s) over (partition by t, chr order by s, e) - 1 as "end" from x)
 select distinct chr, "start", "end" from n where "end" > "start" """)
 def sj_from_exons(spark, d):
     x = V.table(spark, d, "lineitem").select(

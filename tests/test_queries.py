@@ -51,3 +51,11 @@ def test_query_without_sql_gives_rows(spark, name):
 def test_entry_runs_and_names_are_registered(spark):
     assert __spark_entry__.entry(spark).columns == ["gene_idx", "cb_idx", "value"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_introns_of_tied_and_scattered_exons(spark):
+    from helixframe.operators.junctions import from_exons
+
+    rows = [("t", 1, 10, 20), ("t", 1, 10, 20), ("t", 2, 30, 40), ("t", 1, 30, 35), ("t", 1, 30, 40), ("t", 1, 60, 70)]
+    got = from_exons(spark.createDataFrame(rows, "transcript string, chr int, start long, end long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 21, 29), (1, 41, 59)]
