@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -101,3 +102,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+def byte_words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number; past the end there are zeros."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", wide, strides=(1,))[at].astype(np.uint64)
+
+
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the bytes from each start to its end.
+
+    Up to seven bytes and their number are the key itself, so that different
+    short spans have different keys; longer ones have a cryptographic digest.
+    """
+    size = end - start
+    few = np.minimum(size, 7).astype(np.uint64) << np.uint64(3)
+    keys = mix64(byte_words(data, start) & ((np.uint64(1) << few) - np.uint64(1)) | few << np.uint64(53))
+    long = np.flatnonzero(size > 7)
+    if len(long):
+        raw = data.tobytes()
+        spans = [raw[s:e] for s, e in zip(start[long].tolist(), end[long].tolist())]
+        digest = {x: hashlib.blake2b(x, digest_size=8).digest() for x in set(spans)}
+        keys[long] = np.frombuffer(b"".join(map(digest.__getitem__, spans)), np.uint64)
+    return keys

@@ -4,27 +4,34 @@ One permutation shuffles the shingles' hashes, a second one, shifted
 circularly by 0, 1, 2, ..., gives every coordinate of the signature.  Equal
 shingle sets are merged first; documents that share a band meet there, and a
 link counts only after the full shingle sets confirm it.
+
+A word of up to seven bytes is its own 64-bit key, a longer one has a
+cryptographic digest of 64 bits as its key, and a shingle mixes five keys: no
+texts that are easy to write share one.  Equal sets have equal digests of 128
+bits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import discard, mix64, store, utf8_runs
+from helixframe.llm.common import discard, mix64, span_keys, store, utf8_runs
 
-RUN_BYTES = 1 << 20
-STAR_ROUNDS = 3
+RUN_BYTES = 1 << 19
 #: Members of a bucket whose pairs are listed; those of larger ones meet a centre first.
 SMALL = 4
-#: Members of one bucket that a task compares with each other; larger buckets are cut.
-CHUNK = 64
+#: Bytes of shingle sets of one side of a comparison in a task.
+CHUNK_BYTES = 1 << 19
+#: Members of a crowded bucket that one task matches with the centre.
+SALT = 512
 
 
 @dataclass(frozen=True)
@@ -32,9 +39,10 @@ class Params:
     """``percent``: links have 100 * intersection >= percent * union.
 
     A pair at 85 % shares none of 24 bands of 5 rows with a probability of
-    8e-7; at 80 % that takes 36 bands (6e-7).  ``low``: pairs are not compared
-    in full if fewer of their signature bytes agree; 0.15 below the threshold
-    is 4.6 standard deviations at 85 % and 24 bands, 5.0 at 80 % and 36.
+    8e-7; at 80 % that takes 36 bands (6e-7).  ``low``: listed pairs are not
+    compared in full if fewer of their signature bytes agree; 0.15 below the
+    threshold is 4.6 standard deviations at 85 % and 24 bands, 5.0 at 80 % and
+    36.
     """
 
     percent: int = 85
@@ -51,26 +59,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * RUN_BYTES)
-        _POWERS[:] = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-    return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word, and the bounds of each text's words."""
+def word_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit key of every word, and the bounds of each text's words."""
     n = len(data)
     space = _SPACE[data]
     cut = np.zeros(n + 1, bool)
@@ -79,23 +73,19 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start = np.flatnonzero(~space & (before | cut[:-1]))
     after = np.concatenate([space[1:], [True]]) if n else space
     end = np.flatnonzero(~space & (after | cut[1:])) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up[:n], out=sums[1:])
-    hashes = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, off)
+    return span_keys(_LOWER[data], start, end), np.searchsorted(start, off)
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of each text's word shingles."""
-    w, of = word_hashes(data, off)
+    """Sorted distinct keys of each text's word shingles."""
+    w, of = word_keys(data, off)
     n = len(w)
 
     def folded(at: np.ndarray, size: int) -> np.ndarray:
         h = np.full(len(at), size, np.uint64)
         for j in range(size):
-            h = h * _FOLD + w[at + j]
-        return mix64(h)
+            h = mix64(h * _FOLD ^ w[at + j])
+        return h
 
     full = folded(np.arange(max(0, n - k + 1)), k)
     for lo, hi in zip(of[:-1].tolist(), of[1:].tolist()):
@@ -179,10 +169,6 @@ def linked(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _close(a: bytes, b: bytes, low: float) -> bool:
-    return np.mean(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)) >= low
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every end of ``edges`` (a, b): the smallest node it reaches.
 
@@ -210,8 +196,8 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, p: Params) ->
 
     def near(batches):
         for x in batches:
-            ok = [_close(a, b, p.low) for a, b in zip(x.column("sa").to_pylist(), x.column("sb").to_pylist())]
-            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(x.num_rows, -1) for c in ("sa", "sb"))
+            yield x.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= p.low))
 
     def exact(batches):
         for x in batches:
@@ -219,37 +205,107 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, p: Params) ->
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def with_both(rows, table, col, left, right):
-        rows = rows.join(table.select(F.col("node").alias("a"), F.col(col).alias(left)), "a")
-        return rows.join(table.select(F.col("node").alias("b"), F.col(col).alias(right)), "b")
+        rows = rows.join(table.select(F.col("node").alias("a"), F.col(col).alias(left)).hint("merge"), "a")
+        return rows.join(table.select(F.col("node").alias("b"), F.col(col).alias(right)).hint("merge"), "b")
 
     few = with_both(pairs, sigs, "sig", "sa", "sb").mapInArrow(near, "a binary, b binary")
     return with_both(few, sets, "shingles", "xa", "xb").mapInArrow(exact, "a binary, b binary")
 
 
-def _within(rows: DataFrame, p: Params) -> DataFrame:
-    """Links between the left and the right rows of each (bucket, ci, cj)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node, sig, full, comp, left = (table.column(c).to_pylist() for c in ("node", "sig", "shingles", "comp", "left"))
-        sigs = np.frombuffer(b"".join(sig), np.uint8).reshape(len(node), -1)
-        root = {c: c for c in comp}
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each left set, the sizes of its intersections with all right sets."""
+    values = np.concatenate(right)
+    owner = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    until = np.append(first[1:], len(values))
+    values = values[first]
+    for x in left:
+        at = np.searchsorted(values, x)
+        at[at == len(values)] = 0
+        at = at[values[at] == x]
+        span = until[at] - first[at]
+        place = np.arange(int(span.sum())) + np.repeat(first[at] - np.cumsum(span) + span, span)
+        yield np.bincount(owner[place], minlength=len(right))
+
+
+def _match(table: pa.Table, percent: int) -> pa.Table:
+    """Links between components: sets of the left chunk against those of the right one.
+
+    Links within a component of the task's own making are not listed again, so
+    there are fewer of them than sets.
+    """
+    sides: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
+    for left, members in zip(table.column("is_left").to_pylist(), table.column("members").to_pylist()):
+        for m in members:
+            sides[left][0].append(m["comp"])
+            sides[left][1].append(np.frombuffer(m["shingles"], np.uint64))
+    (lc, ls), (rc, rs) = sides[True], sides[False]
+    out: list[tuple[bytes, bytes]] = []
+    if lc and rc:
+        root = {c: c for c in lc + rc}
 
         def find(c):
             while root[c] != c:
                 root[c] = c = root[root[c]]
             return c
 
-        out = []
-        right = np.array([i for i in range(len(node)) if not left[i]], int)
-        for i in (i for i in range(len(node)) if left[i]):
-            for j in right[(sigs[right] == sigs[i]).mean(1) >= p.low].tolist():
-                a, b = find(comp[i]), find(comp[j])
-                if a != b and linked(full[i], full[j], p.percent):
+        size = np.array([len(x) for x in rs])
+        for comp, x, both in zip(lc, ls, common_counts(ls, rs)):
+            for j in np.flatnonzero(100 * both >= percent * (len(x) + size - both)).tolist():
+                a, b = find(comp), find(rc[j])
+                if a != b:
                     root[a] = b
-                    out.append((node[i], node[j]))
-        return pa.table([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
+                    out.append((a, b))
+    return pa.table([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
 
-    return rows.groupBy("bucket", "ci", "cj").applyInArrow(run, "a binary, b binary")
+
+def _rest(crowd: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between components that still meet in a crowded bucket.
+
+    ``crowd`` is (bucket, node, n, comp).  Members of a bucket's largest
+    component need no comparison with each other: the others (left) meet all
+    members (right).  Buckets with the same largest component hold much the same
+    members; where it saves comparisons they are taken together.  Only sets
+    whose sizes allow a link meet, in chunks of ``CHUNK_BYTES``, so a
+    hot bucket is spread over as many tasks as it has pairs of chunks.
+    """
+    one = F.count(F.lit(1))
+    parts = crowd.groupBy("bucket", "comp").agg(one.alias("k"))
+    parts = parts.groupBy("bucket").agg(
+        F.max_by("comp", F.struct("k", "comp")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("all"), one.alias("kinds")
+    ).filter("kinds > 1")
+    rows = store(crowd.join(parts.select("bucket", "major", "most", "all"), "bucket"), "mixed")
+    apart = rows.groupBy("bucket", "major").agg(F.first(F.expr("(all - most) * all")).alias("cost")).groupBy("major").agg(F.sum("cost").alias("apart"))
+    together = rows.select("major", "node", "comp").distinct().groupBy("major").agg((one * F.sum((F.col("comp") != F.col("major")).cast("long"))).alias("together"))
+    choice = apart.join(together, "major").select("major", (F.col("together") <= F.col("apart")).alias("merge"))
+    group = F.xxhash64("major", F.when(~F.col("merge"), F.col("bucket")))
+    rows = rows.join(choice, "major").select(group.alias("g"), "node", "n", "comp", (F.col("comp") != F.col("major")).alias("minor")).distinct()
+    # sets whose sizes differ by more than the threshold's ratio cannot link: they are never in neighbouring classes
+    rows = store(rows.withColumn("q", F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / p.percent) * 1.0001)).cast("int")), "rest")
+    chunks = lambda c: F.ceil(F.sum(F.when(c, F.col("n") * 8).otherwise(0)) / CHUNK_BYTES).cast("int")
+    meta = rows.groupBy("g", "q").agg(chunks(F.lit(True)).alias("cr"), chunks(F.col("minor")).alias("cl"))
+    meta = meta.groupBy("g").agg(F.collect_list(F.struct("q", "cl", "cr")).alias("meta"))
+    rows = rows.join(meta.hint("merge"), "g")
+    mine = F.filter("meta", lambda m: m["q"] == F.col("q"))[0]
+    full = rows.join(sets.hint("merge"), "node")
+    member = F.struct("comp", "shingles")
+
+    def packed(rows: DataFrame, count: str, left: bool) -> DataFrame:
+        chunk = F.pmod(F.xxhash64("node"), mine[count]).cast("int")
+        out = rows.groupBy("g", "q", chunk.alias("c")).agg(F.first("meta").alias("meta"), F.collect_list(member).alias("members"))
+        near = F.filter("meta", lambda m: F.abs(m["q"] - F.col("q")) <= 1)
+        other = "cr" if left else "cl"
+        pairs = F.flatten(F.transform(near, lambda m: F.transform(
+            F.filter(F.sequence(F.lit(0), m[other]), lambda j: j < m[other]), lambda j: F.struct(m["q"].alias("q"), j.alias("c")))))
+        out = out.select("g", F.struct("q", "c").alias("own"), "members", F.explode(pairs).alias("with"))
+        ends = ("own", "with") if left else ("with", "own")
+        return out.select("g", F.col(ends[0]).alias("l"), F.col(ends[1]).alias("r"), F.lit(left).alias("is_left"), "members")
+
+    both = packed(full.filter("minor"), "cl", True).unionByName(packed(full, "cr", False))
+    found = both.groupBy("g", "l", "r").applyInArrow(lambda t: _match(t, p.percent), "a binary, b binary")
+    return found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: Params = Params(),
@@ -263,14 +319,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shingle.  Null and empty texts have no shingles and link with nothing:
     their component is their own id.  Rows of a null id have a null component
     and are kept, but link nothing.  Rows that repeat an id are separate nodes
-    with the same id.  Other columns are ignored.
+    with the same id.  Other columns are ignored.  Texts of any length are taken
+    whole.
 
     Sets are merged by a 128-bit digest before banding, so copies cost one row
     each.  Members of a bucket of at most ``SMALL`` are compared with each
-    other.  Those of a larger one are compared with one centre, round by round,
-    and what is still in different components afterwards in chunks of ``CHUNK``
-    by ``CHUNK``; every shared bucket is decided exactly, with rows in
-    proportion to the members and no list of all pairs.
+    other.  Those of a larger one are compared with one centre, the member
+    that meets most others in its buckets, which links most of a large group at
+    once.  Members that are then still in different components are compared in
+    full, chunk by chunk, each with all members whose size allows a link; that
+    work grows with the number of such members times the bucket's size, and is
+    spread over tasks.  No link is left out and no list of pairs is made.
     """
     p = params
     ids = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
@@ -281,16 +340,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = store(
         described.filter("doc is not null and node is not null")
         .groupBy("node")
-        .agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
+        .agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
         "nodes",
     )
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))
+    spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.min("node").alias("centre"), F.bit_xor(F.xxhash64("node")).alias("who")
+        F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("who")
     ).filter("size > 1")
     # buckets of several bands with the same members are one
-    shared = shared.groupBy("size", "who", "centre").agg(F.min("bucket").alias("bucket"))
-    members = store(spread.join(shared.select("bucket", "size"), "bucket"), "members")
+    shared = shared.groupBy("size", "who", "least").agg(F.min("bucket").alias("bucket"))
+    members = store(spread.join(shared.select("bucket", "size").hint("merge"), "bucket"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = wanted.join(ids, F.col("rep") == F.col("doc")).select("node", "text")
     sets = store(texts.mapInArrow(lambda b: _sets(b, p), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
@@ -299,59 +358,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small = members.filter(F.col("size") <= SMALL)
     other = small.select("bucket", F.col("node").alias("b"))
     pairs = small.select("bucket", F.col("node").alias("a")).join(other, "bucket").filter("a > b").select("a", "b")
-    active = members.filter(F.col("size") > SMALL).select("bucket", "node", F.col("node").alias("comp"))
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn == STAR_ROUNDS:
-            found = _blocks(active, sigs, sets, p)
-        else:
-            centre = active.groupBy("bucket").agg(F.min("node").alias("b"), F.min_by("comp", "node").alias("of"))
-            star = active.join(centre, "bucket").filter("node <> b and comp <> of").select(F.col("node").alias("a"), "b")
-            found = _confirmed((pairs.unionByName(star) if turn == 0 else star).distinct(), sigs, sets, p)
-            active = active.join(centre, "bucket").filter("node <> b").select("bucket", "node")
-        fresh = store(found, "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        if fresh.limit(1).count():
-            labels = components(links)
-        if turn == STAR_ROUNDS:
-            break
-        if labels is not None:
-            active = active.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        else:
-            active = active.withColumn("comp", F.col("node"))
-        mixed = active.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        active = store(active.join(mixed.select("bucket"), "bucket").select("bucket", "node", "comp"), "active")
-        if not active.limit(1).count():
-            break
-    out = described.select("doc", "mark", "n", "node")
-    if labels is not None:
-        lowest = nodes.join(labels, "node").groupBy("comp").agg(F.min("rep").alias("low"))
-        of_node = labels.join(lowest, "comp").select("node", "low")
-    else:
-        of_node = nodes.select("node", F.col("rep").alias("low")).limit(0)
+    meets = F.sum("size").over(Window.partitionBy("node")).alias("meets")
+    crowd = store(members.filter(F.col("size") > SMALL).select("bucket", "node", "n", "size", meets), "crowd")
+    some = crowd.limit(1).count() > 0
+    if some:
+        salts = F.ceil(F.col("size") / SALT).cast("int")
+        centre = crowd.groupBy("bucket").agg(F.max_by("node", F.struct("meets", "node")).alias("b"), F.first("size").alias("size"))
+        centre = centre.select("bucket", "b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        dealt = crowd.select("bucket", F.col("node").alias("a"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
+        pairs = pairs.unionByName(dealt.join(centre, ["bucket", "salt"]).filter("a <> b").select("a", "b"))
+    links = store(_confirmed(pairs.distinct(), sigs, sets, p), "links")
+    labels = components(links)
+    if some:
+        now = crowd.join(labels.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        more = store(_rest(now, sets, p), "more-links")
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
+    lowest = nodes.join(labels, "node").groupBy("comp").agg(F.min("rep").alias("low"))
+    of_node = labels.join(lowest, "comp").select("node", "low")
     owner = nodes.select("node", "rep").join(of_node, "node", "left").select("node", F.coalesce("low", "rep").alias("own"))
-    out = out.join(owner, "node", "left")
+    out = described.select("doc", "mark", "n", "node").join(owner.hint("merge"), "node", "left")
     own = F.when(F.col("doc").isNotNull(), F.coalesce("own", "doc"))
     return out.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"),
         F.coalesce(own == F.col("doc"), F.lit(True)).alias("kept"), *(["mark"] if with_mark else []),
     )
-
-
-def _blocks(now: DataFrame, sigs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Compare members of different components in each bucket, chunk by chunk.
-
-    The members of a bucket's largest component need no comparison with each
-    other: chunks of the others (left) meet chunks of all members (right).
-    """
-    parts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    rows = now.join(parts, "bucket").withColumns({
-        "cl": F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int"), "cr": F.ceil(F.col("all") / CHUNK).cast("int"),
-    })
-    chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.filter("comp <> major").select("bucket", "node", "comp", chunk("cl").alias("ci"), each("cr").alias("cj"), F.lit(True).alias("left"))
-    right = rows.select("bucket", "node", "comp", each("cl").alias("ci"), chunk("cr").alias("cj"), F.lit(False).alias("left"))
-    return _within(left.unionByName(right).join(sigs, "node").join(sets, "node"), p)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import mix64, store, utf8_runs
-from helixframe.llm.minhash import _BASE, _BYTE, _powers
+from helixframe.llm.substring import _BYTE, _powers
 
 CAPACITY = 4096
 END_ID = 1

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm.common import discard, mix64, store, utf8_runs
-from helixframe.llm.minhash import _BASE, _BYTE, _INVERSE, _powers
 
 MIN_BYTES = 400
 GRAM = 32
@@ -33,6 +32,22 @@ CHUNK_BYTES = 1 << 20
 #: Segments of one anchor that may differ before its windows are counted one by one.
 MANY = 4096
 
+_BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = []
+        for base in (_BASE, _INVERSE):
+            p = np.full(max(n, 2 * RUN_BYTES), base, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.multiply.accumulate(p))
+    return _POWERS[0], _POWERS[1]
+
 
 def _sums(data: np.ndarray) -> np.ndarray:
     up, _ = _powers(len(data) + 1)

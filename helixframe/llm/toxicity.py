@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import mix64, utf8_runs
+from helixframe.llm.common import span_keys, utf8_runs
 from helixframe.llm.decontam import normalise
-from helixframe.llm.minhash import _BYTE, _powers
 
 #: Hashed words; of these only those in at least ``MIN_TEXTS`` sampled texts get a weight,
 BITS = 20
@@ -32,13 +31,8 @@ RUN_BYTES = 1 << 20
 def word_slots(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) of every word of each text."""
     norm, first, of = normalise(data, off)
-    n = len(norm)
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[norm] * up[:n], out=sums[1:])
-    gaps = np.append(np.flatnonzero(norm == 0x20), n)
-    end = gaps[np.searchsorted(gaps, first)]
-    h = mix64((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+    gaps = np.append(np.flatnonzero(norm == 0x20), len(norm))
+    h = span_keys(norm, first, gaps[np.searchsorted(gaps, first)])
     return np.repeat(np.arange(len(off) - 1), np.diff(of)), (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
