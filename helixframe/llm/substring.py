@@ -26,11 +26,11 @@ from helixframe.llm.common import discard, mix64, store, utf8_runs
 
 MIN_BYTES = 400
 GRAM = 32
-RUN_BYTES = 1 << 20
-#: Bytes of segments that one transform takes.
-CHUNK_BYTES = 1 << 20
-#: Segments of one anchor that may differ before its windows are counted one by one.
-MANY = 4096
+RUN_BYTES = 1 << 19
+#: Bytes of segments that one transform takes, and that one group may have before its windows are counted one by one.
+CHUNK_BYTES = 1 << 19
+#: Bits of a place within ``RUN_BYTES`` and one window.
+PLACE_BITS = 20
 
 _BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -62,83 +62,89 @@ def _hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix64((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
-def segments(data: np.ndarray, off: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each text: (text, anchor hash, digest, first window, windows, left, right) of its segments.
+def segments(data: np.ndarray, off: np.ndarray, size: int, gram: int) -> tuple:
+    """Of each text: (text, digest, first window, windows, left, right) of its segments.
 
+    The digest is one of 128 bits of all bytes of the segment's windows.
     ``left`` and ``right`` are hashes of the anchor with half a window's other
-    bytes before or after it, 0 where the segment has fewer.
+    bytes before or after it, 0 where the segment has fewer; they only say
+    which segments meet.
     """
     width = size - gram + 1
     n = len(data)
     nothing = np.zeros(0, np.int64)
     if n < size:
-        return (nothing,) * 7
+        return nothing, [], nothing, nothing, nothing, nothing
     sums = _sums(data)
     _, down = _powers(n + 1)
     places = n - gram + 1
     hashes = (sums[gram:] - sums[:places]) * down[:places]
     hashes = mix64(hashes)
-    bits = np.uint64(max(1, int(places).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64((1 << PLACE_BITS) - 1)  # the same for all texts, so that ties of the bits above fall alike
     key = (hashes & ~low) | np.arange(places, dtype=np.uint64)
+    del hashes
     blocks = -(-places // width)
     key = np.pad(key, (0, blocks * width - places), constant_values=np.uint64(2**64 - 1)).reshape(blocks, width)
     ahead = np.minimum.accumulate(key, 1).ravel()
     behind = np.minimum.accumulate(key[:, ::-1], 1)[:, ::-1].ravel()
     starts = n - size + 1
-    least = np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
-    anchor = (least & low).astype(np.int64)
-    text = np.repeat(np.arange(len(off) - 1), np.diff(off))[:starts]
-    inside = np.arange(starts) + size <= off[text + 1]
+    anchor = (np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts]) & low).astype(np.int64)
+    del key, ahead, behind
     new = np.ones(starts, bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+    new[1:] = anchor[1:] != anchor[:-1]
+    edge = off[(off > 0) & (off < starts)]
+    new[edge] = True
     head = np.flatnonzero(new)
-    valid = np.concatenate([[0], np.cumsum(inside)])
-    count = valid[np.append(head[1:], starts)] - valid[head]
-    head, count = head[count > 0], count[count > 0]
+    of = np.searchsorted(off, head, "right") - 1
     # the windows of a text that fit come first in its run of one anchor
-    digest = _hash(sums, head, head + count - 1 + size)
-    of = text[head]
+    count = np.minimum(np.append(head[1:], starts), off[of + 1] - size + 1) - head
+    head, of, count = head[count > 0], of[count > 0], count[count > 0]
     at, end, half = anchor[head], head + count - 1 + size, (size - gram + 1) // 2
+    raw = data.tobytes()
+    digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(head.tolist(), end.tolist())]
     has = at - half >= head, at + gram + half <= end
     sides = [np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)]
     sides[0][has[0]] = _hash(sums, at[has[0]] - half, at[has[0]] + gram).view(np.int64)
-    sides[1][has[1]] = _hash(sums, at[has[1]], at[has[1]] + gram + half).view(np.int64)
-    return of, hashes[at].view(np.int64), digest.view(np.int64), head - off[of], count, *sides
+    sides[1][has[1]] = ~_hash(sums, at[has[1]], at[has[1]] + gram + half).view(np.int64)
+    return of, digest, head - off[of], count, *sides
 
 
 def _scan(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, end, data, off in utf8_runs(batch.column(2), RUN_BYTES):
-            of, *rest = segments(data, off, size, gram)
-            rows = pa.array(of + start)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, rest)],
-                ["doc", "mark", "h", "d", "first", "n", "left", "right"],
-            )
+            # a longer text is taken in pieces that overlap by all but one byte of a window; a segment may be cut there
+            for lo in range(0, max(1, len(data) - size + 1), RUN_BYTES):
+                whole = len(data) <= RUN_BYTES
+                part = data if whole else data[lo : lo + RUN_BYTES + size - 1]
+                of, digest, first, *rest = segments(part, off if whole else np.array([0, len(part)]), size, gram)
+                rows = pa.array(of + start)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(digest, pa.binary()), *map(pa.array, (first + lo, *rest))],
+                    ["doc", "mark", "d", "first", "n", "left", "right"],
+                )
 
 
-SEGMENT = "doc long, mark long, h long, d long, first long, n long, left long, right long"
+SEGMENT = "doc long, mark long, d binary, first long, n long, left long, right long"
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of ``text`` (non-negative bytes, last one 0) by prefix doubling."""
+def suffix_array(text: np.ndarray, depth_wanted: int) -> np.ndarray:
+    """Suffixes of ``text`` (non-negative bytes, last one 0) sorted by their first ``depth_wanted`` bytes or more."""
     n = len(text)
     wide = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | wide[j : j + n]
-    order = np.argsort(key, kind="stable")
-    same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+    key = np.ndarray((n,), ">u8", wide, strides=(1,)).astype(np.uint64)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    same = np.concatenate([[False], key[1:] == key[:-1]])
+    del key
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(same, 0, np.arange(n, dtype=np.int32)))
     depth = 8
     slots = _open_slots(same)
-    while len(slots):
+    while len(slots) and depth < depth_wanted:
         items = order[slots]
         after = items + depth
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        pair = (rank[items] << 32) | second
+        pair = rank[items].astype(np.int64) << 32
+        pair |= np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         turn = np.argsort(pair, kind="stable")
         items, pair = items[turn], pair[turn]
         order[slots] = items
@@ -151,20 +157,18 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 def _open_slots(same: np.ndarray) -> np.ndarray:
     """Places in runs of more than one."""
-    return np.flatnonzero(same | np.append(same[1:], False))
+    return np.flatnonzero(same | np.append(same[1:], False)).astype(np.int32)
 
 
 def _short_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Bytes that each suffix shares with the one before, up to 16 and up to its string's end."""
     n = len(text)
     wide = np.concatenate([text, np.zeros(24, np.uint8)])
-    key = np.zeros(n + 8, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | wide[j : j + n + 8]
-    shared = np.zeros(n, np.int64)
+    key = np.ndarray((n + 8,), ">u8", wide, strides=(1,)).astype(np.uint64)
+    shared = np.zeros(n, np.int32)
     for at, part in ((0, key[order]), (8, key[order + 8])):
         differ = np.concatenate([[np.uint64(2**64 - 1)], part[1:] ^ part[:-1]])
-        more = np.zeros(n, np.int64)
+        more = np.zeros(n, np.int32)
         for j in range(1, 8):
             more += differ < np.uint64(1 << (64 - 8 * j))
         more += differ == 0
@@ -186,10 +190,10 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, size: int, first: int = 1
     """
     n = len(text)
     before = text[order - 1]
-    by_letter = np.argsort(before, kind="stable")
-    forward = np.empty(n, np.int64)
-    forward[by_letter] = np.arange(n)
-    previous = np.full(n, -1, np.int64)
+    by_letter = np.argsort(before, kind="stable").astype(np.int32)
+    forward = np.empty(n, np.int32)
+    forward[by_letter] = np.arange(n, dtype=np.int32)
+    previous = np.full(n, -1, np.int32)
     equal = before[by_letter][1:] == before[by_letter][:-1]
     previous[by_letter[1:][equal]] = by_letter[:-1][equal]
     shared = _short_prefixes(text, order)
@@ -218,7 +222,7 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, size: int, first: int = 1
 def repeated_windows(parts: list[bytes], windows: list[int], size: int) -> list[np.ndarray]:
     """For each of different strings, which of its first windows occur in another place too."""
     raw = np.frombuffer(b"\0".join(p.replace(b"\0", b"\xff") for p in parts) + b"\0", np.uint8)
-    order = suffix_array(raw)
+    order = suffix_array(raw, size + 1)
     same = long_prefixes(raw, order, size)
     hit = np.zeros(len(raw), bool)
     hit[order] = same | np.append(same[1:], False)
@@ -231,34 +235,35 @@ def _runs(hit: np.ndarray) -> list[int]:
 
 
 def _transform(batches: Iterator[pa.RecordBatch], size: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by group -> (h, d, n, spans of window starts that repeat).
+    """Segments sorted by group -> (d, spans of window starts that repeat).
 
     A segment may be in two groups, by its left and its right side.  Where both
     fall into one transform its text is taken once, or it would match its own copy.
     """
-    held: dict[tuple[int, int, int], tuple[int, bytes]] = {}
+    held: dict[bytes, tuple[int, int, bytes]] = {}
     total, last = 0, None
 
-    def flush(rows):
-        hits = repeated_windows([raw for _, raw in rows.values()], [n for _, _, n in rows], size)
-        out = [(*key, _runs(x)) for (key, (c, _)), x in zip(rows.items(), hits) if c == 1]
-        out = [r for r in out if r[3]]
-        cols = list(zip(*out)) if out else [()] * 4
+    def flush():
+        hits = repeated_windows([raw for _, _, raw in held.values()], [n for n, _, _ in held.values()], size)
+        out = [(d, _runs(x)) for (d, (_, c, _)), x in zip(held.items(), hits) if c == 1]
+        out = [r for r in out if r[1]]
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], ["h", "d", "n", "spans"]
+            [pa.array([d for d, _ in out], pa.binary()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["d", "spans"]
         )
 
     for batch in batches:
-        for g, h, d, n, c, raw in zip(*(batch.column(x).to_pylist() for x in ("g", "h", "d", "n", "c", "bytes"))):
-            if total >= chunk and g != last:
-                yield flush(held)
+        for i in range(batch.num_rows):
+            g, d, n, c, most = (batch.column(x)[i].as_py() for x in ("g", "d", "n", "c", "most"))
+            if held and g != last and total + most > chunk:
+                yield flush()
                 held, total = {}, 0
             last = g
-            if (h, d, n) not in held:
-                held[h, d, n] = c, raw
+            if d not in held:
+                raw = batch.column("bytes")[i].as_py()
+                held[d] = n, c, raw
                 total += len(raw)
     if held:
-        yield flush(held)
+        yield flush()
 
 
 def _pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,67 +272,74 @@ def _pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc", "mark", "packed"])
 
 
+CUT = "g long, d binary, n long, c long, most long, bytes binary"
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The segments' bytes, a row for each; batches of about ``RUN_BYTES``."""
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["g", "d", "n", "c", "most", "bytes"]
     for batch in batches:
-        out = []
-        for packed, wanted in zip(batch.column("packed"), batch.column("wanted").to_pylist()):
-            raw = zlib.decompress(packed.as_py())
-            out += [(w["g"], w["h"], w["d"], w["n"], w["c"], raw[w["first"] : w["first"] + w["n"] - 1 + size]) for w in wanted]
-        cols = list(zip(*out)) if out else [()] * 6
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["g", "h", "d", "n", "c", "bytes"]
-        )
+        out: list[tuple] = []
+        total = 0
+        for i in range(batch.num_rows):
+            raw = zlib.decompress(batch.column("packed")[i].as_py())
+            for w in batch.column("wanted")[i].as_py():
+                part = raw[w["first"] : w["first"] + w["n"] - 1 + size]
+                out.append((w["g"], w["d"], w["n"], w["c"], w["most"], part))
+                total += len(part)
+                if total > RUN_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                    out, total = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """One row for each window of the segments of a crowded anchor."""
+    """One row for each window of the segments of a crowded group, by a digest of all its bytes."""
     for batch in batches:
-        for g, h, d, n, c, raw in zip(*(batch.column(x).to_pylist() for x in ("g", "h", "d", "n", "c", "bytes"))):
-            sums = _sums(np.frombuffer(raw, np.uint8))
-            at = np.arange(n)
-            w = _hash(sums, at, at + size).view(np.int64)
+        for i in range(batch.num_rows):
+            g, d, n, c, raw = (batch.column(x)[i].as_py() for x in ("g", "d", "n", "c", "bytes"))
+            w = [hashlib.blake2b(raw[j : j + size], digest_size=16).digest() for j in range(n)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, x)) for x in (g, h, d, n, c)] + [pa.array(at), pa.array(w)], ["g", "h", "d", "n", "c", "at", "w"]
-            )
+                [pa.array([d] * n, pa.binary()), pa.array(np.full(n, c)), pa.array(np.arange(n)), pa.array(w, pa.binary())],
+                ["d", "c", "at", "w"],
+            )
 
 
-def repeated_spans(docs: DataFrame, size: int, gram: int, chunk: int, many: int) -> DataFrame:
-    """(doc, mark, spans): bytes of each text inside a repeated string, as joined spans."""
+def repeated_spans(docs: DataFrame, size: int, gram: int, chunk: int) -> DataFrame:
+    """(doc, mark, starts): of each text, ends of runs of window starts that repeat elsewhere."""
     seg = store(docs.mapInArrow(lambda b: _scan(b, size, gram), SEGMENT), "segments")
-    unlike = seg.groupBy("h", "d", "n").agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "mark", "first")).alias("rep"), F.first("left").alias("left"), F.first("right").alias("right")
-    )
+    unlike = seg.groupBy("d").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "mark", "first")).alias("rep"), F.first("n").alias("n"),
+        F.first("left").alias("left"), F.first("right").alias("right"),
+    )
     unlike = store(unlike, "unlike")
     # a segment that occurs twice as a whole: all its windows repeat
-    whole = unlike.filter("c > 1").select("h", "d", "n", F.array(F.lit(0).cast("long"), "n").alias("spans"))
-    sides = F.array(F.struct(F.lit(0).alias("s"), F.col("left").alias("v")), F.struct(F.lit(1).alias("s"), F.col("right").alias("v")))
-    by_side = unlike.withColumn("side", F.explode(sides)).filter("side.v <> 0")
-    by_side = by_side.select(F.xxhash64("h", "side.s", "side.v").alias("g"), "h", "d", "n", "c", "rep")
-    crowd = by_side.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    mixed = by_side.join(crowd.hint("merge"), "g")
+    whole = unlike.filter("c > 1").select("d", F.array(F.lit(0).cast("long"), "n").alias("spans"))
+    by_side = unlike.select(F.explode(F.array("left", "right")).alias("g"), "d", "n", "c", "rep").filter("g <> 0")
+    crowd = by_side.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") - 1 + size).alias("most")).filter("kinds > 1")
+    mixed = by_side.join(crowd.select("g", "most").hint("merge"), "g")
     wanted = mixed.groupBy(F.col("rep.doc").alias("doc"), F.col("rep.mark").alias("mark")).agg(
-        F.collect_list(F.struct("g", "h", "d", "n", "c", F.col("rep.first").alias("first"), "kinds")).alias("wanted")
+        F.collect_list(F.struct("g", "d", "n", "c", F.col("rep.first").alias("first"), "most")).alias("wanted")
     )
     packed = docs.mapInArrow(_pack_text, "doc long, mark long, packed binary")
-    texts = wanted.join(packed.hint("merge"), ["doc", "mark"]).dropDuplicates(["doc", "mark"])
-    cut = "g long, h long, d long, n long, c long, bytes binary"
-    crowded = F.filter("wanted", lambda w: w["kinds"] > many)
-    common = F.filter("wanted", lambda w: w["kinds"] <= many)
-    texts = store(texts, "segment-texts")
-    plain = texts.withColumn("wanted", common).filter(F.size("wanted") > 0).mapInArrow(lambda b: _cut_out(b, size), cut)
-    plain = plain.repartition("g").sortWithinPartitions("g")
-    found = plain.mapInArrow(lambda b: _transform(b, size, chunk), "h long, d long, n long, spans array<bigint>")
-    single = texts.withColumn("wanted", crowded).filter(F.size("wanted") > 0).mapInArrow(lambda b: _cut_out(b, size), cut)
-    single = single.mapInArrow(lambda b: _windows(b, size), "g long, h long, d long, n long, c long, at long, w long")
-    again = single.groupBy("g", "w").agg(F.sum("c").alias("times")).filter("times > 1").select("g", "w")
-    single = single.join(again, ["g", "w"]).groupBy("h", "d", "n").agg(
-        F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("spans")
-    )
+    texts = store(wanted.join(packed.hint("merge"), ["doc", "mark"]).dropDuplicates(["doc", "mark"]), "segment-texts")
+
+    def cut(fits):
+        rows = texts.withColumn("wanted", F.filter("wanted", lambda w: fits(w["most"]))).filter(F.size("wanted") > 0)
+        return rows.mapInArrow(lambda b: _cut_out(b, size), CUT)
+
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = cut(lambda most: most <= chunk).repartition(tasks, "g").sortWithinPartitions("g")
+    found = plain.mapInArrow(lambda b: _transform(b, size, chunk), "d binary, spans array<bigint>")
+    # a window may meet in two groups, so it is counted once for each segment
+    single = cut(lambda most: most > chunk).dropDuplicates(["d"]).mapInArrow(lambda b: _windows(b, size), "d binary, c long, at long, w binary")
+    again = single.groupBy("w").agg(F.sum("c").alias("times")).filter("times > 1").select("w")
+    single = single.join(again.hint("merge"), "w").groupBy("d").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("spans"))
     spans = store(whole.unionByName(found).unionByName(single), "spans")
     discard(texts, unlike)
-    mine = seg.join(spans.hint("merge"), ["h", "d", "n"]).select(
-        "doc", "mark", F.transform("spans", lambda x: x + F.col("first")).alias("starts")
-    )
+    mine = seg.join(spans.hint("merge"), "d").select("doc", "mark", F.transform("spans", lambda x: x + F.col("first")).alias("starts"))
     return mine.groupBy("doc", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
@@ -355,7 +367,7 @@ def _remove(batches: Iterator[pa.RecordBatch], size: int, keep_bytes: bool) -> I
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES,
-                   gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, many: int = MANY, keep_bytes: bool = False) -> DataFrame:
+                   gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, keep_bytes: bool = False) -> DataFrame:
     """Remove each byte covered by a ``min_bytes`` string that starts in two places.
 
     Texts are UTF-8 bytes (null: empty) and all strings are judged on the
@@ -365,9 +377,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     with a null id stay whole and make no other lose bytes.  Other columns are
     ignored.
 
-    Segments of an anchor with more than ``many`` different texts are too many
-    for one task: their windows are counted one by one, spread over all tasks.
-    Texts travel compressed, twice: to be cut and to lose their spans.
+    Segments that meet by one side of an anchor and have more than
+    ``chunk_bytes`` together are too many for one transform: their windows are
+    counted one by one, by digests, spread over all tasks.  Texts travel
+    compressed, twice: to be cut and to lose their spans.
     """
     if not gram < min_bytes:
         raise ValueError("gram must be shorter than min_bytes")
@@ -375,7 +388,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = slim.schema["doc_id"].dataType.simpleString()
     # rows that share an id are told apart by their text
     keyed = slim.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(keyed.filter("doc is not null"), min_bytes, gram, chunk_bytes, many)
+    spans = repeated_spans(keyed.filter("doc is not null"), min_bytes, gram, chunk_bytes)
     packed = keyed.mapInArrow(_pack_text, "doc long, mark long, packed binary")
     wide = packed.join(spans.hint("merge"), ["doc", "mark"], "left").withColumn("doc_id", F.col("doc").cast(kind))
     schema = T.StructType(

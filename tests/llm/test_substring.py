@@ -44,12 +44,12 @@ def corpus(seed):
     return rows + [(None, texts[0]), (1, texts[1]), (2, fresh(100))]
 
 
-@pytest.mark.parametrize("many", [4096, 1])
+@pytest.mark.parametrize("chunk", [500, 60])
 @pytest.mark.parametrize("seed", [3, 4])
-def test_spans_equal_brute_force(spark, seed, many):
+def test_spans_equal_brute_force(spark, seed, chunk):
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, spans int")
-    out = substring.remove_repeats(docs, min_bytes=40, gram=8, chunk_bytes=500, many=many).collect()
+    out = substring.remove_repeats(docs, min_bytes=40, gram=8, chunk_bytes=chunk).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=repr) == brute(rows, 40)
 
 
@@ -81,13 +81,13 @@ def test_a_segment_in_two_groups_does_not_match_itself():
     shared = fresh(400)
     # the first text is in both groups, with one neighbour in each; only the second shares a window
     texts = [fresh(100) + shared + fresh(100), shared + fresh(200), fresh(600)]
-    rows = [(g, 7, i, len(texts[i]) - 399, 1, texts[i]) for g, i in ((1, 0), (1, 1), (2, 0), (2, 2))]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["g", "h", "d", "n", "c", "bytes"])
+    rows = [(g, bytes([i]), len(texts[i]) - 399, 1, 1200, texts[i]) for g, i in ((1, 0), (1, 1), (2, 0), (2, 2))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["g", "d", "n", "c", "most", "bytes"])
     found = {}
     for out in substring._transform(iter([batch]), 400, substring.CHUNK_BYTES):
         for r in out.to_pylist():
             found.setdefault(r["d"], []).append(r["spans"])
-    assert found == {0: [[100, 101]], 1: [[0, 1]]}
+    assert found == {b"\0": [[100, 101]], b"\1": [[0, 1]]}
 
 
 def test_kept_bytes_and_empty_table(spark):
@@ -101,10 +101,28 @@ def test_interval_expansion_finds_long_prefixes():
     rng = random.Random(5)
     raw = bytes(rng.choice(b"ab") for _ in range(3000)) + b"\0" + bytes(rng.choice(b"ab") for _ in range(500)) + b"\0"
     text = np.frombuffer(raw, np.uint8)
-    order = substring.suffix_array(text)
+    order = substring.suffix_array(text, 64)
     suffixes = [raw[i:] for i in order.tolist()]
     assert [s[:60] for s in suffixes] == sorted(s[:60] for s in suffixes)
     for size in (16, 18, 24):
         same = substring.long_prefixes(text, order, size)
         want = [False] + [a[:size] == b[:size] and b"\0" not in a[:size] and len(a) >= size for a, b in zip(suffixes, suffixes[1:])]
         assert same.tolist() == want
+
+
+def test_very_long_texts_are_taken_in_pieces(spark, monkeypatch):
+    """Repeats across the pieces' edges, in one text and between two."""
+    monkeypatch.setattr(substring, "RUN_BYTES", 700)
+    rng = random.Random(6)
+    fresh = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = fresh(900)
+    rows = [(1, fresh(650) + shared + fresh(2000) + shared[:80]), (2, fresh(300) + shared[100:]), (3, "é" * 2000), (4, fresh(699)), (5, fresh(700))]
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_bytes=60, gram=8).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=repr) == brute(rows, 60)
+
+
+def test_passages_that_polynomial_hashes_confuse(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, "c" + word[:400]), (4, "d" + word[:399])]
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute(rows, 400)
