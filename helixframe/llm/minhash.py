@@ -280,8 +280,11 @@ def _rest(crowd: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     apart = rows.groupBy("bucket", "major").agg(F.first(F.expr("(all - most) * all")).alias("cost")).groupBy("major").agg(F.sum("cost").alias("apart"))
     together = rows.select("major", "node", "comp").distinct().groupBy("major").agg((one * F.sum((F.col("comp") != F.col("major")).cast("long"))).alias("together"))
     choice = apart.join(together, "major").select("major", (F.col("together") <= F.col("apart")).alias("merge"))
-    group = F.xxhash64("major", F.when(~F.col("merge"), F.col("bucket")))
-    rows = rows.join(choice, "major").select(group.alias("g"), "node", "n", "comp", (F.col("comp") != F.col("major")).alias("minor")).distinct()
+    # one row a bucket, so that no component's members come together
+    plan = parts.select("bucket", "major").join(choice, "major").select("bucket", F.when(~F.col("merge"), F.col("bucket")).alias("own"))
+    rows = rows.join(plan.hint("merge"), "bucket").select(
+        F.xxhash64("major", "own").alias("g"), "node", "n", "comp", (F.col("comp") != F.col("major")).alias("minor")
+    ).distinct()
     # sets whose sizes differ by more than the threshold's ratio cannot link: they are never in neighbouring classes
     rows = store(rows.withColumn("q", F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / p.percent) * 1.0001)).cast("int")), "rest")
     chunks = lambda c: F.ceil(F.sum(F.when(c, F.col("n") * 8).otherwise(0)) / CHUNK_BYTES).cast("int")
