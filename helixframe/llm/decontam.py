@@ -10,6 +10,7 @@ of a text are searched in lock step, so that a skip is one array operation.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import per_row, utf8_runs
+from helixframe.llm.common import byte_words, per_row, span_keys, utf8_runs
 
 WINDOW = 13
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 LANE = 2048
 SPACE = 0x20
 #: Patterns under this length are searched apart, as they allow small skips only.
 SHORT = 24
-#: Bytes of test items that one broadcast may hold; more make further passes.
-PASS_BYTES = 8 << 20
+#: Bytes of test items that one broadcast may hold; more make further passes.  A worker's tables take some ten times as much.
+PASS_BYTES = 4 << 20
 
 
 def _folded() -> np.ndarray:
@@ -67,25 +68,23 @@ def normalise(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class WuManber:
     """Shift and bucket tables for byte patterns of one length class."""
 
-    def __init__(self, patterns: list[bytes], block: int = 6, bits: int = 18):
-        self.patterns = patterns
-        self.m = m = min(map(len, patterns))
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 6, bits: int = 18):
+        """The patterns are the ``size`` bytes of ``data`` from each ``start`` on."""
+        self.data, self.start, self.size = data.tobytes(), start, size
+        self.m = m = int(size.min())
         self.block = b = min(block, m)
         self.mask = np.uint64((1 << (8 * b)) - 1)
         self.down = np.uint64(64 - bits)
-        head = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(-1, m)
-        padded = np.pad(head, ((0, 0), (0, 8)))
-        self.shift = np.full(1 << bits, m - b + 1, np.int64)
+        self.shift = np.full(1 << bits, m - b + 1, np.int32)
         for j in range(m - b + 1):
-            last = self._slot(np.ascontiguousarray(padded[:, j : j + 8]).view("<u8")[:, 0])
+            last = self._slot(byte_words(data, start + j))
             np.minimum.at(self.shift, last, m - b - j)
         order = np.argsort(last, kind="stable")
         self.order = order
         self.slots, self.begin = np.unique(last[order], return_index=True)
         self.until = np.append(self.begin[1:], len(order))
-        self.width = min(8, m)
-        self.prefix_mask = np.uint64((1 << (8 * self.width)) - 1)
-        self.prefix = np.ascontiguousarray(padded[:, :8]).view("<u8")[:, 0] & self.prefix_mask
+        self.prefix_mask = np.uint64((1 << (8 * min(8, m))) - 1)
+        self.prefix = byte_words(data, start) & self.prefix_mask
 
     def _slot(self, word: np.ndarray) -> np.ndarray:
         return (((word & self.mask) * np.uint64(0x9E3779B97F4A7C15)) >> self.down).astype(np.int64)
@@ -121,9 +120,9 @@ class WuManber:
         p = self.order[np.repeat(self.begin[k], count) + nth]
         same = (at8[s] & self.prefix_mask) == self.prefix[p]
         s, p = s[same], p[same]
-        whole = text.tobytes()
-        patterns = self.patterns
-        ok = np.fromiter((whole.startswith(patterns[j], i) for i, j in zip(s.tolist(), p.tolist())), bool, len(s))
+        whole, data = text.tobytes(), self.data
+        places = zip(s.tolist(), self.start[p].tolist(), self.size[p].tolist())
+        ok = np.fromiter((whole[i : i + n] == data[j : j + n] for i, j, n in places), bool, len(s))
         return s[ok], p[ok]
 
 
@@ -131,21 +130,32 @@ class Matcher:
     """All windows of a set of items, with the items that each window belongs to."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        owners: dict[bytes, set[str | None]] = {}
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            words = normalise(raw, np.array([0, len(raw)]))[0].tobytes().split()
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                part = words[i : i + window]
-                owners.setdefault(b" " + b" ".join(part) + b" ", set()).add(item)
-        self.patterns = list(owners)
-        self.owners = [sorted(x for x in owners[p] if x is not None) for p in self.patterns]
-        self.words = np.array([p.count(b" ") - 1 for p in self.patterns], np.int64)
-        lens = np.array([len(p) for p in self.patterns], np.int64)
+        raw = [(text or "").encode() for _, text in items]
+        off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        data, first, of = normalise(np.frombuffer(b"".join(raw), np.uint8), off)
+        words = np.diff(of)
+        count = np.where(words > 0, np.maximum(words - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(items)), count)
+        w = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + of[item]
+        span = np.minimum(words[item], window)
+        gaps = np.flatnonzero(data == SPACE)
+        # a window with the space before it and the one behind it
+        start, end = first[w] - 1, gaps[np.searchsorted(gaps, first[w + span - 1])] + 1 if len(w) else w
+        keys = [span_keys(data, start[i : i + 50_000], end[i : i + 50_000]) for i in range(0, len(w), 50_000)]
+        _, one, window_of = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+        self.words = span[one]
+        named = np.array([i is not None for i, _ in items], bool)[item] if len(item) else np.zeros(0, bool)
+        pairs = np.unique(np.stack([window_of[named], item[named]], 1), axis=0) if named.any() else np.zeros((0, 2), np.int64)
+        self.names = [i for i, _ in items]
+        self.owner, self.of = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(one) + 1))
+        start, size = start[one], (end - start)[one]
         self.parts = []
-        for ids in (np.flatnonzero(lens < SHORT), np.flatnonzero(lens >= SHORT)):
+        for ids in (np.flatnonzero(size < SHORT), np.flatnonzero(size >= SHORT)):
             if len(ids):
-                self.parts.append((ids, WuManber([self.patterns[i] for i in ids])))
+                self.parts.append((ids, WuManber(data, start[ids], size[ids])))
+
+    def owners(self, pattern: int) -> list[str]:
+        return [self.names[i] for i in self.owner[self.of[pattern] : self.of[pattern + 1]].tolist()]
 
     def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = [(s, ids[p]) for ids, part in self.parts for s, p in [part.search(text)]]
@@ -154,13 +164,23 @@ class Matcher:
         return np.concatenate([s for s, _ in found]), np.concatenate([p for _, p in found])
 
 
+_MATCHER: list[tuple[str, Matcher]] = []
+
+
+def matcher_of(held, name: str, window: int) -> Matcher:
+    """The tables of a broadcast list of items; a worker builds them once and keeps the last."""
+    if not _MATCHER or _MATCHER[0][0] != name:
+        _MATCHER[:] = [(name, Matcher(held.value, window))]
+    return _MATCHER[0][1]
+
+
 def _spans(hit: np.ndarray) -> list[int]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     return edge.tolist()
 
 
-def _scan(batches: Iterator[pa.RecordBatch], matcher, text: str) -> Iterator[pa.RecordBatch]:
-    found = matcher.value
+def _scan(batches: Iterator[pa.RecordBatch], items, name: str, window: int, text: str) -> Iterator[pa.RecordBatch]:
+    found = matcher_of(items, name, window)
     for batch in batches:
         old = {c: batch.column(c).to_pylist() for c in ("_hf_spans", "_hf_items")}
         n_words, spans, items = [], [], []
@@ -173,11 +193,11 @@ def _scan(batches: Iterator[pa.RecordBatch], matcher, text: str) -> Iterator[pa.
             np.add.at(edge, w + found.words[p], -1)
             hit = np.cumsum(edge[:-1]) > 0
             doc = np.searchsorted(of, w, "right") - 1
-            pairs = np.unique(doc * len(found.patterns) + p) if len(p) else p
+            pairs = np.unique(doc * len(found.words) + p) if len(p) else p
             mine: dict[int, set] = {}
             for x in pairs.tolist():
-                d, q = divmod(x, len(found.patterns))
-                mine.setdefault(d, set()).update(found.owners[q])
+                d, q = divmod(x, len(found.words))
+                mine.setdefault(d, set()).update(found.owners(q))
             n_words += np.diff(of).tolist()
             touched = per_row(hit, of)
             for d in range(end - start):
@@ -232,9 +252,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     Null and empty texts have no words and are not contaminated.  An item
     without words has no window; an item with a null id hits words but is not
     listed.  Repeated rows are judged one by one, other columns are ignored.
-    No shuffle takes place.  The items are broadcast in passes of at most
-    ``pass_bytes`` bytes of item text, so a large benchmark makes more passes
-    over the documents instead of a larger broadcast.
+    No shuffle takes place.  The items' texts are broadcast in passes of about
+    ``pass_bytes`` bytes, and the tables are built where they are used; a large
+    benchmark makes more passes over the documents, not a larger broadcast.
+    With ``keep`` the added columns take the place of columns of the same name.
     """
     spark = docs.sparkSession
     if window < 1:
@@ -242,7 +263,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-size // pass_bytes))
-    mine = docs.columns if keep else [id_col]
+    added = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
+    mine = [c for c in docs.columns if c not in added] if keep else [id_col]
     out = docs.select(
         *mine,
         F.col(text_col).alias("_hf_text"),
@@ -252,8 +274,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     )
     for i in range(passes):
         part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == i)
-        held = spark.sparkContext.broadcast(Matcher([(r.item, r.text) for r in part.collect()], window))
-        out = out.mapInArrow(lambda b, held=held: _scan(b, held, "_hf_text"), out.schema)
+        held = spark.sparkContext.broadcast([(r.item, r.text) for r in part.collect()])
+        out = out.mapInArrow(lambda b, held=held, name=uuid.uuid4().hex: _scan(b, held, name, window, "_hf_text"), out.schema)
     schema = T.StructType(
         [*(docs.schema[c] for c in mine), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
          T.StructField("n_items", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
