@@ -9,7 +9,6 @@ cosine with its own vector.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,26 +24,24 @@ from helixframe.llm.common import utf8_runs
 DIMENSIONS = 1024
 #: Letter classes: 0 is all but letters, a to z have their own, others share by code point.
 CLASSES = 64
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 SEED = 404
 UNKNOWN = "und"
 
 
-def _letters() -> np.ndarray:
-    """Class of each code point."""
-    points = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
-    table = np.where(points, 27 + np.arange(0x110000) % (CLASSES - 27), 0).astype(np.uint8)
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return table
-
-
-_TABLE: list[np.ndarray] = []
+_ASCII = np.array([27 + c % (CLASSES - 27) if chr(c).isalpha() else 0 for c in range(128)], np.uint8)
+_ASCII[ord("a") : ord("z") + 1] = np.arange(1, 27)
 
 
 def letter_classes(text: str) -> np.ndarray:
-    if not _TABLE:
-        _TABLE.append(_letters())
-    return _TABLE[0][np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    """Class of each character in lower case."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _ASCII[np.minimum(points, 127)]
+    high = np.flatnonzero(points > 127)
+    if len(high):
+        distinct, at = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([27 + c % (CLASSES - 27) if chr(c).isalpha() else 0 for c in distinct.tolist()], np.uint8)[at]
+    return out
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +162,8 @@ def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text
     With ``keep`` all columns of ``docs`` stay and the last three are added.
     """
     held = docs.sparkSession.sparkContext.broadcast(profiles)
-    slim = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = ("held_out", "lang_pred", "score")
+    slim = docs.drop(*(c for c in own if c not in (id_col, text_col))) if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_name, text_name = (id_col, text_col) if keep else ("doc_id", "text")
     names = slim.columns if keep else ["doc_id"]
 
@@ -194,8 +192,10 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     A row is held out if crc32 of its id, as text, has the remainder 2 modulo 4;
     a null id is not held out.  Texts that are null or have no letter get
     ``und`` with score 0, as do all rows where no row is labelled; a null
-    language is not learned.  Repeated rows are learned as often as they occur
-    and predicted alike; other columns are ignored.
+    language is not learned.  Of languages with equal cosines the first by name
+    is given.  Repeated rows are learned as often as they occur and predicted
+    alike; other columns are ignored.  With ``keep`` the added columns take the
+    place of columns of the same name.
     """
     out = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
     learn = docs.filter(F.col(lang_col).isNotNull() & ~F.coalesce(out, F.lit(False)))
