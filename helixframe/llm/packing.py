@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import mix64, store, utf8_runs
-from helixframe.llm.substring import _BYTE, _powers
+from helixframe.llm.common import span_keys, store, utf8_runs
 
 CAPACITY = 4096
 END_ID = 1
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 #: Units that a worker remembers before it starts anew.
-MEMORY = 1_000_000
+MEMORY = 200_000
 
 
 def default_tokenizer() -> str:
@@ -65,7 +64,9 @@ class Encoder:
 
     A text is cut into units only where the tokenizer itself always cuts: at
     blanks and line ends, and between ASCII (or Latin-1) letters, digits and
-    ASCII punctuation.  Each distinct unit is encoded once.  Texts with a
+    ASCII punctuation.  Each distinct unit is encoded once; units of such
+    characters alone are remembered in lower case, all others as they stand,
+    since a mark may compose with a letter of one case only.  Texts with a
     special token in them are encoded whole.
     """
 
@@ -104,7 +105,7 @@ class Encoder:
         self.ids = np.zeros(0, np.int32)
 
     def _encode_units(self, units: list[bytes], letters: list[bool]) -> list[list[int]]:
-        """Ids of lower-case units; those of Latin letters alone go straight to the model."""
+        """Ids of units; those of Latin letters alone, in lower case, go straight to the model."""
         model = self.tokenizer.model.tokenize
         shown = self.shown
         return [
@@ -136,13 +137,17 @@ class Encoder:
         begin = np.flatnonzero(cut[:n] & ~part)
         stop = np.flatnonzero(cut)
         end = stop[np.searchsorted(stop, begin, "right")]
-        up, down = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[fold] * up[:n], out=sums[1:])
-        hashes = mix64((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        other = np.concatenate([[0], np.cumsum(kind == _OTHER, dtype=np.int32)])
+        mixed = other[end] > other[begin]
+        if mixed.any():
+            edge = np.zeros(n + 1, np.int8)
+            edge[begin[mixed]] += 1
+            edge[end[mixed]] -= 1
+            inside = np.cumsum(edge[:n], dtype=np.int8) > 0
+            fold[inside] = data[inside]
+        distinct, first, inverse = np.unique(span_keys(fold, begin, end), return_index=True, return_inverse=True)
         b, e = begin[first], end[first]
-        letters = np.concatenate([[0], np.cumsum(kind == _LETTER)])
+        letters = np.concatenate([[0], np.cumsum(kind == _LETTER, dtype=np.int32)])
         slot = self._learn(distinct, b, e, fold, letters[e] - letters[b] == e - b)
         slot = slot[inverse]
         count = self.n[slot]
@@ -207,7 +212,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
                 for piece, lo in enumerate(range(0, len(mine), capacity)):
                     part = mine[lo : lo + capacity]
                     raw = part.tobytes()
-                    rows.append((begin + i, piece, lo, len(part), zlib.crc32(raw), seen[len(part)], part if with_ids else None))
+                    rows.append((begin + i, piece, lo, len(part), zlib.crc32(raw), int(seen[len(part)]), part if with_ids else None))
                     seen[len(part)] += 1
             cols = list(zip(*rows)) if rows else [()] * 7
             out = [batch.column(0).take(pa.array(cols[0], pa.int32())), *(pa.array(c, pa.int64()) for c in cols[1:6])]
