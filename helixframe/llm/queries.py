@@ -13,7 +13,8 @@ from helixframe.llm.common import read_table
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(read_table(spark, sf_dir, "pages"))
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sound = F.when(F.col("error").isNull() & F.col("digest_ok"), F.col("page_id")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("damaged record:"), "error")))
+    return rows.select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +85,14 @@ from d join o using (h)
 
 OP2_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q
+  select vec_id, row_number() over () as row, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q
   from embeddings where embedding is not null and vec_id is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q::double[], b.q::double[]) as bigint) as score
-  from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+  select a.row, a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q::double[], b.q::double[]) as bigint) as score
+  from v a, v b where a.vec_id % 100 = 0 and a.row <> b.row
 ), r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+  select query_id, cast(row_number() over (partition by row order by score desc, vec_id) as integer) as rank, vec_id, score from s
 )
 select * from r where rank <= 10
 """

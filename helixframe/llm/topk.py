@@ -32,7 +32,7 @@ def _integers(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.Reco
     for batch in batches:
         ids, raw, norms, dims = [], [], [], []
         for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if vec_id is None or not vector.is_valid or not len(vector.values) or vector.values.null_count:
+            if vec_id is None or not vector.is_valid or vector.values.null_count:
                 continue
             x = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
             if not np.isfinite(x).all():
@@ -54,14 +54,15 @@ def _buckets(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
 
     def flush():
         top = held[0]
-        out = (top[1], top[2], np.array([h[0] for h in held], "<i8").tobytes(), np.array([h[2] for h in held]).tobytes(), b"".join(h[3] for h in held))
+        ids, rows = (np.array([h[i] for h in held], "<i8").tobytes() for i in (0, 4))
+        norms, vectors = np.array([h[2] for h in held]).tobytes(), b"".join(h[3] for h in held)
         return pa.RecordBatch.from_arrays(
-            [pa.array([out[0]], pa.int32()), pa.array([out[1]]), *(pa.array([x], pa.binary()) for x in out[2:])],
-            ["dim", "longest", "ids", "norms", "vectors"],
+            [pa.array([top[1]], pa.int32()), pa.array([top[2]]), *(pa.array([x], pa.binary()) for x in (ids, rows, norms, vectors))],
+            ["dim", "longest", "ids", "rows", "norms", "vectors"],
         )
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "norm", "v"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "norm", "v", "row"))):
             if held and (len(held) >= rows or held[0][1] != row[1]):
                 yield flush()
                 held = []
@@ -88,7 +89,7 @@ class Queries:
         self.norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(1))
         self.least = np.full(len(ids), -np.inf)
 
-    def search(self, ids, norms, vectors, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    def search(self, ids, rows, norms, vectors, k: int) -> Iterator[tuple[np.ndarray, ...]]:
         """(query number, vec_id, score) of each query's best in one bucket, whole rows at a time."""
         reach = self.norms * norms[0]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -116,7 +117,7 @@ class Queries:
             some = turn[np.searchsorted(values, lo - SLACK) : np.searchsorted(values, hi + SLACK, "right")]
             some = some[norms[some] * self.norms[q] * (1 + SLACK) >= self.least[q]]
             if len(some):
-                yield self._best(q, ids[some], _products(vectors[some], self.vectors[q : q + 1], bound)[:, 0], k)
+                yield self._best(q, ids[some], rows[some], _products(vectors[some], self.vectors[q : q + 1], bound)[:, 0], k)
         for at in range(0, len(by_length), 256):
             part = by_length[at : at + 256]
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -124,10 +125,10 @@ class Queries:
             n = int(np.searchsorted(-norms, -need * (1 - SLACK) if need > 0 else np.inf, "right"))
             scores = _products(vectors[:n], self.vectors[part], bound)
             for j, q in enumerate(part.tolist()):
-                yield self._best(q, ids[:n], scores[:, j], k)
+                yield self._best(q, ids[:n], rows[:n], scores[:, j], k)
 
-    def _best(self, q: int, ids: np.ndarray, scores: np.ndarray, k: int):
-        ok = (ids != self.ids[q]) & (scores >= self.least[q])
+    def _best(self, q: int, ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int):
+        ok = (rows != self.rows[q]) & (scores >= self.least[q])
         ids, scores = ids[ok], scores[ok]
         if len(scores) > k:
             ok = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -136,14 +137,19 @@ class Queries:
         return np.full(len(turn), q), ids[turn], scores[turn]
 
 
+def _matrix(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i8").reshape(rows, dim) if dim else np.zeros((rows, 0), np.int64)
+
+
 def _search(batches: Iterator[pa.RecordBatch], held, k: int) -> Iterator[pa.RecordBatch]:
     blocks: dict[int, Queries] = held.value
     for batch in batches:
-        for dim, ids, norms, vectors in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "norms", "vectors"))):
+        for dim, ids, rows, norms, vectors in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "rows", "norms", "vectors"))):
             block = blocks.get(dim)
             if block is None:
                 continue
-            got = list(block.search(np.frombuffer(ids, "<i8"), np.frombuffer(norms), np.frombuffer(vectors, "<i8").reshape(-1, dim), k))
+            ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i8")
+            got = list(block.search(ids, rows, np.frombuffer(norms), _matrix(vectors, len(ids), dim), k))
             if got:
                 q, vec, score = (np.concatenate(c) for c in zip(*got))
                 yield pa.RecordBatch.from_arrays(
@@ -159,11 +165,12 @@ def top_products(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: in
     """``query_id, rank, vec_id, score``: the ``k`` largest integer inner products.
 
     Components become floor(``scale`` * x).  Queries are the rows whose id is
-    divisible by ``every``; every row of another id is a candidate.  Ties go to
-    the smaller id, a query with fewer than ``k`` candidates gets all of them.
-    Rows with a null id, and vectors that are null, empty or hold null or
+    divisible by ``every``; every row but the query's own is a candidate.  Ties
+    go to the smaller id, a query with fewer than ``k`` candidates gets all of
+    them.  Rows with a null id, and vectors that are null or hold null or
     non-finite components, take no part; vectors of different dimensions have
-    no product.  Repeated rows are candidates, and queries, each for itself.
+    no product, empty ones have 0 with each other.  Repeated rows are
+    candidates, and queries, each for itself, also for rows of the same id.
     Scores beyond 64 bits saturate.  Other columns are ignored.
 
     Buckets are packed once, after one range shuffle, and scanned in place; the
@@ -178,8 +185,8 @@ def top_products(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: in
     parts = max(1, -(-total["n"] // bucket_rows))
     spread = ints.repartitionByRange(parts, F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
     spread = spread.sortWithinPartitions(F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
-    buckets = spread.select("vec_id", "dim", "norm", "v").mapInArrow(
-        lambda b: _buckets(b, bucket_rows), "dim int, longest double, ids binary, norms binary, vectors binary"
+    buckets = spread.select("vec_id", "dim", "norm", "v", "row").mapInArrow(
+        lambda b: _buckets(b, bucket_rows), "dim int, longest double, ids binary, rows binary, norms binary, vectors binary"
     )
     buckets = store(buckets, "buckets")
     longest = {r["dim"]: r["longest"] for r in buckets.groupBy("dim").agg(F.max("longest").alias("longest")).collect()}
@@ -195,7 +202,7 @@ def top_products(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: in
             mine = [r for r in rows if r["dim"] == dim]
             blocks[dim] = Queries(
                 np.array([r["row"] for r in mine]), np.array([r["vec_id"] for r in mine]),
-                np.frombuffer(b"".join(bytes(r["v"]) for r in mine), "<i8").reshape(-1, dim),
+                _matrix(b"".join(bytes(r["v"]) for r in mine), len(mine), dim),
             )
         first = spark.sparkContext.broadcast(blocks)
         top = F.lit(False)

@@ -67,10 +67,17 @@ def test_top_products_equal_brute_force(spark, bucket_rows):
     assert topk.top_products(frame.limit(0)).count() == 0
 
 
+def test_empty_vectors_have_a_product_with_each_other(spark):
+    rows = [(0, []), (7, []), (8, [1.0])]
+    out = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in out] == [(0, 1, 7, 0)]
+
+
 def test_repeated_query_rows_each_get_an_answer(spark):
+    """The other row of an id is a candidate: only the query's own row is not."""
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0])]
     out = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id) for r in out) == [(0, 1, 1), (0, 1, 1), (0, 2, 2), (0, 2, 2)]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in out) == [(0, i + 1, i) for i in (0, 1, 2) for _ in "ab"]
 
 
 # URL filter
@@ -177,6 +184,20 @@ def test_pieces_hold_the_tokenizer_ids_and_fill_sequences(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_units_give_the_tokenizers_ids_for_any_text():
+    rng = random.Random(1)
+    letters = "aAbYyJHTWzé ÉÀàß ÿŸ'’-.,!?0123<>=|~^`\u0338\u0331\u030a\u030c\u0308\u0301×÷漢字КиІİıǅﬁ\u200b \n\t _$€😀ẞ"
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    texts += ["Y\u030a", "J\u030c", "H\u0331", "T\u0308", "W\u030a", word, word.translate(str.maketrans("ab", "ba"))]
+    coder = packing.Encoder(packing.default_tokenizer())
+    assert coder.plain
+    raw = [t.encode() for t in texts]
+    ids, bounds = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for i, r in enumerate(raw):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == coder._whole(r)
+
+
 def check_sequences(out, capacity, at_most):
     by = {}
     for r in out:
