@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import byte_words, per_row, span_keys, utf8_runs
+from helixframe.llm.common import byte_words, free_prefix, per_row, span_keys, utf8_runs
 
 WINDOW = 13
 RUN_BYTES = 1 << 20
@@ -179,12 +179,13 @@ def _spans(hit: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items, name: str, window: int, text: str) -> Iterator[pa.RecordBatch]:
-    found = matcher_of(items, name, window)
+def _scan(batches: Iterator[pa.RecordBatch], held, name: str, window: int, own: str) -> Iterator[pa.RecordBatch]:
+    """Adds what one pass finds to the columns whose names begin with ``own``."""
+    found = matcher_of(held, name, window)
     for batch in batches:
-        old = {c: batch.column(c).to_pylist() for c in ("_hf_spans", "_hf_items")}
+        old = {c: batch.column(own + c).to_pylist() for c in ("spans", "items")}
         n_words, spans, items = [], [], []
-        for start, end, data, off in utf8_runs(batch.column(text), RUN_BYTES):
+        for start, end, data, off in utf8_runs(batch.column(f"{own}text"), RUN_BYTES):
             norm, first, of = normalise(data, off)
             s, p = found.search(norm)
             w = np.searchsorted(first, s + 1)
@@ -202,20 +203,20 @@ def _scan(batches: Iterator[pa.RecordBatch], items, name: str, window: int, text
             touched = per_row(hit, of)
             for d in range(end - start):
                 now = _spans(hit[of[d] : of[d + 1]]) if touched[d] else []
-                spans.append([*(old["_hf_spans"][start + d] or []), *now])
-                items.append(sorted({*(old["_hf_items"][start + d] or []), *mine.get(d, ())}))
+                spans.append([*(old["spans"][start + d] or []), *now])
+                items.append(sorted({*(old["items"][start + d] or []), *mine.get(d, ())}))
         put = {
-            "_hf_words": pa.array(n_words, pa.int64()),
-            "_hf_spans": pa.array(spans, pa.list_(pa.int64())),
-            "_hf_items": pa.array(items, pa.list_(pa.string())),
+            f"{own}words": pa.array(n_words, pa.int64()),
+            f"{own}spans": pa.array(spans, pa.list_(pa.int64())),
+            f"{own}items": pa.array(items, pa.list_(pa.string())),
         }
         yield pa.RecordBatch.from_arrays([put.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
 
-def _report(batches: Iterator[pa.RecordBatch], drop: tuple[str, ...], share: int) -> Iterator[pa.RecordBatch]:
+def _report(batches: Iterator[pa.RecordBatch], keep: list[str], share: int, own: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hits, digests = [], []
-        for spans, items in zip(batch.column("_hf_spans").to_pylist(), batch.column("_hf_items").to_pylist()):
+        for spans, items in zip(batch.column(f"{own}spans").to_pylist(), batch.column(f"{own}items").to_pylist()):
             total, reach = 0, 0
             for lo, hi in sorted(zip(spans[::2], spans[1::2])):
                 total += max(0, hi - max(lo, reach))
@@ -223,15 +224,14 @@ def _report(batches: Iterator[pa.RecordBatch], drop: tuple[str, ...], share: int
             hits.append(total)
             digests.append(hashlib.sha256(",".join(items).encode()).hexdigest())
         hit = np.array(hits, np.int64)
-        words = batch.column("_hf_words").to_numpy(zero_copy_only=False)
-        keep = [c for c in batch.schema.names if not c.startswith("_hf_") and c not in drop]
+        words = batch.column(f"{own}words").to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(c) for c in keep),
                 pa.array(words, pa.int64()),
                 pa.array(hit),
-                pa.array([len(x) for x in batch.column("_hf_items").to_pylist()], pa.int64()),
-                batch.column("_hf_items"),
+                pa.array([len(x) for x in batch.column(f"{own}items").to_pylist()], pa.int64()),
+                batch.column(f"{own}items"),
                 pa.array(digests, pa.string()),
                 pa.array((hit > 0) & (share * hit >= words)),
             ],
@@ -265,20 +265,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     passes = max(1, -(-size // pass_bytes))
     added = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
     mine = [c for c in docs.columns if c not in added] if keep else [id_col]
+    own = free_prefix(docs.columns)
     out = docs.select(
         *mine,
-        F.col(text_col).alias("_hf_text"),
-        F.lit(0).cast("long").alias("_hf_words"),
-        F.lit(None).cast("array<bigint>").alias("_hf_spans"),
-        F.lit(None).cast("array<string>").alias("_hf_items"),
+        F.col(text_col).alias(f"{own}text"),
+        F.lit(0).cast("long").alias(f"{own}words"),
+        F.lit(None).cast("array<bigint>").alias(f"{own}spans"),
+        F.lit(None).cast("array<string>").alias(f"{own}items"),
     )
-    for i in range(passes):
-        part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == i)
-        held = spark.sparkContext.broadcast([(r.item, r.text) for r in part.collect()])
-        out = out.mapInArrow(lambda b, held=held, name=uuid.uuid4().hex: _scan(b, held, name, window, "_hf_text"), out.schema)
     schema = T.StructType(
         [*(docs.schema[c] for c in mine), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
          T.StructField("n_items", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
          T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
     )
-    return out.mapInArrow(lambda b: _report(b, (), share), schema)
+    for i in range(passes):
+        part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == i)
+        held, name = spark.sparkContext.broadcast([(r.item, r.text) for r in part.collect()]), uuid.uuid4().hex
+        if i + 1 < passes:
+            out = out.mapInArrow(lambda b, held=held, name=name: _scan(b, held, name, window, own), out.schema)
+    return out.mapInArrow(lambda b: _report(_scan(b, held, name, window, own), mine, share, own), schema)
