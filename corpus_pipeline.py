@@ -50,11 +50,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Near duplicates share at least 0.8 of their five-word shingles.
     """
-    gone = minhash.near_duplicates(docs, params=NEAR, with_mark=True).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_hf_gone"), F.col("mark").alias("_hf_mark")
-    )
-    same = (F.col("doc_id") == F.col("_hf_gone")) & (F.xxhash64("text") == F.col("_hf_mark"))
-    return docs.join(gone.distinct().hint("merge"), same, "left_anti")
+    rows, at = _shielded(docs)
+    marked = minhash.near_duplicates(rows, id_col=at["doc_id"], text_col=at["text"], params=NEAR, with_mark=True)
+    gone = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"), "mark").distinct()
+    same = (F.col(at["doc_id"]) == F.col("gone")) & (F.xxhash64(at["text"]) == F.col("mark"))
+    return _restored(rows.join(gone.hint("merge"), same, "left_anti"), at)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
