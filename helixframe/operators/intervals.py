@@ -34,33 +34,81 @@ def contain_join(inner: DataFrame, outer: DataFrame, *, chrom: str = "chr", star
     return a.join(b, [chrom, "_bin"]).filter(inside).drop("_bin")
 
 
-def as_of_join(points: DataFrame, blocks: DataFrame, *, chrom: str = "chr", at: str = "pos", start: str = "start") -> DataFrame:
-    """Each point with the block of the greatest start at or before it (nulls without one)."""
+def as_of_join(points: DataFrame, blocks: DataFrame, *, chrom: str = "chr", at: str = "pos", start: str = "start",
+               width: int = 1 << 16) -> DataFrame:
+    """Each point with the block of the greatest start at or before it (nulls without one).
+
+    Blocks are gathered by bins of ``width`` positions, and each bin carries the
+    last block of the bins before; a point looks into its own bin only, so that
+    no chromosome is sorted in one task and a crowded bin of points can be split.
+    """
     extra = [c for c in blocks.columns if c != chrom]
-    marked = blocks.select(F.col(chrom), F.col(start).alias("_at"), F.lit(0).alias("_side"), F.struct(*extra).alias("_block"))
-    asked = [c for c in points.columns if c != chrom]
-    wanted = points.select(F.col(chrom), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*asked).alias("_point"))
-    both = marked.unionByName(wanted, allowMissingColumns=True)
-    w = Window.partitionBy(chrom).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn("_block", F.last("_block", ignorenulls=True).over(w)).filter("_side = 1")
-    return out.select(chrom, *(F.col(f"_point.{c}") for c in asked), *(F.col(f"_block.{c}") for c in extra))
+    block = F.struct(F.col(start).alias("at"), F.struct(*extra).alias("row"))
+    own = blocks.groupBy(chrom, F.floor(F.col(start) / width).alias("_bin")).agg(F.sort_array(F.collect_list(block)).alias("_own"))
+    asked = points.select(chrom, F.floor(F.col(at) / width).alias("_bin")).distinct()
+    before = Window.partitionBy(chrom).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last(F.element_at("_own", -1), ignorenulls=True).over(before)
+    bins = asked.join(own, [chrom, "_bin"], "full").select(chrom, "_bin", "_own", carried.alias("_before"))
+    rows = points.withColumn("_bin", F.floor(F.col(at) / width)).join(bins, [chrom, "_bin"], "left")
+    mine = F.try_element_at(F.filter("_own", lambda b: b["at"] <= F.col(at)), F.lit(-1))
+    out = rows.withColumn("_block", F.coalesce(mine, "_before"))
+    return out.select(chrom, *(c for c in points.columns if c != chrom), *(F.col(f"_block.row.{c}") for c in extra))
+
+
+def _with_past(df: DataFrame, keys: list[str], order: list[str], width: int, **running) -> DataFrame:
+    """Adds ``_bin`` and, for each name, what an aggregate gives over all rows of the keys before a row.
+
+    It runs within bins of the first order column; one row a bin runs along the
+    keys.  ``running``: name = (F.max or F.sum, column).
+    """
+    rows = df.withColumn("_bin", F.floor(F.col(order[0]) / width))
+    along = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(*keys, "_bin").agg(*(agg(F.col(c)).alias(f"_in{name}") for name, (agg, c) in running.items()))
+    bins = bins.select(*keys, "_bin", *(agg(F.col(f"_in{name}")).over(along).alias(f"_to{name}") for name, (agg, _) in running.items()))
+    out = rows.join(bins, [*keys, "_bin"])
+    both = {F.max: F.greatest, F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
+    values = {name: both[agg](agg(F.col(c)).over(inside), F.col(f"_to{name}")) for name, (agg, c) in running.items()}
+    return out.withColumns(values).drop(*(f"_to{name}" for name in running))
+
+
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], width: int, new: Column, name: str) -> DataFrame:
+    """Adds how many rows up to this one are ``new``."""
+    out = _with_past(rows.withColumn("_new", new), keys, order, width, _so_far=(F.sum, "_new"))
+    return out.withColumn(name, F.col("_so_far") + F.col("_new")).drop("_new", "_so_far", "_bin")
 
 
-def merge_islands(df: DataFrame, keys: list[str], *, start: str = "start", end: str = "end") -> DataFrame:
+def overlap_clusters(df: DataFrame, keys: list[str], *, start: str = "start", end: str = "end", name: str = "cluster", width: int = 1 << 20) -> DataFrame:
+    """Number the groups of rows that are linked by overlap, in order of position (from 1)."""
+    order = [start, end, "_tie"]  # equal rows keep one order in both sweeps
+    rows = _with_past(df.withColumn("_tie", F.monotonically_increasing_id()), keys, order, width, _past=(F.max, end)).drop("_bin")
+    new = F.when(F.col(start) <= F.col("_past"), 0).otherwise(1)
+    return _numbered(rows, keys, order, width, new, name).drop("_past", "_tie")
+
+
+def merge_islands(df: DataFrame, keys: list[str], *, start: str = "start", end: str = "end", width: int = 1 << 20) -> DataFrame:
     """Unions of intervals of a key that overlap or touch."""
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    new = F.when(F.col(start) <= F.max(end).over(before), 0).otherwise(1)
-    upto = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(upto))
+    marked = overlap_clusters(df, keys, start=start, end=end, name="_island", width=width)
     return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def overlap_clusters(df: DataFrame, keys: list[str], *, start: str = "start", end: str = "end") -> DataFrame:
-    """Number the groups of rows that are linked by overlap, in order of position."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    past = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = df.withColumn("_new", F.when(F.col(start) <= past, 0).otherwise(1))
-    return out.withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+def mate_clusters(df: DataFrame, keys: list[str], *, pos: str = "pos", mate: str = "mate_pos", order: str = "record",
+                  width: int = 1 << 20) -> DataFrame:
+    """Adds ``cluster`` (from 1): records that a sweep along the keys keeps together.
+
+    A record begins a new cluster if it lies past every mate seen since its
+    cluster began; while a cluster has no mate (``mate`` null) it goes on.  Once a
+    cluster has one, that is the furthest mate so far, so of the records between
+    two with a mate only the first past it begins a cluster.
+    """
+    rows = df.withColumn("_mated", F.col(mate).isNotNull().cast("int"))
+    rows = _with_past(rows, keys, [pos, order], width, _past=(F.max, mate), _group=(F.sum, "_mated")).drop("_bin", "_mated")
+    beyond = rows.filter((F.col("_group") > 0) & (F.col(pos) > F.col("_past")))
+    first = beyond.groupBy(*keys, "_group").agg(F.min(F.struct(pos, order)).alias("_first"))
+    out = rows.join(first, [*keys, "_group"], "left")
+    new = F.coalesce((F.struct(pos, order) == F.col("_first")).cast("int"), F.lit(0))
+    out = _numbered(out, keys, [pos, order], width, new, "cluster")
+    return out.withColumn("cluster", F.col("cluster") + 1).drop("_past", "_group", "_first")
 
 
 def coverage(df: DataFrame, *, chrom: str = "chr", start: str = "start", end: str = "end", weight: Column | None = None,

@@ -307,6 +307,27 @@ def overlap_clusters(spark, d):
     return I.overlap_clusters(V.positions(spark, d), ["chr"]).groupBy("chr", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+MATED = """with s as (select l_orderkey % 5 as chr, l_partkey * 40 as pos, case when l_linenumber = 1 then l_partkey * 40 + l_suppkey + 30 end as mate_pos,
+  (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey as record from lineitem)
+, d as (select chr, pos, min(mate_pos) as mate_pos, record from s group by chr, pos, record)"""
+
+
+@query(MATED + """, p as (select *, max(mate_pos) over w as past, count(mate_pos) over w as g from d
+  window w as (partition by chr order by pos, record rows between unbounded preceding and 1 preceding))
+, f as (select *, g > 0 and pos > past as beyond from p)
+, n as (select *, beyond and row_number() over (partition by chr, g, beyond order by pos, record) = 1 as new from f)
+, c as (select *, 1 + count(*) filter (new) over (partition by chr order by pos, record) as cluster from n)
+select chr, cluster, count(*) as n from c group by chr, cluster""")
+def mate_clusters(spark, d):
+    x = V.table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 5).alias("chr"), (F.col("l_partkey") * 40).alias("pos"),
+        F.when(F.col("l_linenumber") == 1, F.col("l_partkey") * 40 + F.col("l_suppkey") + 30).alias("mate_pos"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("record"),
+    )
+    x = x.groupBy("chr", "pos", "record").agg(F.min("mate_pos").alias("mate_pos"))
+    return I.mate_clusters(x, ["chr"]).groupBy("chr", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(with_views("scored") + """, r as (select *, row_number() over (partition by read_id order by score desc, n_junction, chr, "start", is_reverse) as hit,
   count(*) over (partition by read_id) as k from scored)
 select read_id, chr, "start", score, cast(hit as integer) as hit, case when k = 1 then 255 when k = 2 then 3 when k <= 4 then 1 else 0 end as mapq from r""")
