@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -84,6 +86,52 @@ def barcode_parts(seq: Column, qual: Column, cb_start: int = 1, cb_len: int = 16
     return F.when(F.length(seq) >= need, parts)
 
 
+def parse_position(spec: str) -> tuple[int, int]:
+    """(offset from 0, length) of ``startAnchor_startDistance_endAnchor_endDistance``; anchors at the read's start only."""
+    parts = spec.split("_")
+    if len(parts) != 4 or not all(re.fullmatch(r"-?\d+", p) for p in parts):
+        raise ValueError(f"position {spec!r} is not startAnchor_startDistance_endAnchor_endDistance")
+    a, start, b, end = map(int, parts)
+    if (a, b) != (0, 0):
+        raise ValueError(f"position {spec!r} is not anchored at the read's start")
+    if start < 0 or end < start:
+        raise ValueError(f"position {spec!r} ends before its start")
+    return start, end - start + 1
+
+
+def complex_parts(seq: Column, qual: Column, cb: list[str], umi: str) -> Column:
+    """As :func:`barcode_parts` for a barcode of several segments, joined in the order given."""
+    segments, (at, size) = [parse_position(p) for p in cb], parse_position(umi)
+    need = max(start + n for start, n in [*segments, (at, size)])
+    joined = lambda s: F.concat(*(F.substring(s, start + 1, n) for start, n in segments))
+    parts = F.struct(
+        joined(seq).alias("cb"), joined(qual).alias("cb_qual"), F.substring(seq, at + 1, size).alias("umi"), F.substring(qual, at + 1, size).alias("umi_qual")
+    )
+    return F.when(F.length(seq) >= need, parts)
+
+
+def with_clips(cigar: Column, five: Column, three: Column, is_reverse: Column) -> Column:
+    """A CIGAR text with clipped bases put back as S at its ends; neighbouring S are joined.
+
+    ``five`` and ``three`` are clips of the read as sequenced, which change
+    sides on the reverse strand.
+    """
+    left, right = F.when(is_reverse, three).otherwise(five), F.when(is_reverse, five).otherwise(three)
+    head = F.coalesce(F.regexp_extract(cigar, r"^(\d+)S", 1).try_cast("int"), F.lit(0))
+    # of a CIGAR of one S the clip is at its start
+    body = F.regexp_replace(cigar, r"^\d+S", "")
+    tail = F.coalesce(F.regexp_extract(body, r"(\d+)S$", 1).try_cast("int"), F.lit(0))
+    core = F.regexp_replace(body, r"\d+S$", "")
+    clip = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
+    return F.concat(clip(head + left), core, clip(tail + right))
+
+
+def unclipped_start(start: Column, cigar: Column) -> Column:
+    """Start of an alignment with the bases clipped before it (S or H) counted in; ``cigar`` as parsed."""
+    lead = F.filter(F.slice(cigar, 1, 1), lambda c: c["op"].isin("S", "H"))
+    return start - F.aggregate(lead, F.lit(0), lambda t, c: t + c["len"])
+
+
 def mapping_quality(loci: Column, unique: int = 255) -> Column:
     return F.when(loci == 1, unique).when(loci == 2, 3).when(loci.isin(3, 4), 1).otherwise(0)
 

@@ -70,6 +70,12 @@ def assign(hits: DataFrame, reads: DataFrame) -> DataFrame:
     return reads.select("read_id").distinct().join(sets, "read_id", "left").select("read_id", status.alias("status"), F.when(n == 1, F.col("_g")).alias("gene"))
 
 
+def tags(assigned: DataFrame, names: DataFrame) -> DataFrame:
+    """(read_id, gx, gn): id and name of a read's one gene, ``-`` otherwise."""
+    rows = assigned.join(names.select("gene", "name"), "gene", "left")
+    return rows.select("read_id", F.coalesce(F.col("gene").cast("string"), F.lit("-")).alias("gx"), F.coalesce("name", F.lit("-")).alias("gn"))
+
+
 def regions(aln: DataFrame, exons: DataFrame, bodies: DataFrame, width: int = 4096) -> DataFrame:
     """(read_id, region, antisense): exonic, intronic or intergenic by any overlap; antisense if only the other strand has a body."""
     ex = overlap_join(aln, exons, width=width).select("read_id", F.lit(True).alias("_exon")).distinct()

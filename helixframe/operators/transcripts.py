@@ -68,6 +68,51 @@ def smoothed(histogram: DataFrame, half: int = 50) -> DataFrame:
     return histogram.select("bin", "n", share.alias("mean"))
 
 
+def distance_function(histogram: DataFrame, bins: int = 10_000, half: int = 50, past: int = 1000) -> np.ndarray:
+    """Shares of the distances up to the valley behind the first peak from ``past`` on.
+
+    The histogram, at most ``bins`` rows, is smoothed on the driver; the last
+    ``half + 1`` bins have no mean and count as empty.
+    """
+    counts = np.zeros(bins)
+    for r in histogram.filter(F.col("bin") < bins).collect():
+        counts[r["bin"]] = r["n"]
+    total = np.concatenate([[0.0], np.cumsum(counts)])
+    at = np.arange(max(bins - half - 1, 0))
+    mean = np.zeros(bins)
+    mean[at] = (total[at + half + 1] - total[np.maximum(at - half, 0)]) / np.minimum(2 * half + 1, at + half)
+    end = past
+    for up in (1, -1):
+        while end + 1 < bins and up * (mean[end + 1] - mean[end]) > 0:
+            end += 1
+    mean = mean[:end]
+    return mean / mean.sum() if mean.sum() > 0 else mean
+
+
+def length_factors(lengths: DataFrame, shares: np.ndarray) -> DataFrame:
+    """(transcript, factor): minus the logarithm of the share of distances that a transcript's length can show, else 0.
+
+    ``shares`` has a fixed number of rows, and so has what is broadcast.
+    """
+    upto = np.cumsum(shares)
+    rows = [(i + 1, -float(np.log(x))) for i, x in enumerate(upto[:-1]) if x > 0]
+    table = lengths.sparkSession.createDataFrame(rows, "length long, factor double")
+    return lengths.join(F.broadcast(table), "length", "left").select("transcript", F.coalesce("factor", F.lit(0.0)).alias("factor"))
+
+
+def weighted_hits(hits: DataFrame, factors: DataFrame, shares: np.ndarray) -> DataFrame:
+    """``hits`` (transcript, to_end, ...) within the function's range, with ``log_weight``."""
+    rows = [(i, float(np.log(x)) if x > 0 else float("-inf")) for i, x in enumerate(shares)]
+    table = hits.sparkSession.createDataFrame(rows, "to_end long, _log double")
+    near = hits.join(F.broadcast(table), "to_end").join(factors, "transcript")
+    return near.withColumn("log_weight", F.col("_log") + F.col("factor")).drop("_log", "factor")
+
+
+def in_clusters(hits: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Hits of cells (cb_idx) with their cluster; cells in none are left out."""
+    return hits.join(clusters, "cb_idx")
+
+
 def common_transcripts(hits: DataFrame) -> DataFrame:
     """(cluster, umi, transcript, log_weight): transcripts that every read of a molecule fits, their weights summed.
 
@@ -80,29 +125,54 @@ def common_transcripts(hits: DataFrame) -> DataFrame:
     return both.filter(F.col("k") == F.col("n")).select("cluster", "umi", "transcript", "log_weight")
 
 
-def transcript_shares(common: DataFrame, rounds: int = 10_000, tolerance: float = 1e-5) -> DataFrame:
+def transcript_shares(common: DataFrame, factors: DataFrame | None = None, rounds: int = 10_000, tolerance: float = 1e-5) -> DataFrame:
     """(cluster, transcript, value): expected molecules of each transcript by expectation-maximisation.
 
-    Molecules with the same transcripts are first counted as one class, so a
-    cluster's task sees its classes, not its molecules.
+    ``common`` is (cluster, umi, transcript, log_weight).  A molecule is shared
+    by its transcripts' weights times their current values.  Values under 1e-8
+    of the molecules, and values that move by less than a tenth of ``tolerance``,
+    are frozen.  ``factors`` (transcript, factor) are undone at the end, and the
+    sum is that of the molecules.  Molecules with the same transcripts and
+    weights are first counted as one class, so a cluster's task sees its
+    classes, not its molecules.
     """
-    sets = common.groupBy("cluster", "umi").agg(F.array_sort(F.collect_set("transcript")).alias("set"))
-    classes = sets.groupBy("cluster", "set").agg(F.count(F.lit(1)).alias("n"))
+    one = common.join(factors, "transcript", "left") if factors is not None else common.withColumn("factor", F.lit(0.0))
+    item = F.struct(F.col("transcript").cast("long").alias("t"), F.col("log_weight").cast("double").alias("w"), F.coalesce("factor", F.lit(0.0)).alias("f"))
+    sets = one.groupBy("cluster", "umi").agg(F.array_sort(F.collect_list(item)).alias("set"), F.max(F.col("log_weight").cast("double")).alias("top"))
+    sets = sets.withColumn("set", F.transform("set", lambda x: F.struct(x["t"].alias("t"), (x["w"] - F.col("top")).alias("w"), x["f"].alias("f"))))
+    classes = sets.groupBy(F.col("cluster").cast("long").alias("cluster"), "set").agg(F.count(F.lit(1)).alias("n"))
+    classes = classes.select("cluster", "n", *(F.transform("set", lambda x, c=c: x[c]).alias(c) for c in "twf"))
 
     def run(table: pa.Table) -> pa.Table:
-        members = table.column("set").to_pylist()
-        names, flat = np.unique(np.concatenate(members), return_inverse=True)
-        row = np.repeat(np.arange(len(members)), [len(m) for m in members])
-        n = table.column("n").to_numpy().astype(float)
-        share = np.full(len(names), n.sum() / len(names))
+        flat = {c: np.concatenate(table.column(c).to_numpy()) for c in "twf"}
+        size = np.array([len(x) for x in table.column("t").to_numpy()])
+        row, n = np.repeat(np.arange(len(size)), size), table.column("n").to_numpy().astype(float)
+        names, first, col = np.unique(flat["t"], return_index=True, return_inverse=True)
+        k, molecules = len(names), n.sum()
+        alone = np.bincount(col, np.where(size[row] == 1, n[row], 0.0), k)
+        old = np.bincount(col, n[row] / size[row], k)
+        many = size[row] > 1
+        r, c, w = row[many], col[many], np.exp(flat["w"][many])
+        frozen, new = np.zeros(k, bool), old
         for _ in range(rounds):
-            total = np.bincount(row, share[flat], len(members))
-            new = np.bincount(flat, n[row] * share[flat] / np.maximum(total[row], 1e-300), len(names))
-            moved, share = np.abs(new - share).max() / n.sum(), new
-            if moved < tolerance:
+            part = w * old[c]
+            total = np.bincount(r, part, len(n))[r]
+            share = np.divide(part, total, out=np.zeros_like(part), where=total > 0) * n[r] * ~frozen[c]
+            new = alone + np.bincount(c, share, k)
+            open_ = ~frozen & (old != 0)
+            move = np.abs(new - old)[open_] / old[open_]
+            moved = np.zeros(k)
+            moved[open_] = move
+            gone, still = open_ & (new < 1e-8 * molecules), open_ & (moved < tolerance * 0.1)
+            frozen |= gone | still
+            alone[gone] = 0.0
+            alone[still] = new[still]
+            if move.max(initial=0.0) < tolerance:
                 break
+            old, new = new, old
+        value = new * np.exp(flat["f"][first])
+        value *= molecules / value.sum() if value.sum() > 0 else 1.0
         cluster = table.column("cluster")[0].as_py()
-        return pa.table([pa.array([cluster] * len(names), pa.int64()), pa.array(names.astype(np.int64)), pa.array(share)], ["cluster", "transcript", "value"])
+        return pa.table([pa.array([cluster] * k, pa.int64()), pa.array(names.astype(np.int64)), pa.array(value)], ["cluster", "transcript", "value"])
 
-    rows = classes.select(F.col("cluster").cast("long").alias("cluster"), F.col("set").cast("array<bigint>").alias("set"), "n")
-    return rows.groupBy("cluster").applyInArrow(run, "cluster long, transcript long, value double")
+    return classes.groupBy("cluster").applyInArrow(run, "cluster long, transcript long, value double")

@@ -1,3 +1,3 @@
 """Bindings of the operators to the star-schema tables; importing it registers every query."""
 
-from helixframe.plans import queries, reads  # noqa: F401
+from helixframe.plans import queries, reads, rules  # noqa: F401
