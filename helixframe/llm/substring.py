@@ -200,11 +200,9 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, size: int, first: int = 1
     start = min(first, size)
     known = np.append(shared < start, True)
     new = np.flatnonzero(shared == start - 1)
-    for turn in range(size - start):
-        # what lies between a new boundary and the next one; boundaries younger than
-        # ``edges`` may be passed, as what lies behind them has its level by then
-        if len(new) * 16 > n or turn % 32 == 0:
-            edges = np.flatnonzero(known)
+    for _ in range(size - start):
+        # what lies between a new boundary and the next one, old or new
+        edges = np.flatnonzero(known)
         until = edges[np.searchsorted(edges, new, "right")]
         span = until - new
         at = np.repeat(new, span)
