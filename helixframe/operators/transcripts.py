@@ -141,7 +141,7 @@ def transcript_shares(common: DataFrame, factors: DataFrame | None = None, round
     sets = one.groupBy("cluster", "umi").agg(F.array_sort(F.collect_list(item)).alias("set"), F.max(F.col("log_weight").cast("double")).alias("top"))
     sets = sets.withColumn("set", F.transform("set", lambda x: F.struct(x["t"].alias("t"), (x["w"] - F.col("top")).alias("w"), x["f"].alias("f"))))
     classes = sets.groupBy(F.col("cluster").cast("long").alias("cluster"), "set").agg(F.count(F.lit(1)).alias("n"))
-    classes = classes.select("cluster", "n", *(F.transform("set", lambda x, c=c: x[c]).alias(c) for c in "twf"))
+    classes = classes.select("cluster", "n", *(F.col(f"set.{c}").alias(c) for c in "twf"))
 
     def run(table: pa.Table) -> pa.Table:
         flat = {c: np.concatenate(table.column(c).to_numpy()) for c in "twf"}

@@ -116,6 +116,74 @@ def test_em_splits_molecules_by_unique_evidence(spark):
     assert abs(sum(shares.values()) - 40) < 1e-6 and shares[5] > 35
 
 
+def serial_shares(molecules_, factors, rounds=10_000):
+    """Expectation-maximisation over single molecules, {transcript: log weight} each."""
+    names = sorted({t for m in molecules_ for t in m})
+    alone = {t: float(sum(1 for m in molecules_ if list(m) == [t])) for t in names}
+    old = {t: sum(1 / len(m) for m in molecules_ if t in m) for t in names}
+    frozen, new = set(), old
+    for _ in range(rounds):
+        new = dict(alone)
+        for m in molecules_:
+            if len(m) > 1:
+                top = max(m.values())
+                total = sum(np.exp(w - top) * old[t] for t, w in m.items())
+                for t, w in m.items():
+                    if t not in frozen and total:
+                        new[t] += np.exp(w - top) * old[t] / total
+        worst = 0.0
+        for t in names:
+            if t in frozen or old[t] == 0:
+                continue
+            diff = abs(new[t] - old[t]) / old[t]
+            worst = max(worst, diff)
+            if new[t] < 1e-8 * len(molecules_):
+                frozen.add(t)
+                alone[t] = 0.0
+            if diff < 1e-6:
+                frozen.add(t)
+                alone[t] = new[t]
+        if worst < 1e-5:
+            break
+        old, new = new, old
+    value = {t: new[t] * np.exp(factors.get(t, 0.0)) for t in names}
+    scale = len(molecules_) / sum(value.values())
+    return {t: v * scale for t, v in value.items()}
+
+
+def test_transcript_shares_equal_a_serial_version(spark):
+    rng = random.Random(6)
+    mols = [{t: round(rng.uniform(-8, 0), 1) for t in rng.sample(range(6), rng.randint(1, 4))} for _ in range(120)]
+    factors = {t: 0.1 * t for t in range(6)}
+    common = spark.createDataFrame([(3, u, t, w) for u, m in enumerate(mols) for t, w in m.items()], "cluster long, umi long, transcript long, log_weight double")
+    table = spark.createDataFrame(list(factors.items()), "transcript long, factor double")
+    got = {r.transcript: r.value for r in transcripts.transcript_shares(common, table).collect()}
+    want = serial_shares(mols, factors)
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-6 for t in want)
+
+
+def test_distance_function_and_weights(spark):
+    rng = random.Random(2)
+    counts = {b: rng.randint(0, 40) + (900 if 1190 < b < 1260 else 0) for b in range(0, 3000, 3)}
+    shares = transcripts.distance_function(spark.createDataFrame(list(counts.items()), "bin long, n long"), bins=4000)
+    mean = [0.0] * 4000
+    for i in range(4000 - 51):
+        mean[i] = sum(counts.get(j, 0) for j in range(max(i - 50, 0), i + 51)) / min(101, i + 50)
+    end = 1000
+    while mean[end + 1] > mean[end]:
+        end += 1
+    while mean[end + 1] < mean[end]:
+        end += 1
+    total = sum(mean[:end])
+    assert len(shares) == end and np.allclose(shares, [m / total for m in mean[:end]])
+    lengths = spark.createDataFrame([(1, 10), (2, 700), (3, 99_999)], "transcript long, length long")
+    factors = {r.transcript: r.factor for r in transcripts.length_factors(lengths, shares).collect()}
+    assert abs(factors[2] + np.log(shares[:700].sum())) < 1e-9 and factors[3] == 0
+    hits = spark.createDataFrame([(1, 5), (2, 5), (3, end)], "transcript long, to_end long")
+    rows = {r.transcript: r.log_weight for r in transcripts.weighted_hits(hits, transcripts.length_factors(lengths, shares), shares).collect()}
+    assert rows.keys() == {1, 2} and abs(rows[2] - np.log(shares[5]) - factors[2]) < 1e-9
+
+
 def test_adapter_offset_equals_a_direct_search(spark):
     rng = random.Random(4)
     adapter = "AGATCGGAAG"
