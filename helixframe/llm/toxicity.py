@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import span_keys, utf8_runs
 from helixframe.llm.decontam import normalise
 
-#: Hashed words; of these only those in at least ``MIN_TEXTS`` sampled texts get a weight,
+#: Words are hashed to this many bits.
 BITS = 20
-#: and only if the grades' gradient at the start is this many standard deviations from 0.
+#: A word gets a weight if at least so many sampled texts have it,
 MIN_TEXTS = 8
+#: and if the grades of its texts pull it this many standard deviations from 0: of 2**20
+#: words without a bearing on the grade less than one in a hundred runs gets that far.
 DEVIATIONS = 6.0
 #: Labelled texts of one grade that are learned from, at most.
 SAMPLE = 6000
@@ -63,8 +65,13 @@ class Ordinal:
         return np.bincount(row, self.weights[slot], n) if len(row) else np.zeros(n)
 
 
-def fit(row: np.ndarray, slot: np.ndarray, grade: np.ndarray, weight: np.ndarray, *, penalty: float = 1e-3, steps: int = 300) -> Ordinal:
-    """Maximise the weighted likelihood of the grades, by gradient steps of adapted size."""
+def fit(row: np.ndarray, slot: np.ndarray, grade: np.ndarray, weight: np.ndarray, *, penalty: float = 1e-3, steps: int = 300,
+        min_texts: int = MIN_TEXTS, deviations: float = DEVIATIONS) -> Ordinal:
+    """Maximise the weighted likelihood of the grades, by gradient steps of adapted size.
+
+    Only words in ``min_texts`` texts whose gradient at the start is ``deviations``
+    standard deviations from 0 take part.
+    """
     grades, y = np.unique(grade, return_inverse=True)
     n, k = len(grade), len(grades) - 1
     model = Ordinal(grades, np.zeros(1 << BITS), np.zeros(max(k, 0)))
@@ -76,7 +83,7 @@ def fit(row: np.ndarray, slot: np.ndarray, grade: np.ndarray, weight: np.ndarray
     edge = np.concatenate([[0.0], mean, [1.0]])
     pull = edge[y] + edge[y + 1] - 1  # of the score, before any weight is learned
     sums, each = np.bincount(slot, (weight * pull)[row], 1 << BITS), ((weight * pull) ** 2).mean()
-    used = np.flatnonzero((texts >= MIN_TEXTS) & (np.abs(sums) >= DEVIATIONS * np.sqrt(texts * each)))
+    used = np.flatnonzero((texts >= min_texts) & (np.abs(sums) >= deviations * np.sqrt(texts * each)))
     column = np.full(1 << BITS, -1)
     column[used] = np.arange(len(used))
     keep = column[slot] >= 0
@@ -120,13 +127,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, end - start) for c in names), lists], [*names, "slots"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, min_texts: int = MIN_TEXTS, deviations: float = DEVIATIONS) -> Ordinal:
     """Learn from labelled texts (docs: doc, text; labels: doc, grade).
 
     Of each grade the ``sample`` rows with the smallest hash of their id are
     taken, weighted by how many rows of the grade there are; a fifth of them is
     held out to calibrate the cut between the lowest grade and the others: the
-    one with the best weighted F1.
+    one with the best weighted F1.  ``min_texts`` and ``deviations`` say which
+    words get a weight (see :func:`fit`); the sample's word slots reach the driver.
     """
     clean = labels.filter("doc is not null and grade is not null")
     counts = {r["grade"]: r["count"] for r in clean.groupBy("grade").count().collect()}
@@ -140,14 +148,16 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ordina
     chosen = chosen.withColumn("held", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(5)) == 0)
     # at most ``sample`` rows a grade
     texts = docs.join(F.broadcast(chosen), "doc").select("grade", "weight", "held", F.coalesce("text", F.lit("")).alias("text"))
-    got = texts.mapInArrow(_features, "grade int, weight double, held boolean, slots array<int>").toArrow().to_pydict()
-    grade, weight, held = np.array(got["grade"]), np.array(got["weight"]), np.array(got["held"], bool)
-    row = np.repeat(np.arange(len(grade)), [len(s) for s in got["slots"]])
-    slot = np.array([x for s in got["slots"] for x in s], np.int64)
+    got = texts.mapInArrow(_features, "grade int, weight double, held boolean, slots array<int>").toArrow()
+    grade, weight, held = (got.column(c).to_numpy() for c in ("grade", "weight", "held"))
+    lists = [c for c in got.column("slots").chunks if len(c)]
+    none = np.zeros(0, np.int32)
+    slot = np.concatenate([c.flatten().to_numpy() for c in lists] or [none]).astype(np.int64)
+    row = np.repeat(np.arange(len(grade)), np.concatenate([c.value_lengths().to_numpy() for c in lists] or [none]))
     learn = ~held if (~held).any() else np.ones(len(grade), bool)
     place = np.cumsum(learn) - 1
     mine = learn[row] if len(row) else np.zeros(0, bool)
-    model = fit(place[row[mine]], slot[mine], grade[learn], weight[learn])
+    model = fit(place[row[mine]], slot[mine], grade[learn], weight[learn], min_texts=min_texts, deviations=deviations)
     if held.any() and len(model.thresholds):
         p = model.above(model.score(row, slot, len(grade)))[:, 0][held]
         bad, w = grade[held] > model.grades[0], weight[held]
@@ -161,11 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ordina
 
 
 def assess(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
-           grade_col: str = "grade", sample: int = SAMPLE) -> DataFrame:
+           grade_col: str = "grade", sample: int = SAMPLE, min_texts: int = MIN_TEXTS, deviations: float = DEVIATIONS) -> DataFrame:
     """``doc_id, severity, grade, p_toxic, toxic`` of every row.
 
-    ``severity`` is the expected grade, ``grade`` the likeliest, ``toxic``
-    whether P(above the lowest grade) reaches the calibrated cut.  Null and
+    ``severity`` is the expected grade, ``grade`` the likeliest (of equal ones
+    the lowest), ``toxic`` whether P(above the lowest grade) reaches the calibrated cut.  Null and
     empty texts have no words: their severity is that of the thresholds alone,
     and they are not toxic.  Labels with a null id or grade are not learned;
     with fewer than two grades every severity is that grade (0 without labels)
@@ -174,7 +184,7 @@ def assess(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     """
     slim = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(label_id).alias("doc"), F.col(grade_col).cast("int").alias("grade"))
-    held = docs.sparkSession.sparkContext.broadcast(train(slim, marks, sample=sample))
+    held = docs.sparkSession.sparkContext.broadcast(train(slim, marks, sample=sample, min_texts=min_texts, deviations=deviations))
     kind = slim.schema["doc"].dataType.simpleString()
 
     def run(batches):

@@ -117,6 +117,52 @@ def test_language_profiles_tell_held_out_texts(spark):
     assert len(held) > 30 and np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
 
 
+def serial_profiles(rows):
+    """(language, cosine) of each text by dictionaries of trigrams and vectors one by one."""
+    letters = np.random.default_rng(langid.SEED).integers(0, 2, (langid.CLASSES, langid.DIMENSIONS), np.int8) * 2 - 1
+
+    def bundle(text):
+        classes = [0]
+        for c in (text or "").lower():
+            k = ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (langid.CLASSES - 27) if c.isalpha() else 0
+            if k or classes[-1]:
+                classes.append(k)
+        if classes[-1]:
+            classes.append(0)
+        out = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(classes, classes[1:], classes[2:]):
+            if b:
+                out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-9)
+    sums = {}
+    for doc, text, lang in rows:
+        if lang is not None and not (doc is not None and zlib.crc32(str(doc).encode()) % 4 == 2):
+            sums[lang] = sums.get(lang, 0) + bundle(text)
+    mean = sum(unit(x) for x in sums.values()) / len(sums)
+    prototypes = {lang: unit(unit(x) - mean) for lang, x in sums.items()}
+    out = []
+    for _, text, _ in rows:
+        if not any(c.isalpha() for c in (text or "").lower()):
+            out.append(("und", 0.0))
+        else:
+            v = unit(bundle(text))
+            best = max(sorted(prototypes), key=lambda lang: float(v @ prototypes[lang]))
+            out.append((best, min(1.0, max(0.0, float(v @ prototypes[best])))))
+    return out
+
+
+def test_language_profiles_equal_a_serial_version(spark):
+    rng = random.Random(8)
+    rows = [(i, spoken(rng, lang, rng.randint(1, 8)), lang) for i, lang in enumerate(rng.choice(list(LANGUAGES)) for _ in range(80))]
+    rows += [(90, "Ab!!c  Dé 漢字", "aa"), (90, "Ab!!c  Dé 漢字", "aa"), (91, "?", "bb"), (None, "aBc", "bb"), (92, None, "cc")]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)).collect()
+    for r, (lang, score) in zip(out, serial_profiles(rows), strict=True):
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-5
+    assert langid.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     rng = random.Random(4)
     rows = [(i, spoken(rng, lang), lang) for i, lang in enumerate(rng.choice(list(LANGUAGES)) for _ in range(120))]
@@ -151,3 +197,45 @@ def test_severity_follows_planted_words(spark):
     assert np.mean([out[i].severity for i, t in rows if t and "vile" in t]) > np.mean([out[i].severity for i, t in rows if t and "mild" in t]) > 0.5
     assert toxicity.assess(docs, marks.limit(0)).filter("toxic or severity <> 0").count() == 0
     assert toxicity.assess(docs.limit(0), marks).count() == 0
+
+
+def likelihood(w, cuts, row, col, grade, weight, penalty):
+    score = np.bincount(row, w[col], len(grade))
+    edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+    p = 1 / (1 + np.exp(-(edge[grade + 1] - score))) - 1 / (1 + np.exp(-(edge[grade] - score)))
+    return (weight / weight.sum() * np.log(p)).sum() - penalty / 2 * (w * w).sum()
+
+
+def test_fit_is_a_maximum_of_the_likelihood():
+    """No step in any weight or threshold of a small model makes the penalised likelihood larger."""
+    rng = np.random.default_rng(5)
+    n, words = 600, 5
+    has = rng.random((n, words)) < 0.4
+    latent = has @ np.array([2.0, -1.0, 0.5, 0.0, 1.0]) + rng.logistic(size=n)
+    grade = np.digitize(latent, [1.0, 2.5])
+    row, col = np.nonzero(has)
+    slot = (col + 1) * 1000
+    weight = np.where(grade == 0, 2.0, 1.0)
+    model = toxicity.fit(row, slot, grade, weight, steps=3000, min_texts=1, deviations=0.0)
+    w, cuts = model.weights[(np.arange(words) + 1) * 1000], model.thresholds
+    best = likelihood(w, cuts, row, col, grade, weight, 1e-3)
+    for i in range(words + 2):
+        for step in (-0.05, 0.05):
+            w2, c2 = w.copy(), cuts.copy()
+            if i < words:
+                w2[i] += step
+            else:
+                c2[i - words] += step
+            assert likelihood(w2, c2, row, col, grade, weight, 1e-3) < best
+    p = model.above(model.score(row, slot, n))
+    edge = 1 / (1 + np.exp(cuts[None, :] - np.bincount(row, w[col], n)[:, None]))
+    assert np.allclose(p, edge)
+
+
+def test_severity_of_repeated_rows_and_rare_words(spark):
+    rows = [(i, "vile " * (i % 2) + f"only{i} text") for i in range(60)] + [(1, "vile only1 text"), (3, "vile only3 text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, grade int")
+    out = toxicity.assess(docs, marks, deviations=3.0).collect()
+    assert len(out) == 62 and all(r.toxic == (r.doc_id % 2 == 1) for r in out)
+    assert len({(r.severity, r.p_toxic) for r in out if r.doc_id == 3}) == 1
