@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.ranking import adjust_p, global_rank
+from helixframe.operators.storage import stored
 
 
 def top_cells(cells: DataFrame, n: int) -> DataFrame:
@@ -112,9 +113,19 @@ def empty_drops(counts: DataFrame, *, lower: int = 100, simulations: int = 10_00
     if not totals:
         return found
     walks = spark.range(simulations).mapInArrow(walk, "n_umis long, simulated double")
-    each = rest.join(observed, "cb").join(walks, "n_umis").groupBy("cb", "n_umis").agg(
-        ((F.sum((F.col("simulated") <= F.col("observed")).cast("int")) + 1) / (simulations + 1)).alias("p")
-    )
+    # each barcode meets the sorted walks of its total, not every walk: a total has one array of ``simulations`` numbers
+    walks = walks.groupBy("n_umis").agg(F.sort_array(F.collect_list("simulated")).alias("walks"))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column("walks").to_numpy(zero_copy_only=False), b.column("observed").to_pylist())
+            n = np.array([np.searchsorted(w, x, "right") for w, x in rows])
+            yield pa.RecordBatch.from_arrays([b.column("n_umis"), b.column("observed"), pa.array((n + 1) / (simulations + 1))], ["n_umis", "observed", "p"])
+
+    seen = stored(rest.join(observed, "cb"))  # sums of fractions are joined by value, so they are taken once
+    distinct = seen.select("n_umis", "observed").distinct().join(walks, "n_umis")
+    chance = distinct.mapInArrow(below, "n_umis long, observed double, p double")
+    each = seen.join(chance, ["n_umis", "observed"]).select("cb", "n_umis", "p")
     rescued = adjust_p(each).filter(F.col("p_adj") <= fdr).select("cb", "n_umis", F.lit("rescued").alias("kind"))
     return found.unionByName(rescued)
 

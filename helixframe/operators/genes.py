@@ -62,6 +62,17 @@ def concordant_genes(blocks: DataFrame, merged: DataFrame, width: int = 4096) ->
     return held.join(n, "read_id").filter("_k = _n").select("read_id", "gene", "gene_reverse")
 
 
+def assign_single_blocks(reads: DataFrame, merged: DataFrame, strand: str = "unstranded", width: int = 4096) -> DataFrame:
+    """(read_id, gene) of reads whose rows, each of one block, lie within exons of one gene alone on that strand.
+
+    One join and one aggregation: reads without a gene, or with several, are
+    left out rather than named.
+    """
+    held = contain_join(reads, merged, width=width).filter(strand_fits(F.col("gene_reverse"), F.col("is_reverse"), strand))
+    sets = held.groupBy("read_id").agg(F.min("gene").alias("gene"), F.max("gene").alias("_last"))
+    return sets.filter("gene = _last").select("read_id", "gene")
+
+
 def assign(hits: DataFrame, reads: DataFrame) -> DataFrame:
     """(read_id, status, gene): ``gene`` only where exactly one is hit."""
     sets = hits.groupBy("read_id").agg(F.count_distinct("gene").alias("_n"), F.min("gene").alias("_g"))

@@ -274,14 +274,14 @@ def sj_from_exons(spark, d):
     return J.from_exons(x)
 
 
-@query(with_views("obs") + """, r as (select "start", "end", dense_rank() over (order by "start", "end") - 1 as sj from (select distinct "start", "end" from obs where chr = 0))
-select obs.read_id % 50 as cb, sj, count(distinct obs.read_id % 64) as value from obs join r on obs."start" = r."start" and obs."end" = r."end" group by 1, 2""")
+@query(with_views("obs") + """, r as (select chr, "start", "end", row_number() over (order by chr, "start", "end") - 1 as sj from (select distinct chr, "start", "end" from obs))
+select obs.read_id % 50 as cb, sj, count(distinct obs.read_id % 64) as value from obs join r on obs.chr = r.chr and obs."start" = r."start" and obs."end" = r."end" group by 1, 2""")
 def sj_matrix(spark, d):
     from helixframe.operators.ranking import global_rank
 
     obs = V.junction_obs(spark, d)
-    rows = global_rank(obs.filter("chr = 0").select("start", "end").distinct(), [F.col("start"), F.col("end")], "sj").withColumn("sj", F.col("sj") - 1)
-    return J.matrix(obs.select((F.col("read_id") % 50).alias("cb"), (F.col("read_id") % 64).alias("umi"), "start", "end"), rows)
+    rows = global_rank(obs.select("chr", "start", "end").distinct(), [F.col("chr"), F.col("start"), F.col("end")], "sj").withColumn("sj", F.col("sj") - 1)
+    return J.matrix(obs.select((F.col("read_id") % 50).alias("cb"), (F.col("read_id") % 64).alias("umi"), "chr", "start", "end"), rows)
 
 
 @query(with_views("pos") + """, s as (select chr, "start" as p, 1 as d from pos union all select chr, "end", -1 from pos)
@@ -507,12 +507,10 @@ def solo_barcodes(spark, d):
 select gene as gene_idx, cb_idx, count(distinct umi) as value from o group by gene, cb_idx""")
 def solo_gene_matrix(spark, d):
     """Barcodes, gene assignment and UMIs of the same reads to a count matrix."""
-    reads = V.alignments(spark, d)
-    hits = G.concordant_genes(reads, V.gene_intervals(spark, d), 512).join(reads.select("read_id", "is_reverse").distinct(), "read_id")
-    genes = G.assign(hits.filter(G.strand_fits(F.col("gene_reverse"), F.col("is_reverse"), "forward")), reads).filter("status = 'gene'")
+    genes = G.assign_single_blocks(V.alignments(spark, d), V.gene_intervals(spark, d), "forward", 512)
     cbs = B.exact_match(V.barcodes(spark, d), V.whitelist(spark, d)).select("read_id", F.col("cb_idx").alias("cb"))
     umis = V.table(spark, d, "lineitem").select(F.expr(V.READ_ID).alias("read_id"), (F.col("l_partkey") % 1024).alias("umi"))
-    obs = umis.join(genes.select("read_id", "gene"), "read_id").join(cbs, "read_id")
+    obs = umis.join(genes, "read_id").join(cbs, "read_id")
     return M.count_exact(M.molecules(obs)).select(F.col("gene").alias("gene_idx"), F.col("cb").alias("cb_idx"), "value")
 
 
