@@ -261,8 +261,8 @@ def _match(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
 
 
-def _rest(crowd: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Links (a, b) between components that still meet in a crowded bucket.
+def _rest(crowd: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, ...]:
+    """Links (a, b) between components that still meet in a crowded bucket, and the stored tables they are read from.
 
     ``crowd`` is (bucket, node, n, comp).  Members of a bucket's largest
     component need no comparison with each other: the others (left) meet all
@@ -276,7 +276,7 @@ def _rest(crowd: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     parts = parts.groupBy("bucket").agg(
         F.max_by("comp", F.struct("k", "comp")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("all"), one.alias("kinds")
     ).filter("kinds > 1")
-    rows = store(crowd.join(parts.select("bucket", "major", "most", "all"), "bucket"), "mixed")
+    rows = mixed = store(crowd.join(parts.select("bucket", "major", "most", "all"), "bucket"), "mixed")
     apart = rows.groupBy("bucket", "major").agg(F.first(F.expr("(all - most) * all")).alias("cost")).groupBy("major").agg(F.sum("cost").alias("apart"))
     together = rows.select("major", "node", "comp").distinct().groupBy("major").agg((one * F.sum((F.col("comp") != F.col("major")).cast("long"))).alias("together"))
     choice = apart.join(together, "major").select("major", (F.col("together") <= F.col("apart")).alias("merge"))
@@ -286,7 +286,7 @@ def _rest(crowd: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
         F.xxhash64("major", "own").alias("g"), "node", "n", "comp", (F.col("comp") != F.col("major")).alias("minor")
     ).distinct()
     # sets whose sizes differ by more than the threshold's ratio cannot link: they are never in neighbouring classes
-    rows = store(rows.withColumn("q", F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / p.percent) * 1.0001)).cast("int")), "rest")
+    rows = rest = store(rows.withColumn("q", F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / p.percent) * 1.0001)).cast("int")), "rest")
     chunks = lambda c: F.ceil(F.sum(F.when(c, F.col("n") * 8).otherwise(0)) / CHUNK_BYTES).cast("int")
     meta = rows.groupBy("g", "q").agg(chunks(F.lit(True)).alias("cr"), chunks(F.col("minor")).alias("cl"))
     meta = meta.groupBy("g").agg(F.collect_list(F.struct("q", "cl", "cr")).alias("meta"))
@@ -308,7 +308,7 @@ def _rest(crowd: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
 
     both = packed(full.filter("minor"), "cl", True).unionByName(packed(full, "cr", False))
     found = both.groupBy("g", "l", "r").applyInArrow(lambda t: _match(t, p.percent), "a binary, b binary")
-    return found
+    return found, mixed, rest
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: Params = Params(),
@@ -374,9 +374,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = components(links)
     if some:
         now = crowd.join(labels.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        more = store(_rest(now, sets, p), "more-links")
+        found, *unused = _rest(now, sets, p)
+        more = store(found, "more-links")
         if more.limit(1).count():
             labels = components(links.unionByName(more))
+        discard(more, *unused)
+    discard(members, crowd, sets, links)
     lowest = nodes.join(labels, "node").groupBy("comp").agg(F.min("rep").alias("low"))
     of_node = labels.join(lowest, "comp").select("node", "low")
     owner = nodes.select("node", "rep").join(of_node, "node", "left").select("node", F.coalesce("low", "rep").alias("own"))

@@ -6,12 +6,17 @@ import pytest
 from helixframe.llm import minhash
 
 
-def brute(rows):
-    """component of each row by all-pairs Jaccard on word shingles."""
-    sets = []
+def word_sets(rows):
+    out = []
     for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def components(rows, percent=85):
+    """component of each row by all-pairs Jaccard on word shingles."""
+    sets = word_sets(rows)
     root = list(range(len(rows)))
 
     def find(i):
@@ -23,13 +28,17 @@ def brute(rows):
         for j in range(i):
             if sets[i] and sets[j] and None not in (rows[i][0], rows[j][0]):
                 both = len(sets[i] & sets[j])
-                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     root[find(i)] = find(j)
     low = {}
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
             low[find(i)] = min(doc, low.get(find(i), doc))
-    return sorted(((d, len(s), None if d is None else low[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=repr)
+    return [None if d is None else low[find(i)] for i, (d, _) in enumerate(rows)]
+
+
+def brute(rows):
+    return sorted(((d, len(s), c) for (d, _), s, c in zip(rows, word_sets(rows), components(rows))), key=repr)
 
 
 def corpus(seed=1):

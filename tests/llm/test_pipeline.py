@@ -7,7 +7,10 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from helixframe.llm import queries
+from helixframe.llm import packing, queries
+from tests.llm.test_minhash import components
+from tests.llm.test_records import check_sequences, serial_best_fit
+from tests.llm.test_texts import brute_hits, kept_lines, line_owners
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +70,65 @@ def test_stages_take_effect(spark, small):
     assert {r.doc_id for r in out.collect()} == {1, 6, 7, 9, 10, None}
 
 
+def serial_stages(rows, items):
+    """(doc_id, text) that the first four stages keep, by the serial versions of the operators."""
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    yield rows
+    owner = line_owners(rows)
+    rows = [(doc, "\n".join(kept_lines(doc, text, owner))) for doc, text in rows]
+    yield rows
+    # rows of one id and one text share a verdict; components as of all rows
+    label = components(rows, 80)
+    rows = [r for r, low in zip(rows, label) if low is None or low == r[0]]
+    yield rows
+    bad = {}
+    for r in rows:
+        bad[r] = brute_hits([r], items)[0][-1]
+    rows = [r for r in rows if not bad[r]]
+    yield rows
+
+
+def test_stages_equal_serial_versions(spark, tmp_path):
+    """Nulls, empty and repeated texts and ids, a very long text, and columns with names of our own."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, lines = text(30), [f"a common line of number {i}" for i in range(5)]
+    rows = []
+    for i in range(60):
+        body = text(rng.randint(3, 60))
+        if i % 4 == 1 and rows and rows[-1][1]:
+            w = rows[-1][1].split(" ")
+            w[rng.randrange(len(w))] = "edited"
+            body = " ".join(w)
+        if i % 5 == 0:
+            body += "\n" + rng.choice(lines) + "\n" + text(8)
+        if i % 7 == 0:
+            body += " " + passage.upper()
+        rows.append((i * 2, body))
+    rows += [(500, None), (501, ""), (502, "12 ?"), (4, rows[2][1]), (4, "another text of the same id is here today"), (None, text(20)), (None, rows[0][1]), (503, text(30_000)), (504, lines[0])]
+    full = [(*r, "de", "x", "y", 3, [1]) for r in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, _hf_text string, _hf_id string, n_words int, c0 array<int>")
+    folder = str(tmp_path)
+    spark.createDataFrame([(0, passage), (1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for (name, stage), want in zip(corpus_pipeline.STAGES, serial_stages(rows, [(0, passage), (1, None)])):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) == sorted(want, key=repr), name
+        assert all((r._hf_text, r._hf_id, r.n_words, r.c0) == ("x", "y", 3, [1]) for r in docs.collect())
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    pieces = corpus_pipeline.pack(spark, docs, folder).collect()
+    sizes = {}
+    for doc, text_ in want:
+        sizes.setdefault(doc, []).append(len(tokenizer.encode(text_ or "", add_special_tokens=False).ids) + 1)
+    assert {d: sum(r.length for r in pieces if r.doc_id == d) for d in sizes} == {d: sum(n) for d, n in sizes.items()}
+    check_sequences(pieces, 4096, serial_best_fit([r.length for r in pieces], 4096))
+
+
 def test_run_and_empty_table(spark, small):
     docs, folder = small
     assert corpus_pipeline.run(spark, folder).count() >= 8

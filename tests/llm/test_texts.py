@@ -20,17 +20,29 @@ def lower(text):
 # Line dedup
 
 
-def brute_lines(rows):
-    key = lambda line: lower(line.strip(SPACE))
+def key(line):
+    return lower(line.strip(SPACE))
+
+
+def line_owners(rows):
     owner = {}
     for doc, text in rows:
         if doc is not None:
             for line in (text or "").split("\n"):
                 owner[key(line)] = min(doc, owner.get(key(line), doc))
+    return owner
+
+
+def kept_lines(doc, text, owner):
+    return [x for x in (text or "").split("\n") if doc is None or len(key(x)) < 10 or owner[key(x)] == doc]
+
+
+def brute_lines(rows):
+    owner = line_owners(rows)
     out = []
     for doc, text in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if doc is None or len(key(x)) < 10 or owner[key(x)] == doc]
+        kept = kept_lines(doc, text, owner)
         out.append((doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out, key=repr)
 
