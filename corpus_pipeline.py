@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontam, langid, linededup, minhash, packing
-from helixframe.llm.common import read_table, store
+from helixframe.llm.common import discard, read_table, store
 
 #: 36 bands miss a pair at 0.8 with a probability of 6e-7, as 24 do at 0.85.
 NEAR = minhash.Params(percent=80, bands=36)
@@ -82,9 +82,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages; what the first ones keep is deleted as soon as the next is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = store(docs, f"stage-{i}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
