@@ -107,3 +107,70 @@ def substitute_variants(variants: DataFrame) -> DataFrame:
 def allele(base, ref, first, second):
     """1 reference, 2 first, 3 second allele, 4 none of them."""
     return F.when(base == ref, 1).when(base == first, 2).when(base == second, 3).otherwise(4)
+
+
+def lift_annotation(lines: DataFrame, chain: DataFrame) -> DataFrame:
+    """(line_no, value, lifted): annotation lines on the new assembly; those that cannot be lifted stay as they are.
+
+    ``lines`` is (line_no, value), ``chain`` (chr, new_chr, s1, s2, len).  Empty
+    lines and comments are left out.  A line with fewer than five fields, or
+    whose end would lie before its start, is not lifted; one of a chromosome
+    without a chain fails the query.
+    """
+    f = F.split("value", r"\s+")
+    rows = lines.filter((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    rest = F.regexp_extract("value", r"^\s*\S+\s+\S+\s+\S+\s+\S+\s+\S+(.*)$", 1)
+    parsed = rows.select("line_no", "value", f.alias("f"), rest.alias("rest"), f[0].alias("chr")).join(
+        F.broadcast(chain.groupBy("chr").agg(F.first("new_chr").alias("new_chr"))), "chr", "left"
+    )  # a chain file has a few chromosomes
+    known = F.when(F.col("new_chr").isNull(), F.raise_error(F.concat(F.lit("no chain for chromosome "), "chr"))).otherwise(F.col("new_chr"))
+    number = lambda i: F.coalesce(F.get("f", F.lit(i)).try_cast("long"), F.lit(0))
+    parsed = parsed.withColumn("new_chr", known).withColumn("_full", F.size("f") >= 5)
+    ends = parsed.select(
+        F.col("line_no").alias("id"), "chr", F.explode(F.array(F.struct(number(3).alias("pos"), F.lit(False).alias("is_end")), F.struct(number(4).alias("pos"), F.lit(True).alias("is_end")))).alias("e")
+    ).select("id", "chr", "e.pos", "e.is_end")
+    at = lift(ends, chain.select("chr", "s1", "s2", "len"))
+    at = at.groupBy("id").agg(F.max(F.when(~F.col("is_end"), F.col("lifted"))).alias("start"), F.max(F.when(F.col("is_end"), F.col("lifted"))).alias("end"))
+    out = parsed.join(at, F.col("line_no") == F.col("id"), "left")
+    ok = F.col("_full") & F.coalesce(F.col("end") >= F.col("start"), F.lit(False))
+    new = F.concat(F.concat_ws("\t", "new_chr", F.get("f", F.lit(1)), F.get("f", F.lit(2)), F.col("start").cast("string"), F.col("end").cast("string")), F.col("rest"))
+    return out.select("line_no", F.when(ok, new).otherwise(F.col("value")).alias("value"), ok.alias("lifted"))
+
+
+def allele_swaps(reads: DataFrame, sites: DataFrame, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(codes, swaps) of the allele test of mapped reads.
+
+    ``reads`` is (read_id, n_loci, seq in the direction of the genome),
+    ``sites`` (read_id, read_pos, allele1, allele2, allele) of each variant site
+    that a read covers.  ``codes`` (read_id, code) has 2 for reads of several
+    places, 7 for more than ``most`` sites and 3 for a base that is neither
+    allele nor the reference; ``swaps`` (read_id, combo, seq) the other reads once for each
+    combination of alleles but their own, to be aligned again.
+    """
+    item = F.struct("read_pos", "allele1", "allele2", "allele")
+    of = sites.groupBy("read_id").agg(F.sort_array(F.collect_list(item)).alias("sites"))
+    rows = reads.join(of, "read_id")
+    code = F.when(F.col("n_loci") > 1, 2).when(F.size("sites") > most, 7).when(F.exists("sites", lambda x: x["allele"] > 3), 3)
+    rows = rows.withColumn("code", code)
+    open_ = rows.filter("code is null")
+    combos = F.sequence(F.lit(0), F.expr("shiftleft(1, size(sites)) - 1"))
+    own = F.forall(F.transform("sites", lambda x, i: x["allele"] == F.call_function("getbit", F.col("combo"), i) + 1), lambda ok: ok)
+    each = open_.select("read_id", "seq", "sites", F.explode(combos).alias("combo")).filter(~own)
+    put = lambda seq, x: F.concat(F.substring(seq, F.lit(1), x["x"]["read_pos"]), x["base"], F.substring(seq, x["x"]["read_pos"] + 2, F.length(seq)))
+    chosen = F.transform("sites", lambda x, i: F.struct(x.alias("x"), F.when(F.call_function("getbit", F.col("combo"), i) == 1, x["allele2"]).otherwise(x["allele1"]).alias("base")))
+    swaps = each.select("read_id", "combo", F.aggregate(chosen, F.col("seq"), put).alias("seq"))
+    return rows.filter("code is not null").select("read_id", "code"), swaps
+
+
+def allele_codes(first: DataFrame, codes: DataFrame, swaps: DataFrame, again: DataFrame) -> DataFrame:
+    """(read_id, code): 1 passed; 4 a swapped read has no place, 5 several, 6 another one; with ``codes`` as they are.
+
+    ``first`` is (read_id, place) of the reads, ``again`` (read_id, combo,
+    place) of the swapped ones, a row for each place; the first combination
+    that does not come back decides.
+    """
+    n = again.groupBy("read_id", "combo").agg(F.count(F.lit(1)).alias("n"), F.first("place").alias("new"))
+    rows = swaps.select("read_id", "combo").join(n, ["read_id", "combo"], "left").join(first.select("read_id", "place"), "read_id")
+    bad = F.when(F.col("n").isNull(), 4).when(F.col("n") > 1, 5).when(F.col("new") != F.col("place"), 6)
+    out = rows.groupBy("read_id").agg(F.min_by(bad, F.when(bad.isNotNull(), F.col("combo"))).alias("code"))
+    return codes.unionByName(out.select("read_id", F.coalesce("code", F.lit(1)).alias("code")))

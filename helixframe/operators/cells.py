@@ -160,6 +160,28 @@ def read_stats(reads: DataFrame) -> DataFrame:
     )
 
 
+#: The flags of a read that the table of barcodes counts, in its order.
+READ_FLAGS = (
+    "cbPerfect", "cbMMunique", "cbMMmultiple", "genomeU", "genomeM", "featureU", "featureM", "exonic", "intronic", "exonicAS", "intronicAS", "mito",
+    "countedU", "countedM",
+)
+
+
+def read_table(reads: DataFrame, counts: DataFrame) -> DataFrame:
+    """The twenty columns of each barcode: its reads, those with each flag, and its molecules and genes.
+
+    ``reads`` is (cb, the flags as booleans), with a null ``cb`` for reads without a
+    listed barcode; ``counts`` (cb, gene, value).  Molecules of several genes
+    are not counted by cell and give 0.
+    """
+    n = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long")).alias(c)
+    rows = reads.groupBy("cb").agg(F.count(F.lit(1)).alias("cbMatch"), *map(n, READ_FLAGS))
+    umis = counts.groupBy("cb").agg(F.sum("value").alias("nUMIunique"), F.count(F.lit(1)).alias("nGenesUnique"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    none = (F.lit(0).cast("long").alias(c) for c in ("nUMImulti", "nGenesMulti"))
+    return rows.join(umis, "cb", "left").select("cb", "cbMatch", *READ_FLAGS, zero("nUMIunique"), zero("nGenesUnique"), *none)
+
+
 def read_counts(assigned: DataFrame) -> DataFrame:
     """(cell, gene, value): reads of one gene, for libraries without molecule tags."""
     return assigned.filter("status = 'gene'").groupBy("cell", "gene").agg(F.count(F.lit(1)).alias("value"))

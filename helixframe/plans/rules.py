@@ -228,3 +228,103 @@ def gtf_junctions(spark, d):
     path = scratch(spark, "junctions")
     spark.createDataFrame([("chr9\t5\t9\t+",), ("chr9\t5\t9\t+",)], "value string").write.text(path)
     return D.annotated_junctions(_exons(spark, d), sources.junction_table(spark, path))
+
+
+TAGS = """with a as (select distinct l_orderkey as read_id, l_linenumber as line, l_partkey as part, l_suppkey as supp from lineitem)
+, t as (select *, part % 7 as m1, supp % 7 as m2, part % 2 = 0 as a1, supp % 3 = 0 as a2, 10 + line as len1, 21 + supp as gap1, 30 as len2, 40 + part % 50 as gap2 from a)"""
+
+
+@query(TAGS + """ select read_id, line, part, supp, line + part % 3 + 1 + supp % 4 + 1 as nm,
+  case when (m1 in (1, 3, 5) or m2 in (1, 3, 5)) and not (m1 in (2, 4, 6) or m2 in (2, 4, 6)) then '+'
+    when (m1 in (2, 4, 6) or m2 in (2, 4, 6)) and not (m1 in (1, 3, 5) or m2 in (1, 3, 5)) then '-' end as xs,
+  (m1 + case when a1 then 20 else 0 end) || ',' || (m2 + case when a2 then 20 else 0 end) as jm,
+  (part * 50 + len1 + 1) || ',' || (part * 50 + len1 + gap1) || ',' || (part * 50 + len1 + gap1 + len2 + (supp % 4 + 1) + 1) || ',' || (part * 50 + len1 + gap1 + len2 + (supp % 4 + 1) + gap2) as ji
+from t""")
+def record_tags(spark, d):
+    from helixframe.operators import tags as R
+
+    part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    cigar = S.parse_cigar(text(10 + line, "M", 21 + supp, "N", part % 3 + 1, "I", F.lit(30), "M", supp % 4 + 1, "D", part % 50 + 40, "N9M"))
+    motifs, known = F.array((part % 7).cast("int"), (supp % 7).cast("int")), F.array(part % 2 == 0, supp % 3 == 0)
+    joined = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    rows = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    return rows.select(
+        F.col("l_orderkey").alias("read_id"), line.alias("line"), part.alias("part"), supp.alias("supp"), R.edit_distance(line, cigar).cast("long").alias("nm"),
+        R.transcript_strand(motifs).alias("xs"), joined(R.junction_motifs(motifs, known)).alias("jm"), joined(R.junction_places(part * 50, cigar)).alias("ji"),
+    )
+
+
+RECORDS = """with o as (select o_orderkey as k, o_custkey % 5 as chr, o_custkey % 300 * 37 as p, o_orderkey % 9 as odd, cast(floor(o_totalprice) as bigint) % 50 as score from orders)
+, r as (select k * 2 as record, k as name, chr, p as pos, p + 60 + odd % 2 * 40 as mate_pos, case when odd = 4 then 163 else 99 end as flag, case when odd = 7 then 2 else 1 end as n_loci, score, p - odd % 3 as unclip, 50 as cigar from o
+  union all select k * 2 + 1, k, chr, p + 60 + odd % 2 * 40, p, case when odd = 4 then 83 else 147 end, case when odd = 7 then 2 else 1 end, score + 1, p + 60 + odd % 2 * 40, 51 from o)
+, m as (select *, case when n_loci = 1 and mate_pos > pos then mate_pos end as m from r)"""
+
+
+@query(RECORDS + """, p as (select *, max(m) over w as past, count(m) over w as g from m window w as (partition by chr order by pos, record rows between unbounded preceding and 1 preceding))
+, f as (select *, g > 0 and pos > past as beyond from p)
+, n as (select *, beyond and row_number() over (partition by chr, g, beyond order by pos, record) = 1 as new from f)
+, c as (select *, 1 + count(*) filter (new) over (partition by chr order by pos, record) as cluster from n)
+, u as (select *, flag & 128 > 0 as two from c where n_loci = 1)
+, q as (select chr, cluster, name, max(unclip) filter (not two) as u1, max(unclip) filter (two) as u2, max(flag) filter (not two) as f1, max(flag) filter (two) as f2,
+  max(cigar) filter (not two) as c1, max(cigar) filter (two) as c2, max(score) filter (not two) as s from u group by chr, cluster, name having count(*) = 2 and count(distinct two) = 2)
+, k as (select *, row_number() over (partition by chr, cluster, u1, u2, f1, f2, c1, c2 order by s desc, len(name::varchar), name::varchar) as k from q)
+, free as (select record from u join k on k.chr = u.chr and k.cluster = u.cluster and k.name = u.name where k.k = 1)
+select record, n_loci = 1 and record not in (select record from free) as duplicate from r""")
+def dup_mark_full(spark, d):
+    from helixframe.operators import duplicates as Q
+
+    k, p, odd = F.col("o_orderkey"), F.col("o_custkey") % 300 * 37, F.col("o_orderkey") % 9
+    other, score = p + 60 + odd % 2 * 40, F.floor("o_totalprice") % 50
+    side = lambda record, pos, mate, flag, s, unclip, cigar: F.struct(
+        record.alias("record"), pos.alias("pos"), mate.alias("mate_pos"), flag.alias("flag"), s.alias("score"), unclip.alias("unclip"), F.lit(cigar).alias("cigar")
+    )
+    one = side(k * 2, p, other, F.when(odd == 4, 163).otherwise(99), score, p - odd % 3, 50)
+    two = side(k * 2 + 1, other, p, F.when(odd == 4, 83).otherwise(147), score + 1, other, 51)
+    rows = V.table(spark, d, "orders").select(
+        k.cast("string").alias("name"), (F.col("o_custkey") % 5).alias("chr"), F.when(odd == 7, 2).otherwise(1).alias("n_loci"), F.explode(F.array(one, two)).alias("r")
+    )
+    rows = rows.select("name", "chr", "n_loci", "r.*", F.lit("").alias("seq"))
+    return Q.marked(rows, width=1000).select("record", "duplicate")
+
+
+@query(with_views("chain") + """, l as (select p_partkey as line_no, p_partkey % 5 as chr, p_partkey * 17 as s, p_partkey * 17 + p_size * 20 as e from part)
+, b as (select *, lead(s2) over (partition by chr order by s1) as n2 from chain)
+, h as (select chr, arg_min(s2, s1) as s2 from chain group by chr)
+, js as (select l.line_no, b.s1, b.s2, b.len, b.n2, row_number() over (partition by l.line_no order by b.s1 desc) as k from l left join b on b.chr = l.chr and b.s1 <= l.s)
+, je as (select l.line_no, b.s1, b.s2, b.len, row_number() over (partition by l.line_no order by b.s1 desc) as k from l left join b on b.chr = l.chr and b.s1 <= l.e)
+, x as (select l.*, case when js.s1 is not null and l.s < js.s1 + js.len then js.s2 + l.s - js.s1 when js.s1 is null then h.s2 else js.n2 end as ns,
+  case when je.s1 is not null and l.e < je.s1 + je.len then je.s2 + l.e - je.s1 when je.s1 is not null then je.s2 + je.len - 1 end as ne
+  from l join js on js.line_no = l.line_no and js.k = 1 join je on je.line_no = l.line_no and je.k = 1 left join h on h.chr = l.chr)
+select line_no, coalesce(ne >= ns, false) as lifted, case when coalesce(ne >= ns, false) then 'n' || chr || chr(9) || 'a' || chr(9) || 'exon' || chr(9) || ns || chr(9) || ne || chr(9) || '.' || chr(9) || 'id "x"'
+  else chr || chr(9) || 'a' || chr(9) || 'exon' || chr(9) || s || chr(9) || e || chr(9) || '.' || chr(9) || 'id "x"' end as value from x""")
+def gtf_lift(spark, d):
+    c, at = (F.col("p_partkey") % 5).cast("string"), F.col("p_partkey") * 17
+    value = F.concat_ws("\t", c, F.lit("a"), F.lit("exon"), at.cast("string"), (at + F.col("p_size") * 20).cast("string"), F.lit("."), F.lit('id "x"'))
+    lines = V.table(spark, d, "part").select(F.col("p_partkey").alias("line_no"), value.alias("value"))
+    chain = V.chain_blocks(spark, d).withColumn("chr", F.col("chr").cast("string"))
+    return A.lift_annotation(lines, chain.withColumn("new_chr", F.concat(F.lit("n"), "chr")))
+
+
+@query("""with r as (select l_suppkey as cb, l_linenumber = 1 as perfect, l_linenumber = 2 as mm1, l_linenumber = 3 as mmn, l_partkey % 4 = 0 as gu, l_partkey % 4 = 1 as gm, l_returnflag = 'R' as fu,
+  l_returnflag = 'A' as fm, l_partkey % 3 = 0 as ex, l_partkey % 3 = 1 as intr, l_orderkey % 5 = 0 as exa, l_orderkey % 5 = 1 as inta, l_suppkey % 7 = 0 as mito, l_partkey % 2 = 0 as cu, l_linenumber > 5 as cm,
+  l_partkey % 8 as gene, l_orderkey % 64 as umi from lineitem)
+, m as (select cb, count(*) as u, count(distinct gene) as g from (select distinct cb, gene, umi from r where cu) group by cb)
+select cb, count(*) as "cbMatch", count(*) filter (perfect) as "cbPerfect", count(*) filter (mm1) as "cbMMunique", count(*) filter (mmn) as "cbMMmultiple", count(*) filter (gu) as "genomeU", count(*) filter (gm) as "genomeM",
+  count(*) filter (fu) as "featureU", count(*) filter (fm) as "featureM", count(*) filter (ex) as exonic, count(*) filter (intr) as intronic, count(*) filter (exa) as "exonicAS", count(*) filter (inta) as "intronicAS",
+  count(*) filter (mito) as mito, count(*) filter (cu) as "countedU", count(*) filter (cm) as "countedM", coalesce(any_value(u), 0) as "nUMIunique", coalesce(any_value(g), 0) as "nGenesUnique", cast(0 as bigint) as "nUMImulti",
+  cast(0 as bigint) as "nGenesMulti" from r left join m using (cb) group by cb""")
+def cell_read_table(spark, d):
+    from helixframe.operators import cells as C
+    from helixframe.operators import molecules as M
+
+    part, line, order, supp = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_suppkey")
+    flags = {
+        "cbPerfect": line == 1, "cbMMunique": line == 2, "cbMMmultiple": line == 3, "genomeU": part % 4 == 0, "genomeM": part % 4 == 1, "featureU": F.col("l_returnflag") == "R",
+        "featureM": F.col("l_returnflag") == "A", "exonic": part % 3 == 0, "intronic": part % 3 == 1, "exonicAS": order % 5 == 0, "intronicAS": order % 5 == 1, "mito": supp % 7 == 0,
+        "countedU": part % 2 == 0, "countedM": line > 5,
+    }
+    x = V.table(spark, d, "lineitem")
+    rows = x.select(supp.alias("cb"), *(c.alias(k) for k, c in flags.items()))
+    obs = x.filter(flags["countedU"]).select(supp.alias("cb"), (part % 8).alias("gene"), (order % 64).alias("umi"))
+    return C.read_table(rows, M.count_exact(M.molecules(obs)))
