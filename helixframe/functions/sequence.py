@@ -197,11 +197,12 @@ def primer_clips(seq: Column, most: int = 3, tail: int = 8) -> tuple[Column, Col
     return five, F.when(run >= tail, run).otherwise(0)
 
 
-def adapter_offset(seq: Column, adapter: str, share: float) -> Column:
+def adapter_offset(seq: Column, adapter: str, share: float, n_differs: bool = False) -> Column:
     """Where an adapter begins that may run past the end: most matches, then fewest mismatches, then first.
 
-    Mismatches may be ``share`` of the matches; N counts as neither.  Without
-    such a place it is the length of the sequence.
+    Mismatches may be ``share`` of the matches; N counts as neither, or as a
+    mismatch if ``n_differs``.  Without such a place it is the length of the
+    sequence.
     """
 
     def places(column: pd.Series) -> pd.Series:
@@ -214,7 +215,7 @@ def adapter_offset(seq: Column, adapter: str, share: float) -> Column:
                 part = x[i:]
                 hit = part == base
                 same[: len(part)] += hit
-                other[: len(part)] += ~hit & (part != 0x4E)
+                other[: len(part)] += ~hit & ((part != 0x4E) | n_differs)
             good = np.flatnonzero((same > 0) & (other <= share * same))
             out.append(int(good[(same[good] * (len(y) + 1) - other[good]).argmax()]) if len(good) else len(x))
         return pd.Series(out, dtype="int32")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators.intervals import as_of_join
+from helixframe.operators.intervals import as_of_join, overlap_clusters
 
 
 def within_score_range(aln: DataFrame, span: int = 1) -> DataFrame:
@@ -86,10 +86,11 @@ def lift(points: DataFrame, chain: DataFrame) -> DataFrame:
 
 
 def substitute_variants(variants: DataFrame) -> DataFrame:
-    """Variants of each chromosome that do not reach into one kept before, in order of position.
+    """Variants (chr, pos, ref_len, alt) that do not reach into one kept before, in order of position.
 
     A greedy rule along a chromosome: a variant is kept if it starts at or after
-    the end of the last kept one.
+    the end of the last kept one.  Only variants that overlap, directly or by
+    others, bear on each other, so the rule runs within each such group.
     """
 
     def keep(pdf):
@@ -99,9 +100,42 @@ def substitute_variants(variants: DataFrame) -> DataFrame:
             ok.append(pos >= end)
             if ok[-1]:
                 end = pos + size
-        return pdf[ok]
+        return pdf[ok].drop(columns="_group")
 
-    return variants.groupBy("chr").applyInPandas(keep, variants.schema)
+    last = F.col("pos") + F.greatest(F.col("ref_len"), F.lit(1)) - 1  # groups part where no base is shared
+    groups = overlap_clusters(variants.withColumn("_last", last), ["chr"], start="pos", end="_last", name="_group").drop("_last")
+    return groups.groupBy("chr", "_group").applyInPandas(keep, variants.schema)
+
+
+def transform_blocks(chromosomes: DataFrame, variants: DataFrame) -> DataFrame:
+    """(chr, old_start, new_start, len): stretches between insertions and deletions, on the old and the new sequence.
+
+    ``chromosomes`` is (chr, length), ``variants`` (chr, pos, ref_len, alt) as
+    kept.  The bases that an allele and its replacement share in number belong
+    to the stretch before.  The windows run over insertions and deletions.
+    """
+    shift = F.length("alt") - F.col("ref_len")
+    cuts = variants.filter(shift != 0).select("chr", "pos", (F.col("pos") + F.col("ref_len")).alias("old_start"), shift.alias("shift"), F.least(F.length("alt"), F.col("ref_len")).alias("kept"))
+    first = chromosomes.select("chr", F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("old_start"), F.lit(0).alias("shift"), F.lit(0).alias("kept"))
+    rows = first.unionByName(cuts.withColumn("pos", F.col("pos").cast("long")))
+    w = Window.partitionBy("chr").orderBy("pos")
+    moved = F.sum("shift").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select("chr", "old_start", (F.col("old_start") + moved).alias("new_start"), F.lead(F.col("pos") + F.col("kept")).over(w).alias("until"))
+    rows = rows.join(chromosomes.select("chr", F.col("length").alias("_end")), "chr")
+    return rows.select("chr", "old_start", "new_start", (F.coalesce("until", "_end") - F.col("old_start")).alias("len"))
+
+
+def transformed(chromosomes: DataFrame, variants: DataFrame, suffix: str = "") -> DataFrame:
+    """(chr, seq): sequences (chr, seq) with the kept variants put in; ``suffix`` is added to the names."""
+    item = F.struct("pos", "ref_len", "alt")
+    of = variants.groupBy("chr").agg(F.sort_array(F.collect_list(item)).alias("v"))
+    rows = chromosomes.join(of, "chr", "left")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("v", lambda x: (x["pos"] + x["ref_len"]).cast("long")))
+    text = lambda at, n: F.substring("seq", at.cast("int") + 1, n.cast("int"))
+    parts = F.zip_with("v", F.slice(ends, F.lit(1), F.size("v")), lambda x, end: F.concat(text(end, x["pos"] - end), x["alt"]))
+    tail = text(F.element_at(ends, -1), F.length("seq"))
+    new = F.when(F.col("v").isNull(), F.col("seq")).otherwise(F.concat(F.array_join(parts, ""), tail))
+    return rows.select(F.concat("chr", F.lit(suffix)).alias("chr"), new.alias("seq"))
 
 
 def allele(base, ref, first, second):

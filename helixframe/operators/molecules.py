@@ -212,3 +212,34 @@ def share_multi_em(unique: DataFrame, sets: DataFrame, rounds: int = 100, tolera
 
     both = one.unionByName(rows).select(F.col("cb").cast("long").alias("cb"), "molecule", F.col("gene").cast("long").alias("gene"), "u")
     return both.groupBy("cb").applyInArrow(run, "cb long, gene long, value double")
+
+
+#: How molecules of several genes are dealt with, by name.
+FILTERS = ("none", "multi", "all", "cr", "cr_full")
+METHODS = ("exact", "none", "1mm_cr", "1mm_all", "directional", "umitools")
+
+
+def count_matrix(obs: DataFrame, size: int, *, method: str = "exact", filtering: str = "none", ambiguous: DataFrame | None = None) -> DataFrame:
+    """(cb, gene, value) of observations (cb, umi, gene) of ``size`` bases.
+
+    ``ambiguous`` are observations (cb, umi, gene) of reads whose barcode was
+    chosen among several listed ones; they are counted with the others.  Genes
+    are filtered first, then tags are collapsed; ``cr_full`` decides the gene on
+    collapsed tags and counts those left, whatever the method.
+    """
+    if filtering not in FILTERS or method not in METHODS:
+        raise ValueError(f"filtering must be one of {FILTERS}, method one of {METHODS}")
+    mols = molecules(obs if ambiguous is None else obs.select("cb", "umi", "gene").unionByName(ambiguous.select("cb", "umi", "gene")))
+    if filtering == "cr_full":
+        return count_exact(filter_cr_corrected(mols, size))
+    if filtering != "none":
+        mols = filter_multi_gene(mols, filtering)
+    if method == "exact":
+        return count_exact(mols)
+    if method == "none":
+        return count_reads(mols)
+    if method == "1mm_cr":
+        return count_cr(mols, size)
+    if method == "1mm_all":
+        return count_components(mols, size)
+    return count_directional(mols, size, -1 if method == "umitools" else 0)

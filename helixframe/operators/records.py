@@ -16,7 +16,7 @@ def flag(reverse: Column, hit: Column, *, paired: Column | None = None, proper:
     out = bit(reverse, 16) + bit(hit > 1, 256)
     if paired is not None:
         out = out + bit(paired, 1) + bit(proper, 2) + bit(mate_reverse, 32) + F.when(mate == 1, 64).otherwise(128)
-    return out.bitwiseOR(F.lit(set_bits)).bitwiseAND(F.lit(keep_bits))
+    return out.bitwiseAND(F.lit(keep_bits)).bitwiseOR(F.lit(set_bits))
 
 
 def cigar_text(cigar: Column) -> Column:

@@ -328,3 +328,43 @@ def cell_read_table(spark, d):
     rows = x.select(supp.alias("cb"), *(c.alias(k) for k, c in flags.items()))
     obs = x.filter(flags["countedU"]).select(supp.alias("cb"), (part % 8).alias("gene"), (order % 64).alias("umi"))
     return C.read_table(rows, M.count_exact(M.molecules(obs)))
+
+
+@query(with_views("sparse") + """, m0 as (select cb, umi, gene, cast(sum(1) as bigint) as reads from sparse group by cb, umi, gene)
+, w as (select *, count(*) over (partition by cb, umi) as g, max(reads) over (partition by cb, umi) as x from m0)
+, m as (select cb, umi, gene, reads from w where g = 1 or reads >= case when x = 1 then 2 else x end)
+, e as (select a.cb, a.gene, a.umi, a.reads, b.umi as other, b.reads as other_reads from m a join m b on a.cb = b.cb and a.gene = b.gene and a.umi <> b.umi
+  and bit_count((xor(a.umi, b.umi) | (xor(a.umi, b.umi) >> 1)) & 349525) = 1)
+, t as (select cb, gene, umi, arg_max(other, other_reads * 4096 + other) as target from e where (other_reads, other) > (reads, umi) group by cb, gene, umi)
+select m.cb, m.gene, count(distinct coalesce(t.target, m.umi)) as value from m left join t on m.cb = t.cb and m.gene = t.gene and m.umi = t.umi group by m.cb, m.gene""")
+def matrix_filter_collapse(spark, d):
+    """Genes are filtered, then tags collapsed; a third of the observations are ambiguous ones."""
+    from helixframe.operators import molecules as M
+
+    obs = V.sparse(spark, d)
+    extra = F.col("n") % 3 == 0
+    return M.count_matrix(obs.filter(~extra), 5, method="1mm_cr", filtering="multi", ambiguous=obs.filter(extra))
+
+
+VARIANTS = """with v as (select p_partkey % 5 as chr, p_partkey * 30 as pos, 1 + p_size % 3 as ref_len, repeat('G', 1 + p_size % 4) as alt from part)
+, c as (select range as chr, cast((select max(p_partkey) from part) * 30 + 100 as bigint) as length from range(5))
+, x as (select chr, pos, pos + ref_len as old_start, len(alt) - ref_len as shift, least(len(alt), ref_len) as kept from v where len(alt) <> ref_len union all select chr, -1, 0, 0, 0 from c)
+, y as (select chr, old_start, old_start + sum(shift) over w as new_start, lead(pos + kept) over w as until from x window w as (partition by chr order by pos))"""
+
+
+@query(VARIANTS + """ select y.chr, old_start, cast(new_start as bigint) as new_start, coalesce(until, length) - old_start as len from y join c on c.chr = y.chr""")
+def transform_blocks(spark, d):
+    x = V.table(spark, d, "part")
+    size = F.col("p_size")
+    variants = x.select((F.col("p_partkey") % 5).alias("chr"), (F.col("p_partkey") * 30).alias("pos"), (size % 3 + 1).alias("ref_len"), F.repeat(F.lit("G"), size % 4 + 1).alias("alt"))
+    length = x.agg(F.max("p_partkey") * 30 + 100).first()[0]
+    chromosomes = spark.range(5).select(F.col("id").alias("chr"), F.lit(length).cast("long").alias("length"))
+    return A.transform_blocks(chromosomes, A.substitute_variants(variants))
+
+
+@query(with_views("obs") + """ select chr, "start", "end", strand, motif, count(*) as n_unique, cast(0 as bigint) as n_multi, max(overhang) as overhang, bool_or(annotated) as annotated
+from obs where is_unique group by chr, "start", "end", strand, motif""")
+def sj_unique_only(spark, d):
+    from helixframe.operators import junctions as J
+
+    return J.collapse(P.unique_only(V.junction_obs(spark, d)))

@@ -109,3 +109,10 @@ def unmapped_lines(reads: DataFrame, mapped: DataFrame, mate: int | None = None)
     rest = reads.join(mapped.select("read_no").distinct(), "read_no", "left_anti")
     name = F.col("name") if mate is None else F.concat("name", F.lit(f" {mate}:N:"))
     return fastq_lines(rest.withColumn("name", name))
+
+
+def block_lines(blocks: DataFrame) -> DataFrame:
+    """The number of blocks, then new start, length and old start of each (chr, old_start, new_start, len)."""
+    body = blocks.select(F.lit(1).alias("_at"), "chr", "old_start", F.concat_ws("\t", *(F.col(c).cast("string") for c in ("new_start", "len", "old_start"))).alias("value"))
+    head = blocks.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("_at"), F.concat(F.col("n").cast("string"), F.lit("\t-1")).alias("value"))
+    return body.unionByName(head, allowMissingColumns=True).orderBy("_at", "chr", "old_start").select("value")

@@ -91,3 +91,32 @@ def test_report_and_unmapped_reads(spark):
     rows = spark.createDataFrame([(0, "a", "AC", "II"), (1, "b", "GT", "II")], "read_no long, name string, seq string, qual string")
     gone = sinks.unmapped_lines(rows, spark.createDataFrame([(0,)], "read_no long"), 1).collect()
     assert [r.value for r in gone] == ["@b 1:N:\nGT\n+\nII"]
+
+
+def test_genome_transform_and_blocks(spark):
+    from helixframe.operators import alignments
+
+    seq = "ACGTACGTACGTACGTACGT"
+    rows = [("c1", 2, 1, "T"), ("c1", 5, 2, "A"), ("c1", 6, 1, "CCC"), ("c1", 10, 1, "GGG"), ("c1", 10, 1, "TTT")]
+    variants = alignments.substitute_variants(spark.createDataFrame(rows, "chr string, pos long, ref_len int, alt string"))
+    assert sorted(map(tuple, variants.collect())) == [("c1", 2, 1, "T"), ("c1", 5, 2, "A"), ("c1", 10, 1, "GGG")]
+    both = spark.createDataFrame([("c1", seq), ("c2", "AAAA")], "chr string, seq string")
+    new = {r.chr: r.seq for r in alignments.transformed(both, variants, "_h1").collect()}
+    assert new == {"c1_h1": seq[:2] + "T" + seq[3:5] + "A" + seq[7:10] + "GGG" + seq[11:], "c2_h1": "AAAA"}
+    blocks = alignments.transform_blocks(both.select("chr", F.length("seq").cast("long").alias("length")), variants)
+    assert sorted(map(tuple, blocks.collect())) == [("c1", 0, 0, 6), ("c1", 7, 6, 4), ("c1", 11, 12, 9), ("c2", 0, 0, 4)]
+    assert [r.value for r in sinks.block_lines(blocks).collect()] == ["4\t-1", "0\t6\t0", "6\t4\t7", "12\t9\t11", "0\t4\t0"]
+
+
+def test_projection_modes(spark):
+    from helixframe.operators import filters
+
+    rows = spark.createDataFrame([(1, "10M", True), (2, "5M1I5M", True), (3, "3M9N7M", False)], "i int, c string, both boolean").withColumn("cigar", S.parse_cigar(F.col("c")))
+    ids = lambda *a, **k: sorted(r.i for r in filters.projectable(rows, *a, **k).collect())
+    assert ids() == [1, 3] and ids("keep") == [1, 2, 3] and ids("extend", paired=True) == [1, 2] and ids(paired=True) == [1]
+
+
+def test_ambiguous_bases_as_mismatches(spark):
+    df = spark.createDataFrame([("ACGTAGNTC", 4, 9)], "s string, plain int, strict int")
+    row = df.select("*", S.adapter_offset(F.col("s"), "AGATC", 0.3).alias("a"), S.adapter_offset(F.col("s"), "AGATC", 0.2, True).alias("b")).first()
+    assert (row.a, row.b) == (row.plain, row.strict)
