@@ -1,13 +1,13 @@
 """Best-fit packing of tokenised documents into sequences of a fixed size.
 
 Documents are tokenised where they lie.  Packing runs in bulk-synchronous
-steps over lengths in descending order: the documents of one length and the
-gaps of the open sequences stand sorted by size, every document takes its
-successor (the smallest gap that holds it), ranks decide between documents that
-want the same gap, and the gaps are updated.  Documents of equal length, and
-gaps of equal size, are interchangeable, so a step works on runs (size, count):
-a table with no more rows than a sequence has tokens, whatever the corpus.
-Ranks are resolved to documents by distributed counts and one lookup.
+rounds, from long documents to short ones.  In a round the documents and the
+gaps of the open sequences are sorted by size into ranges.  Each range is swept
+from large to small: a document takes its successor, the smallest gap passed
+that is still free.  What a range leaves over meets across ranges by its rank:
+the documents left in one range take, in order, the last gaps left by the
+ranges before.  Then the gaps are updated, and the round is repeated.  Documents
+longer than every gap open as many new sequences as their lengths need at least.
 """
 
 from __future__ import annotations
@@ -16,14 +16,13 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import span_keys, store, utf8_runs
+from helixframe.llm.common import discard, span_keys, store, utf8_runs
 
 CAPACITY = 4096
 END_ID = 1
@@ -200,8 +199,7 @@ def encoder(path: str) -> Encoder:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    task = TaskContext.get().partitionId()
-    seen = np.zeros(capacity + 1, np.int64)
+    number = TaskContext.get().partitionId() << 33
     coder = encoder(path)
     for batch in batches:
         for begin, stop, data, off in utf8_runs(batch.column(1), RUN_BYTES):
@@ -212,80 +210,172 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
                 for piece, lo in enumerate(range(0, len(mine), capacity)):
                     part = mine[lo : lo + capacity]
                     raw = part.tobytes()
-                    rows.append((begin + i, piece, lo, len(part), zlib.crc32(raw), int(seen[len(part)]), part if with_ids else None))
-                    seen[len(part)] += 1
+                    rows.append((begin + i, piece, lo, len(part), zlib.crc32(raw), number, part if with_ids else None))
+                    number += 1
             cols = list(zip(*rows)) if rows else [()] * 7
             out = [batch.column(0).take(pa.array(cols[0], pa.int32())), *(pa.array(c, pa.int64()) for c in cols[1:6])]
-            out.append(pa.array([task] * len(rows), pa.int64()))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "task"]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "id"]
             if with_ids:
                 out.append(pa.array([p.astype(np.int32) for p in cols[6]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
 
 
-@dataclass
-class Plan:
-    """Runs of placements, sorted by (length, first rank).
+#: Documents of one class are at most so many times as long as the shortest.
+CLASS = 3
+#: Rows of documents and gaps that one task sweeps.
+SWEEP_ROWS = 50_000
+DOC, GAP = 1, 0
+STATE = "kind int, id long, size int"
+SWEPT = "part int, kind int, id long, size int, seq long, gap int, first long, n long"
 
-    The documents of ``length`` with ranks from ``rank`` go ``per`` to a
-    sequence, from ``sequence`` on, the first of each at ``offset``.
+
+def _sweep(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """Match the documents of one range with its gaps, sorted from large to small.
+
+    A gap counts as many times as ``longest`` fits in, each time with an equal
+    part of its size.  Gives matches (kind ``DOC``, with ``seq``), then what is
+    left: documents with their rank in ``first``, gaps with ``n`` parts from
+    ``first`` on.
     """
+    from pyspark import TaskContext
 
-    key: np.ndarray
-    rank: np.ndarray
-    sequence: np.ndarray
-    per: np.ndarray
-    offset: np.ndarray
-    sequences: int
-
-    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.key, _key(length, rank), "right") - 1
-        nth = rank - self.rank[at]
-        return self.sequence[at] + nth // self.per[at], self.offset[at] + nth % self.per[at] * length
-
-
-def _key(length: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    return (np.asarray(length, np.int64) << 48) | np.asarray(rank, np.int64)
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> Plan:
-    """Best fit over runs of equal lengths, in descending order of length."""
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-    open_gaps = np.zeros(capacity + 1, bool)
-    runs: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            gaps[gap].append((first, n))
-            open_gaps[gap] = True
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            ahead = open_gaps[length:]
-            gap = length + int(ahead.argmax()) if ahead.any() else capacity
-            per = gap // length
-            need = -(-left // per)
-            if open_gaps[gap]:
-                first, n = gaps[gap].pop()
-                open_gaps[gap] = bool(gaps[gap])
-                used = min(n, need)
-                put(gap, first + used, n - used)
+    part = TaskContext.get().partitionId()
+    names = [x.split()[0] for x in SWEPT.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    stack: list[list[int]] = []
+    left = 0
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    for batch in batches:
+        out: list[tuple] = []
+        for kind, item, size in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "size"))):
+            if kind == GAP:
+                stack.append([item, size, max(1, size // longest)])
+            elif stack:
+                top = stack[-1]
+                out.append((part, DOC, item, size, top[0], top[1], None, None))
+                top[2] -= 1
+                if not top[2]:
+                    stack.pop()
             else:
-                first, used = sequences, need
-                sequences += need
-            taken = min(left, used * per)
-            runs.append((length, rank, first, per, capacity - gap))
-            full, rest = divmod(taken, per)
-            put(gap - per * length, first, full)
-            if rest:
-                put(gap - rest * length, first + full, 1)
-            rank, left = rank + taken, left - taken
-    runs.sort()
-    length, rank, first, per, offset = (np.array(c, np.int64) for c in (zip(*runs) if runs else [()] * 5))
-    return Plan(_key(length, rank), rank, first, per, offset, sequences)
+                out.append((part, DOC, item, size, None, None, left, None))
+                left += 1
+        if out:
+            yield rows(out)
+    first, out = 0, []
+    for item, size, n in stack:
+        out.append((part, GAP, item, size, None, None, first, n))
+        first += n
+    if out:
+        yield rows(out)
+
+
+def across(totals: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(range, first document, documents, range of their gaps, last part) from (range, documents left, parts left).
+
+    Ranges go from large to small, and in each the documents left come before
+    the gaps left: the documents take the parts that were left last.
+    """
+    stack: list[list[int]] = []
+    out = []
+    for part, docs, gaps in sorted(totals):
+        rank = 0
+        while rank < docs and stack:
+            top = stack[-1]
+            n = min(docs - rank, top[1])
+            out.append((part, rank, n, top[0], top[1] - 1))
+            rank, top[1] = rank + n, top[1] - n
+            if not top[1]:
+                stack.pop()
+        if gaps:
+            stack.append([part, gaps])
+    return out
+
+
+def _parts_taken(batches: Iterator[pa.RecordBatch], taken: list[tuple[int, int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """(part, first, seq, gap): the document, by range and rank, that takes a part of each gap left over."""
+    for batch in batches:
+        out = []
+        for part, item, size, first, n in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "size", "first", "n"))):
+            for doc_part, rank, docs, gap_part, last in taken:
+                if gap_part == part:
+                    # part numbers last, last - 1, ... go to ranks rank, rank + 1, ...
+                    hi, lo = min(last, first + n - 1), max(last - docs + 1, first)
+                    out += [(doc_part, rank + last - x, item, size) for x in range(hi, lo - 1, -1)]
+        cols = list(zip(*out)) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["part", "first", "seq", "gap"])
+
+
+def best_fit(items: DataFrame, capacity: int) -> DataFrame:
+    """(id, sequence_id, offset) of items (id, length), each at most ``capacity`` long.
+
+    Items that fill a sequence have one of their own, of an odd number; the
+    others share sequences of even numbers.  What reaches the driver is the
+    number of documents and gaps of each size, at most two rows a size, and one
+    row a range.
+    """
+    spark = items.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    logs = [items.filter(F.col("length") == capacity).select("id", (F.col("id") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    state = items.filter(F.col("length") < capacity).select(F.lit(DOC).alias("kind"), "id", F.col("length").cast("int").alias("size"))
+    kept: list[DataFrame] = []
+    opened, least = 0, capacity
+    while True:
+        sizes = [(r["kind"], r["size"], r["count"]) for r in state.groupBy("kind", "size").count().collect()]
+        docs = {size: n for kind, size, n in sizes if kind == DOC}
+        if not docs:
+            break
+        if max(docs) <= least:  # the next class
+            least = max(docs) // CLASS
+        docs = {size: n for size, n in docs.items() if size > least}
+        gaps = {size: n for kind, size, n in sizes if kind == GAP and size > least}
+        longest, widest = max(docs), max(gaps, default=0)
+        # documents longer than every gap ask for as many new sequences as their lengths need at least
+        more = -(-sum(size * n for size, n in docs.items() if size > widest) // capacity)
+        fresh = spark.range(opened, opened + more).select(F.lit(GAP).alias("kind"), (F.col("id") * 2).alias("id"), F.lit(capacity).alias("size"))
+        state, opened = state.unionByName(fresh), opened + more
+        ranges = max(1, min(tasks, -(-(sum(docs.values()) + sum(gaps.values()) + more) // SWEEP_ROWS)))
+        pairs, swept = _matches(state.filter(F.col("size") > least), longest, ranges)
+        before = Window.partitionBy("seq").orderBy(F.col("size").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
+        at = capacity - F.col("gap") + F.coalesce(F.sum("size").over(before), F.lit(0))
+        log = store(pairs.select("id", F.col("seq").alias("sequence_id"), at.cast("long").alias("offset"), "size"), "placed")
+        logs.append(log.drop("size"))
+        # of a placed document nothing is left, of a gap what is not taken
+        used = log.groupBy(F.col("sequence_id").alias("id")).agg(F.sum("size").cast("int").alias("taken")).select(F.lit(GAP).alias("kind"), "id", "taken")
+        used = used.unionByName(log.select(F.lit(DOC).alias("kind"), "id", F.col("size").alias("taken")))
+        left = F.col("size") - F.coalesce("taken", F.lit(0))
+        state = store(state.join(used.hint("merge"), ["kind", "id"], "left").select("kind", "id", left.alias("size")).filter("size > 0"), "packing-state")
+        discard(swept, *kept)
+        kept = [state]
+    out = logs[0]
+    for log in logs[1:]:
+        out = out.unionByName(log)
+    return out
+
+
+def _matches(now: DataFrame, longest: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """(id, size, seq, gap) of the documents that find a gap in one round, and the stored table it is read from."""
+    parts = F.greatest(F.floor(F.col("size") / longest), F.lit(1))
+    slot = F.when(F.col("kind") == GAP, F.floor(F.col("size") / parts)).otherwise(F.col("size"))
+    order = [F.col("slot").desc(), F.col("kind"), F.col("id")]
+    rows = now.withColumn("slot", slot)
+    rows = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.repartition(1)
+    rows = rows.sortWithinPartitions(*order).select("kind", "id", "size")
+    swept = store(rows.mapInArrow(lambda b: _sweep(b, longest), SWEPT), "sweep")
+    pairs = swept.filter("seq is not null").select("id", "size", "seq", "gap")
+    if ranges > 1:
+        free = swept.filter((F.col("kind") == DOC) & F.col("seq").isNull())
+        open_ = swept.filter(F.col("kind") == GAP)
+        totals = free.groupBy("part").agg(F.count(F.lit(1)).alias("docs"), F.lit(0).alias("parts"))
+        totals = totals.unionByName(open_.groupBy("part").agg(F.lit(0).alias("docs"), F.sum("n").alias("parts"))).groupBy("part").agg(F.sum("docs"), F.sum("parts"))
+        taken = across([tuple(r) for r in totals.collect()])
+        taking = open_.mapInArrow(lambda b: _parts_taken(b, taken), "part int, first long, seq long, gap int")
+        met = free.select("part", "first", "id", "size").join(taking, ["part", "first"])
+        pairs = pairs.unionByName(met.select("id", "size", "seq", "gap"))
+    return pairs, swept
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -297,25 +387,14 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     ids.  A null or empty text is the end id alone; repeated rows are packed
     each, whatever their id; other columns are ignored; an empty table gives no
     row.  Sequences are filled from 0 on without gaps between their pieces.
+    Pieces of one length go by their number, so a length that is very common
+    is spread over ranges like any other.
     """
     path = tokenizer or default_tokenizer()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, nth long, task long" + ", ids array<int>" * with_ids
-    pieces = store(slim.mapInArrow(lambda b: _pieces(b, path, capacity, with_ids), schema), "pieces")
-    here = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = here.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    counts = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
-    plan = docs.sparkSession.sparkContext.broadcast(best_fit({r[0]: r[1] for r in counts}, capacity))
-
-    def place(batches):
-        for b in batches:
-            sequence, offset = plan.value.place(b.column("length").to_numpy(), b.column("rank").to_numpy())
-            keep = [c for c in b.schema.names if c not in ("rank",)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
-
-    ranked = pieces.join(base, ["length", "task"]).withColumn("rank", F.col("nth") + F.col("base"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    out = f"doc_id {kind}, piece long, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return ranked.select(*names, "rank").mapInArrow(place, out + ", sequence_id long, offset long")
+    schema = f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, id long" + ", ids array<int>" * with_ids
+    pieces = store(slim.mapInArrow(lambda b: _pieces(b, path, capacity, with_ids), schema), "pieces")
+    places = best_fit(pieces.select("id", "length"), capacity)
+    return pieces.join(places, "id").select(*names, "sequence_id", "offset")
