@@ -383,6 +383,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lowest = nodes.join(labels, "node").groupBy("comp").agg(F.min("rep").alias("low"))
     of_node = labels.join(lowest, "comp").select("node", "low")
     owner = nodes.select("node", "rep").join(of_node, "node", "left").select("node", F.coalesce("low", "rep").alias("own"))
+    owner = store(owner, "owners")  # so that the join with all rows stands alone and can be split at a set of many copies
     out = described.select("doc", "mark", "n", "node").join(owner.hint("merge"), "node", "left")
     own = F.when(F.col("doc").isNotNull(), F.coalesce("own", "doc"))
     return out.select(

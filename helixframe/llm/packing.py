@@ -223,8 +223,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
 
 #: Documents of one class are at most so many times as long as the shortest.
 CLASS = 3
+#: Documents of which so many fit into a sequence are one class with all shorter ones.
+SHORT = 64
 #: Rows of documents and gaps that one task sweeps.
-SWEEP_ROWS = 50_000
+SWEEP_ROWS = 200_000
 DOC, GAP = 1, 0
 STATE = "kind int, id long, size int"
 SWEPT = "part int, kind int, id long, size int, seq long, gap int, first long, n long"
@@ -329,7 +331,7 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         if not docs:
             break
         if max(docs) <= least:  # the next class
-            least = max(docs) // CLASS
+            least = max(docs) // CLASS if max(docs) * SHORT > capacity else 0
         docs = {size: n for size, n in docs.items() if size > least}
         gaps = {size: n for kind, size, n in sizes if kind == GAP and size > least}
         longest, widest = max(docs), max(gaps, default=0)
@@ -348,7 +350,7 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         used = used.unionByName(log.select(F.lit(DOC).alias("kind"), "id", F.col("size").alias("taken")))
         left = F.col("size") - F.coalesce("taken", F.lit(0))
         state = store(state.join(used.hint("merge"), ["kind", "id"], "left").select("kind", "id", left.alias("size")).filter("size > 0"), "packing-state")
-        discard(swept, *kept)
+        discard(*swept, *kept)
         kept = [state]
     out = logs[0]
     for log in logs[1:]:
@@ -356,15 +358,17 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     return out
 
 
-def _matches(now: DataFrame, longest: int, ranges: int) -> tuple[DataFrame, DataFrame]:
-    """(id, size, seq, gap) of the documents that find a gap in one round, and the stored table it is read from."""
+def _matches(now: DataFrame, longest: int, ranges: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, size, seq, gap) of the documents that find a gap in one round, and the stored tables they are read from."""
     parts = F.greatest(F.floor(F.col("size") / longest), F.lit(1))
     slot = F.when(F.col("kind") == GAP, F.floor(F.col("size") / parts)).otherwise(F.col("size"))
     order = [F.col("slot").desc(), F.col("kind"), F.col("id")]
     rows = now.withColumn("slot", slot)
     rows = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.repartition(1)
     rows = rows.sortWithinPartitions(*order).select("kind", "id", "size")
-    swept = store(rows.mapInArrow(lambda b: _sweep(b, longest), SWEPT), "sweep")
+    swept = rows.mapInArrow(lambda b: _sweep(b, longest), SWEPT)
+    if ranges > 1:
+        swept = store(swept, "sweep")
     pairs = swept.filter("seq is not null").select("id", "size", "seq", "gap")
     if ranges > 1:
         free = swept.filter((F.col("kind") == DOC) & F.col("seq").isNull())
@@ -375,7 +379,7 @@ def _matches(now: DataFrame, longest: int, ranges: int) -> tuple[DataFrame, Data
         taking = open_.mapInArrow(lambda b: _parts_taken(b, taken), "part int, first long, seq long, gap int")
         met = free.select("part", "first", "id", "size").join(taking, ["part", "first"])
         pairs = pairs.unionByName(met.select("id", "size", "seq", "gap"))
-    return pairs, swept
+    return pairs, [swept] if ranges > 1 else []
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
