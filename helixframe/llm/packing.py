@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import discard, span_keys, store, utf8_runs
+from helixframe.llm.common import span_keys, store, utf8_runs
 
 CAPACITY = 4096
 END_ID = 1
@@ -228,25 +228,25 @@ SHORT = 64
 #: Rows of documents and gaps that one task sweeps.
 SWEEP_ROWS = 200_000
 DOC, GAP = 1, 0
-STATE = "kind int, id long, size int"
-SWEPT = "part int, kind int, id long, size int, seq long, gap int, first long, n long"
+SWEPT = "part int, kind int, id long, size int, seq long, offset long, first long, n long"
 
 
-def _sweep(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+def _sweep(batches: Iterator[pa.RecordBatch], longest: int, least: int, capacity: int) -> Iterator[pa.RecordBatch]:
     """Match the documents of one range with its gaps, sorted from large to small.
 
     A gap counts as many times as ``longest`` fits in, each time with an equal
-    part of its size.  Gives matches (kind ``DOC``, with ``seq``), then what is
-    left: documents with their rank in ``first``, gaps with ``n`` parts from
-    ``first`` on.
+    part of its size.  Gives placed documents (with ``seq`` and ``offset``) and
+    the new state: documents left with their rank in ``first``, and gaps with what
+    is left of them, ``n`` parts from ``first`` on.  What is not larger than
+    ``least`` waits for its class and has no rank and no part.
     """
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     names = [x.split()[0] for x in SWEPT.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    stack: list[list[int]] = []
-    left = 0
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    stack: list[list[int]] = []  # sequence, what is left, parts
+    left = first = 0
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
@@ -254,20 +254,25 @@ def _sweep(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Recor
     for batch in batches:
         out: list[tuple] = []
         for kind, item, size in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "size"))):
-            if kind == GAP:
+            if size <= least:
+                out.append((part, kind, item, size, None, None, None, None))
+            elif kind == GAP:
                 stack.append([item, size, max(1, size // longest)])
             elif stack:
                 top = stack[-1]
-                out.append((part, DOC, item, size, top[0], top[1], None, None))
+                out.append((part, DOC, item, size, top[0], capacity - top[1], None, None))
+                top[1] -= size
                 top[2] -= 1
                 if not top[2]:
                     stack.pop()
+                    if top[1]:
+                        out.append((part, GAP, top[0], top[1], None, None, None, None))
             else:
                 out.append((part, DOC, item, size, None, None, left, None))
                 left += 1
         if out:
             yield rows(out)
-    first, out = 0, []
+    out = []
     for item, size, n in stack:
         out.append((part, GAP, item, size, None, None, first, n))
         first += n
@@ -298,7 +303,7 @@ def across(totals: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
 
 
 def _parts_taken(batches: Iterator[pa.RecordBatch], taken: list[tuple[int, int, int, int, int]]) -> Iterator[pa.RecordBatch]:
-    """(part, first, seq, gap): the document, by range and rank, that takes a part of each gap left over."""
+    """(part, first, seq, gap): the document, by range and rank, that takes a part of each gap left over, and the gap's size."""
     for batch in batches:
         out = []
         for part, item, size, first, n in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "size", "first", "n"))):
@@ -322,64 +327,64 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     spark = items.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     logs = [items.filter(F.col("length") == capacity).select("id", (F.col("id") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    state = items.filter(F.col("length") < capacity).select(F.lit(DOC).alias("kind"), "id", F.col("length").cast("int").alias("size"))
-    kept: list[DataFrame] = []
+    waiting = {r["length"]: r["count"] for r in items.filter(F.col("length") < capacity).groupBy("length").count().collect()}
+    lengths = items.select(F.lit(DOC).alias("kind"), "id", F.col("length").cast("int").alias("size"))
+    state = lengths.limit(0)
     opened, least = 0, capacity
     while True:
         sizes = [(r["kind"], r["size"], r["count"]) for r in state.groupBy("kind", "size").count().collect()]
         docs = {size: n for kind, size, n in sizes if kind == DOC}
-        if not docs:
+        if not docs and not waiting:
             break
-        if max(docs) <= least:  # the next class
-            least = max(docs) // CLASS if max(docs) * SHORT > capacity else 0
-        docs = {size: n for size, n in docs.items() if size > least}
-        gaps = {size: n for kind, size, n in sizes if kind == GAP and size > least}
-        longest, widest = max(docs), max(gaps, default=0)
+        if not docs:  # the next class joins the gaps
+            top, least = least, max(waiting) // CLASS if max(waiting) * SHORT > capacity else 0
+            docs = {size: waiting.pop(size) for size in [*waiting] if size > least}
+            sizes += [(DOC, size, n) for size, n in docs.items()]
+            state = state.unionByName(lengths.filter((F.col("size") > least) & (F.col("size") <= top) & (F.col("size") < capacity)))
+        widest = max((size for kind, size, _ in sizes if kind == GAP), default=0)
         # documents longer than every gap ask for as many new sequences as their lengths need at least
         more = -(-sum(size * n for size, n in docs.items() if size > widest) // capacity)
         fresh = spark.range(opened, opened + more).select(F.lit(GAP).alias("kind"), (F.col("id") * 2).alias("id"), F.lit(capacity).alias("size"))
-        state, opened = state.unionByName(fresh), opened + more
-        ranges = max(1, min(tasks, -(-(sum(docs.values()) + sum(gaps.values()) + more) // SWEEP_ROWS)))
-        pairs, swept = _matches(state.filter(F.col("size") > least), longest, ranges)
-        before = Window.partitionBy("seq").orderBy(F.col("size").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
-        at = capacity - F.col("gap") + F.coalesce(F.sum("size").over(before), F.lit(0))
-        log = store(pairs.select("id", F.col("seq").alias("sequence_id"), at.cast("long").alias("offset"), "size"), "placed")
-        logs.append(log.drop("size"))
-        # of a placed document nothing is left, of a gap what is not taken
-        used = log.groupBy(F.col("sequence_id").alias("id")).agg(F.sum("size").cast("int").alias("taken")).select(F.lit(GAP).alias("kind"), "id", "taken")
-        used = used.unionByName(log.select(F.lit(DOC).alias("kind"), "id", F.col("size").alias("taken")))
-        left = F.col("size") - F.coalesce("taken", F.lit(0))
-        state = store(state.join(used.hint("merge"), ["kind", "id"], "left").select("kind", "id", left.alias("size")).filter("size > 0"), "packing-state")
-        discard(*swept, *kept)
-        kept = [state]
+        opened += more
+        ranges = max(1, min(tasks, -(-(sum(n for _, _, n in sizes) + more) // SWEEP_ROWS)))
+        log, state = _round(state.unionByName(fresh), max(docs), least, capacity, ranges)
+        logs += log
     out = logs[0]
     for log in logs[1:]:
         out = out.unionByName(log)
     return out
 
 
-def _matches(now: DataFrame, longest: int, ranges: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(id, size, seq, gap) of the documents that find a gap in one round, and the stored tables they are read from."""
+def _round(state: DataFrame, longest: int, least: int, capacity: int, ranges: int) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (id, sequence_id, offset) of what one round places, and the state after it."""
     parts = F.greatest(F.floor(F.col("size") / longest), F.lit(1))
-    slot = F.when(F.col("kind") == GAP, F.floor(F.col("size") / parts)).otherwise(F.col("size"))
+    slot = F.when((F.col("kind") == GAP) & (F.col("size") > least), F.floor(F.col("size") / parts)).otherwise(F.col("size"))
     order = [F.col("slot").desc(), F.col("kind"), F.col("id")]
-    rows = now.withColumn("slot", slot)
+    rows = state.withColumn("slot", slot)
     rows = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.repartition(1)
     rows = rows.sortWithinPartitions(*order).select("kind", "id", "size")
-    swept = rows.mapInArrow(lambda b: _sweep(b, longest), SWEPT)
-    if ranges > 1:
-        swept = store(swept, "sweep")
-    pairs = swept.filter("seq is not null").select("id", "size", "seq", "gap")
-    if ranges > 1:
-        free = swept.filter((F.col("kind") == DOC) & F.col("seq").isNull())
-        open_ = swept.filter(F.col("kind") == GAP)
-        totals = free.groupBy("part").agg(F.count(F.lit(1)).alias("docs"), F.lit(0).alias("parts"))
-        totals = totals.unionByName(open_.groupBy("part").agg(F.lit(0).alias("docs"), F.sum("n").alias("parts"))).groupBy("part").agg(F.sum("docs"), F.sum("parts"))
-        taken = across([tuple(r) for r in totals.collect()])
-        taking = open_.mapInArrow(lambda b: _parts_taken(b, taken), "part int, first long, seq long, gap int")
-        met = free.select("part", "first", "id", "size").join(taking, ["part", "first"])
-        pairs = pairs.unionByName(met.select("id", "size", "seq", "gap"))
-    return pairs, [swept] if ranges > 1 else []
+    swept = store(rows.mapInArrow(lambda b: _sweep(b, longest, least, capacity), SWEPT), "sweep")
+    placed = lambda t: t.filter("seq is not null").select("id", F.col("seq").alias("sequence_id"), "offset")
+    after = swept.filter("seq is null")
+    if ranges == 1:
+        return [placed(swept)], after.select("kind", "id", "size")
+    free, open_ = after.filter((F.col("kind") == DOC) & F.col("first").isNotNull()), after.filter(F.col("n") > 0)
+    totals = free.groupBy("part").agg(F.count(F.lit(1)).alias("docs"), F.lit(0).alias("parts"))
+    totals = totals.unionByName(open_.groupBy("part").agg(F.lit(0).alias("docs"), F.sum("n").alias("parts"))).groupBy("part").agg(F.sum("docs"), F.sum("parts"))
+    taken = across([tuple(r) for r in totals.collect()])
+    if not taken:
+        return [placed(swept)], after.select("kind", "id", "size")
+    taking = open_.mapInArrow(lambda b: _parts_taken(b, taken), "part int, first long, seq long, gap int")
+    met = free.select("part", "first", "id", "size").join(taking, ["part", "first"])
+    before = Window.partitionBy("seq").orderBy(F.col("size").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
+    at = capacity - F.col("gap") + F.coalesce(F.sum("size").over(before), F.lit(0))
+    met = store(met.select("id", "seq", at.cast("long").alias("offset"), "size"), "placed")
+    # of a placed document nothing is left, of a gap what is not taken
+    used = met.groupBy(F.col("seq").alias("id")).agg(F.sum("size").cast("int").alias("taken")).select(F.lit(GAP).alias("kind"), "id", "taken")
+    used = used.unionByName(met.select(F.lit(DOC).alias("kind"), "id", F.col("size").alias("taken")))
+    left = after.select("kind", "id", "size").join(used.hint("merge"), ["kind", "id"], "left")
+    left = left.select("kind", "id", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size")).filter("size > 0")
+    return [placed(swept), placed(met)], store(left, "packing-state")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
