@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from helixframe.llm.common import byte_words, free_prefix, per_row, span_keys, utf8_runs
 
 WINDOW = 13
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 LANE = 2048
 SPACE = 0x20
 #: Patterns under this length are searched apart, as they allow small skips only.

@@ -26,7 +26,7 @@ from helixframe.llm.common import span_keys, store, utf8_runs
 
 CAPACITY = 4096
 END_ID = 1
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: Units that a worker remembers before it starts anew.
 MEMORY = 200_000
 
