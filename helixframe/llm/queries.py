@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontam, langid, linededup, minhash, packing, substring, topk, toxicity, urlfilter, warc
+from helixframe.llm import conversations, decontam, langid, linededup, minhash, packing, substring, topk, toxicity, urlfilter, warc
 from helixframe.llm.common import read_table
 
 
@@ -60,8 +60,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filter)
+    f.__name__: f for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filter, op11_conversation_repair)
 }
 
 OP1_SQL = """
@@ -170,10 +174,71 @@ select dw.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit
 from dw left join hits on dw.doc_id = hits.doc_id left join its on dw.doc_id = its.doc_id
 """
 
+OP11_SQL = """
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as tab
+), b as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         xor(list_reduce(list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''),
+             lambda x: cast(ascii(x) as bigint)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), cast(4294967295 as bigint)), 4294967295) % 20 as kind
+  from conversations, crc
+), d as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text,
+         unnest(range(case when kind = 3 then 2 else 1 end)) as again
+  from b where kind <> 0
+), o as (
+  select *, dense_rank() over (order by conv_id nulls first) as c,
+         row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as i from d
+), f as (
+  select *, left(role, 1) as ini,
+         case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank'
+              when row_number() over (partition by c, role, text order by i) > 1 then 'duplicate'
+              when regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+         lag(left(role, 1)) over (partition by c order by i) as before
+  from o
+), counts as (
+  select c, any_value(conv_id) as conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (before is not null and before || ini not in ('su', 'ua', 'au')) as illegal
+  from f group by c
+), ins(st, letters, mid, added, price) as (
+  values (0, '', 0, []::varchar[], 0), (0, 'I', 2, ['user:'], 2), (0, 'II', 3, ['user:', 'assistant:'], 4),
+         (1, '', 1, []::varchar[], 0), (1, 'I', 2, ['user:'], 2), (1, 'II', 3, ['user:', 'assistant:'], 4),
+         (2, '', 2, []::varchar[], 0), (2, 'I', 3, ['assistant:'], 2), (3, '', 3, []::varchar[], 0), (3, 'I', 2, ['user:'], 2)
+), op(mid, letter, ini, after, given, price) as (
+  values (0, 'K', 's', 1, null, 0), (0, 'K', 'u', 2, null, 0), (1, 'K', 'u', 2, null, 0), (2, 'K', 'a', 3, null, 0), (3, 'K', 'u', 2, null, 0),
+         (0, 'R', null, 2, 'user', 2), (1, 'R', null, 2, 'user', 2), (2, 'R', null, 3, 'assistant', 2), (3, 'R', null, 2, 'user', 2),
+         (0, 'D', null, 0, null, 3), (1, 'D', null, 1, null, 3), (2, 'D', null, 2, null, 3), (3, 'D', null, 3, null, 3)
+), walk(c, i, st, cost, audit, kept) as (
+  select c, cast(0 as bigint), 0, 0, '', []::varchar[] from counts
+  union all
+  select c, i, st, cost, audit, kept from (
+    select w.c, f.i, op.after as st, w.cost + ins.price + op.price + case when op.letter <> 'D' and f.fault = 'truncated' then 1 else 0 end as cost,
+           w.audit || ins.letters || op.letter as audit,
+           list_concat(w.kept, ins.added, case when op.letter = 'D' then [] else [coalesce(op.given, f.role) || ':' || f.text] end) as kept
+    from walk w join f on f.c = w.c and f.i = w.i + 1 join ins on ins.st = w.st
+    join op on op.mid = ins.mid and (op.ini is null or op.ini = f.ini) and (op.letter = 'D' or f.fault not in ('blank', 'duplicate'))
+  ) qualify row_number() over (partition by c, st order by cost, audit) = 1
+), best as (
+  select w.c, w.cost + ins.price as cost, w.audit || ins.letters as audit, list_concat(w.kept, ins.added) as kept
+  from walk w join counts n on n.c = w.c and n.n = w.i join ins on ins.st = w.st and ins.mid in (0, 3)
+  qualify row_number() over (partition by w.c order by w.cost + ins.price, w.audit || ins.letters) = 1
+)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, cast(coalesce(cost, 0) as bigint) as cost, coalesce(audit, '') as audit,
+       sha256(coalesce(array_to_string(kept, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) e
+left join counts n on n.conv_id is not distinct from e.conv_id left join best on best.c = n.c
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_topk": OP2_SQL,
     "op5_minhash": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_decontamination": OP8_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
