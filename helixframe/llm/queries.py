@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import conversations, decontam, langid, linededup, minhash, packing, substring, topk, toxicity, urlfilter, warc
+from helixframe.llm import conversations, decontam, fingerprints, langid, linededup, minhash, packing, substring, topk, toxicity, urlfilter, warc
 from helixframe.llm.common import read_table
 
 
@@ -64,8 +64,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damage_and_repair(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edits(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filter, op11_conversation_repair)
+    f.__name__: f for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filter, op11_conversation_repair, op12_fingerprints)
 }
 
 OP1_SQL = """
@@ -234,6 +238,54 @@ from (select distinct conv_id from conversations) e
 left join counts n on n.conv_id is not distinct from e.conv_id left join best on best.c = n.c
 """
 
+OP12_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n,
+         row_number() over (order by doc_id nulls first) as r, count(*) over () as total from documents
+), t as (
+  select a.r, a.doc_id, a.n, b.r as next, a.text as own,
+         substr(a.text, 1, a.n - a.n // 4) || substr(b.text, 1, a.n // 4) as edited
+  from d a join d b on b.r = a.r % a.total + 1
+), v as (
+  select r, 0 as kind, unnest(string_split(own, chr(10))) as p from t
+  union all select r, 1, unnest(string_split(edited, chr(10))) from t
+), exact as (
+  select r, kind, k as lane, sum(cast('0x' || substr(h, 8 * k + 1, 8) as bigint)) % 4294967296 as x
+  from (select r, kind, sha256(p) as h from v), unnest(range(8)) as u(k) group by 1, 2, 3
+), words as (
+  select r, kind, string_split(p, ' ') as w from v
+), pairs as (
+  select r, kind, w[i] || ' ' || coalesce(w[i + 1], '') as g, count(*) as c
+  from words, unnest(range(1, greatest(len(w) - 1, 1) + 1)) as u(i) group by 1, 2, 3
+), crc as (
+  select list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as tab
+), sums as (
+  select g, xor(list_reduce(list_transform(range(strlen(g)), lambda i: cast('0x' || substr(hex(g), 2 * i + 1, 2) as bigint)),
+         lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), cast(4294967295 as bigint)), 4294967295) % 256 as e
+  from (select distinct g from pairs), crc
+), near as (
+  select r, kind, 8 + e % 128 as lane, ((sum(case when e < 128 then c else -c end) % 65536) + 65536) % 65536 as x
+  from pairs join sums using (g) group by 1, 2, 3
+), every as (
+  select r, kind, lane, coalesce(e.x, n.x, 0) as x
+  from (select r, kind, lane from t, unnest([0, 1]) as a(kind), unnest(range(136)) as b(lane))
+  left join exact e using (r, kind, lane) left join near n using (r, kind, lane)
+), f as (
+  select r, kind, string_agg(case when lane < 8 then format('{:08x}', cast(x as bigint)) else format('{:04x}', cast(x as bigint)) end, '' order by lane) as f,
+         list(cast((x + 32768) % 65536 - 32768 as bigint) order by lane) filter (lane >= 8) as y
+  from every group by 1, 2
+), s as (
+  select r, kind, f, y, list_sum(list_transform(y, lambda x: x * x)) as q from f
+)
+select t.doc_id, t.n as n_chars, sha256(t.edited) as edited_sha256, o.f as fingerprint, e.f as edited_fingerprint,
+       case when o.y = e.y then 1.0::double else greatest(0.0::double, 1 - cast(list_sum(list_transform(list_zip(o.y, e.y),
+         lambda p: ((p[1] - p[2] + 98304) % 65536 - 32768) * ((p[1] - p[2] + 98304) % 65536 - 32768))) as double) / cast(o.q + e.q as double)) end as near_edited,
+       case when o.y = x.y then 1.0::double else greatest(0.0::double, 1 - cast(list_sum(list_transform(list_zip(o.y, x.y),
+         lambda p: ((p[1] - p[2] + 98304) % 65536 - 32768) * ((p[1] - p[2] + 98304) % 65536 - 32768))) as double) / cast(o.q + x.q as double)) end as near_next
+from t join s o on o.r = t.r and o.kind = 0 join s e on e.r = t.r and e.kind = 1 join s x on x.r = t.next and x.kind = 0
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_topk": OP2_SQL,
@@ -241,4 +293,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
     "op8_decontamination": OP8_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op12_fingerprints": OP12_SQL,
 }
