@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import conversations, decontam, fingerprints, langid, linededup, minhash, packing, substring, topk, toxicity, urlfilter, warc
+from helixframe.llm import collocations, conversations, decontam, fingerprints, langid, linededup, minhash, packing, substring, topk, toxicity, urlfilter, warc
 from helixframe.llm.common import read_table
 
 
@@ -68,8 +68,12 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edits(read_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filter, op11_conversation_repair, op12_fingerprints)
+    f.__name__: f for f in (op1_warc, op2_topk, op3_suffix_dedup, op4_language_id, op5_minhash, op6_packing, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filter, op11_conversation_repair, op12_fingerprints, op13_collocations)
 }
 
 OP1_SQL = """
@@ -286,6 +290,44 @@ select t.doc_id, t.n as n_chars, sha256(t.edited) as edited_sha256, o.f as finge
 from t join s o on o.r = t.r and o.kind = 0 join s e on e.r = t.r and e.kind = 1 join s x on x.r = t.next and x.kind = 0
 """
 
+OP13_SQL = """
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as s from documents
+), w as (
+  select lang, row_number() over () as piece, regexp_extract_all(s, '[^\\x20\\x09]+') as w from p
+), n as (
+  select lang, cast(sum(len(w)) as bigint) as n from w group by lang
+), v as (
+  select lang, piece, unnest(w) as a, generate_subscripts(w, 1) as pos from w
+), q as (
+  select lang, a, lead(a, 1) over o as b, lead(a, 2) over o as c, lead(a, 3) over o as d, lead(a, 4) over o as e
+  from v window o as (partition by piece order by pos)
+), f as (
+  select lang, 1 as k, a as phrase, count(*) as f from q group by 1, 3
+  union all select lang, 2, a || ' ' || b as phrase, count(*) from q where b is not null group by 1, 3
+  union all select lang, 3, a || ' ' || b || ' ' || c as phrase, count(*) from q where c is not null group by 1, 3
+  union all select lang, 4, a || ' ' || b || ' ' || c || ' ' || d as phrase, count(*) from q where d is not null group by 1, 3
+  union all select lang, 5, a || ' ' || b || ' ' || c || ' ' || d || ' ' || e as phrase, count(*) from q where e is not null group by 1, 3
+), c as (
+  select lang, k as words, phrase, string_split(phrase, ' ') as w, f as a from f where k > 1 and f >= 100
+), cut as (
+  select c.lang, c.phrase, c.a, j, x.f as l, y.f as r, n.n, (1000::hugeint * c.a * n.n) // (x.f::hugeint * y.f) as score
+  from c, unnest(range(1, words)) as t(j), f x, f y, n
+  where x.lang = c.lang and x.phrase = array_to_string(w[1:j], ' ') and y.lang = c.lang and y.phrase = array_to_string(w[j + 1:words], ' ') and n.lang = c.lang
+), best as (
+  select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1
+), longer as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as a
+  from c, unnest(range(2, words)) as t(m), unnest(range(1, words - m + 2)) as u(i) group by 1, 2
+)
+select best.lang, row_number() over (partition by best.lang order by score desc, best.a desc, best.phrase) as rank, best.phrase,
+       best.a, l, r, n, cast(score as bigint) as score
+from best left join longer on longer.lang = best.lang and longer.phrase = best.phrase
+where longer.a is null or 100 * longer.a < 100 * best.a
+qualify rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_topk": OP2_SQL,
@@ -294,4 +336,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": OP8_SQL,
     "op11_conversation_repair": OP11_SQL,
     "op12_fingerprints": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
