@@ -83,10 +83,16 @@ def as_text(vector: Column) -> Column:
     return F.lower(F.concat_ws("", F.transform(vector, lambda x, k: F.lpad(F.hex(x), F.when(k < EXACT, EXACT_BITS // 4).otherwise(NEAR_BITS // 4), F.lit("0")))))
 
 
-def _length(near: Column) -> Column:
+def _length(lanes: Column) -> Column:
     """Squared length of near lanes, taken as numbers around zero."""
     half = F.lit(1 << (NEAR_BITS - 1))
-    return F.aggregate(near, F.lit(0).cast("long"), lambda s, x: s + (F.pmod(x + half, F.lit(1 << NEAR_BITS)) - half) * (F.pmod(x + half, F.lit(1 << NEAR_BITS)) - half))
+    around = F.transform(lanes, lambda x: (F.pmod(x + half, F.lit(1 << NEAR_BITS)) - half).cast("long"))
+    return F.aggregate(around, F.lit(0).cast("long"), lambda s, x: s + x * x)
+
+
+def near(vector: Column) -> Column:
+    """The near lanes."""
+    return F.slice(vector, EXACT + 1, NEAR).cast("array<int>")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -95,10 +101,8 @@ def likeness(a: Column, b: Column) -> Column:
     It estimates the share of word pairs that both texts have; with 128 lanes
     the error of |a - b|^2 is about an eighth of it.
     """
-    near = lambda v: F.slice(v, EXACT + 1, NEAR)
-    apart = _length(F.zip_with(near(a), near(b), lambda x, y: x - y))
-    both = _length(near(a)) + _length(near(b))
-    return F.when(apart == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - apart / both))
+    apart = _length(F.zip_with(a, b, lambda x, y: x - y))
+    return F.when(apart == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - apart / (_length(a) + _length(b))))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,8 +173,9 @@ def edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     parts = F.explode(F.array(part(1, 1, F.col("text")), part(0, -1, gone), part(0, 1, F.concat(stem, "tail")))).alias("part")
     parts = wide.select("k1", "k2", F.unhex(F.sha2(F.concat("head", "tail"), 256)).alias("sha"), parts).select("k1", "k2", "sha", "part.*")
     table = store(lanes(parts, ["k1", "k2", "sha"], {"v": F.col("own"), "e": F.col("edited")}), "fingerprints")
-    after = table.select(F.col("k1").alias("next1"), F.col("k2").alias("next2"), F.col("v").alias("w"))
-    both = table.join(order.hint("merge"), ["k1", "k2"]).join(after.hint("merge"), ["next1", "next2"])
+    after = table.select(F.col("k1").alias("next1"), F.col("k2").alias("next2"), near(F.col("v")).alias("w"))
+    order = order.select("k1", "k2", "id", "n", "times", "next1", "next2").join(after.hint("merge"), ["next1", "next2"])
+    both = table.join(order.hint("merge"), ["k1", "k2"])
     both = both.select("*", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
     return both.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), as_text(F.col("v")).alias("fingerprint"),
-                       as_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("v"), F.col("e")).alias("near_edited"), likeness(F.col("v"), F.col("w")).alias("near_next"))
+                       as_text(F.col("e")).alias("edited_fingerprint"), likeness(near(F.col("v")), near(F.col("e"))).alias("near_edited"), likeness(near(F.col("v")), F.col("w")).alias("near_next"))
