@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
+from helixframe.operators.storage import stored
 
 CELL_GENE = ["cb", "gene"]
 
@@ -105,20 +106,94 @@ def _greedy(size: int, rule: str, add: int):
     return run
 
 
-def _grouped(mols: DataFrame, size: int, rule: str, add: int) -> DataFrame:
+#: Tags of a cell and gene beyond which they are collapsed by joins instead of in one task's loop.
+LARGE = 50_000
+
+
+def _grouped(mols: DataFrame, size: int, rule: str, add: int, large: int) -> DataFrame:
     rows = mols.select(*(F.col(c).cast("long") for c in ("cb", "gene", "umi", "reads")))
+    if 4**size <= large:
+        return _looped(rows, size, rule, add)
+    rows = stored(rows)
+    big = rows.groupBy(*CELL_GENE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select(*CELL_GENE)
+    if big.isEmpty():
+        return _looped(rows, size, rule, add)
+    big = stored(big)
+    spread = (components if rule == "all" else hubs)(*((rows.join(big, CELL_GENE, "left_semi"), size) + (() if rule == "all" else (add,))))
+    return _looped(rows.join(big, CELL_GENE, "left_anti"), size, rule, add).unionByName(count_exact(spread))
+
+
+def _looped(rows: DataFrame, size: int, rule: str, add: int) -> DataFrame:
     rows = rows.repartition(*CELL_GENE).sortWithinPartitions(*CELL_GENE)
     return rows.mapInArrow(_greedy(size, rule, add), "cb long, gene long, value long")
 
 
-def count_components(mols: DataFrame, size: int) -> DataFrame:
-    """(cb, gene, value): groups of UMIs connected by single mismatches."""
-    return _grouped(mols, size, "all", 0)
+def components(mols: DataFrame, size: int) -> DataFrame:
+    """One row (cb, gene, umi) for each group of UMIs connected by single mismatches, its smallest UMI.
+
+    Labels spread by joins: each UMI takes the smallest label around it, then
+    the label of its label, until none changes; a group is dealt by UMI, so no
+    task holds a whole cell and gene.
+    """
+    key = [*CELL_GENE, "umi"]
+    near = stored(edges(mols, size).select(*key, "other"))
+    labels = stored(mols.select(*key, F.col("umi").alias("label")).distinct())
+    while True:
+        there = labels.select(*CELL_GENE, F.col("umi").alias("other"), F.col("label").alias("theirs"))
+        least = near.join(there, [*CELL_GENE, "other"]).groupBy(*key).agg(F.min("theirs").alias("theirs"))
+        step = labels.join(least, key, "left").select(*key, F.col("label").alias("was"), F.least("label", F.coalesce("theirs", "label")).alias("label"))
+        step = stored(step)
+        jump = step.select(*CELL_GENE, F.col("umi").alias("label"), F.col("label").alias("further"))
+        labels = stored(step.join(jump, [*CELL_GENE, "label"]).select(*key, F.col("further").alias("label"), "was"))
+        if labels.filter("label <> was").isEmpty():
+            return labels.filter("label = umi").select(*key)
+        labels = labels.drop("was")
+
+
+def hubs(mols: DataFrame, size: int, add: int = 0) -> DataFrame:
+    """The UMIs (cb, gene, umi) that stay when each, strongest first, takes the weaker ones around it.
+
+    A UMI goes if one that stays has at least twice its reads plus ``add``; it
+    stays once all of those are gone.  Rounds of joins decide all UMIs whose
+    stronger neighbours are decided; reads halve from step to step and equal
+    ones go by UMI, so the rounds are few.
+    """
+    key = [*CELL_GENE, "umi"]
+    stronger = (F.col("reads") <= F.col("other_reads")) & (F.col("other_reads") >= 2 * F.col("reads") + add)
+    first = F.struct(-F.col("other_reads"), F.col("other")) < F.struct(-F.col("reads"), F.col("umi"))
+    over = stored(edges(mols, size).filter(stronger & first).select(*key, "other"))
+    free = mols.select(*key).distinct().join(over.select(*key).distinct(), key, "left_anti")
+    stays, left = [stored(free)], over
+    while True:
+        taken = left.join(stays[-1].withColumnRenamed("umi", "other"), [*CELL_GENE, "other"], "left_semi").select(*key).distinct()
+        taken = stored(taken)
+        rest = left.join(taken, key, "left_anti")
+        open_ = stored(rest.join(taken.withColumnRenamed("umi", "other"), [*CELL_GENE, "other"], "left_anti"))
+        freed = stored(rest.select(*key).distinct().join(open_.select(*key).distinct(), key, "left_anti"))
+        stays.append(freed)
+        if open_.isEmpty() and freed.isEmpty():
+            break
+        left = open_
+    out = stays[0]
+    for more in stays[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def count_components(mols: DataFrame, size: int, large: int = LARGE) -> DataFrame:
+    """(cb, gene, value): groups of UMIs connected by single mismatches.
+
+    Cells and genes of more than ``large`` UMIs go through :func:`components`.
+    """
+    return _grouped(mols, size, "all", 0, large)
+
 
+def count_directional(mols: DataFrame, size: int, add: int = 0, large: int = LARGE) -> DataFrame:
+    """(cb, gene, value): hubs left after each took the weaker UMIs around it, strongest first.
 
-def count_directional(mols: DataFrame, size: int, add: int = 0) -> DataFrame:
-    """(cb, gene, value): hubs left after each took the weaker UMIs around it, strongest first."""
-    return _grouped(mols, size, "directional", add)
+    Cells and genes of more than ``large`` UMIs go through :func:`hubs`.
+    """
+    return _grouped(mols, size, "directional", add, large)
 
 
 def filter_multi_gene(mols: DataFrame, method: str = "multi") -> DataFrame:
@@ -186,34 +261,84 @@ def share_multi(unique: DataFrame, sets: DataFrame, method: str = "uniform") ->
     return both.groupBy("cb", "gene").agg(F.sum("value").alias("value"))
 
 
-def share_multi_em(unique: DataFrame, sets: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """(cb, gene, value) by expectation-maximisation within each cell."""
-    one = unique.select("cb", F.lit(None).cast("long").alias("molecule"), "gene", F.col("value").cast("double").alias("u"))
-    rows = sets.join(unique.select("cb").distinct(), "cb").select("cb", F.col("molecule").cast("long"), "gene", F.lit(0.0).alias("u"))
+#: Entries of gene sets of one cell beyond which its rounds are joins instead of one task's arrays.
+LARGE_CELL = 1_000_000
+
+
+def share_multi_em(unique: DataFrame, sets: DataFrame, rounds: int = 100, tolerance: float = 1e-6, large: int = LARGE_CELL) -> DataFrame:
+    """(cb, gene, value) by expectation-maximisation within each cell.
+
+    Molecules of one cell and gene set are one class, so a cell is as large as
+    its different sets.  Cells of up to ``large`` entries are arrays of one
+    task; larger ones go through :func:`em_rounds`.
+    """
+    sets = sets.join(unique.select("cb").distinct(), "cb").select(F.col("cb").cast("long").alias("cb"), "molecule", F.col("gene").cast("long").alias("gene"))
+    classes = sets.groupBy("cb", "molecule").agg(F.sort_array(F.collect_list("gene")).alias("genes")).groupBy("cb", "genes").agg(F.count(F.lit(1)).alias("n"))
+    classes = stored(classes)
+    fixed = unique.select(F.col("cb").cast("long").alias("cb"), F.col("gene").cast("long").alias("gene"), F.col("value").cast("double").alias("u"))
+    big = classes.groupBy("cb").agg(F.sum(F.size("genes")).alias("k")).filter(F.col("k") > large).select("cb")
+    if big.isEmpty():
+        return _em_arrays(fixed, classes, rounds, tolerance)
+    big = stored(big)
+    part = lambda df, how: df.join(big, "cb", how)
+    small = _em_arrays(part(fixed, "left_anti"), part(classes, "left_anti"), rounds, tolerance)
+    return small.unionByName(em_rounds(part(fixed, "left_semi"), part(classes, "left_semi"), rounds, tolerance))
+
+
+def _em_arrays(fixed: DataFrame, classes: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    entry = classes.select("cb", F.xxhash64("genes").alias("class"), F.col("n").cast("double").alias("u"), F.explode("genes").alias("gene"))
+    both = fixed.select("cb", F.lit(None).cast("long").alias("class"), "u", "gene").unionByName(entry)
 
     def run(table: pa.Table) -> pa.Table:
         genes, place = np.unique(table.column("gene").to_numpy(), return_inverse=True)
-        mols = table.column("molecule")
-        multi = mols.is_valid().to_numpy()
-        fixed = np.bincount(place, table.column("u").to_numpy(), len(genes))
-        _, m = np.unique(mols.filter(pa.array(multi)).to_numpy(), return_inverse=True)
-        g = place[multi]
+        of = table.column("class")
+        multi = of.is_valid().to_numpy()
+        u = table.column("u").to_numpy()
+        fixed = np.bincount(place[~multi], u[~multi], len(genes))
+        _, m = np.unique(of.filter(pa.array(multi)).to_numpy(), return_inverse=True)
+        g, n = place[multi], u[multi]
         size = np.bincount(m)
         theta = fixed.copy()
         for _ in range(rounds):
             total = np.bincount(m, theta[g], len(size))
             part = np.where(total[m] > 0, theta[g] / np.where(total[m] > 0, total[m], 1), 1 / size[m]) if len(m) else np.zeros(0)
-            new = fixed + np.bincount(g, part, len(genes))
+            new = fixed + np.bincount(g, n * part, len(genes))
             moved, theta = np.abs(new - theta).sum(), new
             if moved < tolerance:
                 break
         cb = table.column("cb")[0].as_py()
         return pa.table([pa.array([cb] * len(genes), pa.int64()), pa.array(genes.astype(np.int64)), pa.array(theta)], ["cb", "gene", "value"])
 
-    both = one.unionByName(rows).select(F.col("cb").cast("long").alias("cb"), "molecule", F.col("gene").cast("long").alias("gene"), "u")
     return both.groupBy("cb").applyInArrow(run, "cb long, gene long, value double")
 
 
+def em_rounds(fixed: DataFrame, classes: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(cb, gene, value) of unique counts (cb, gene, u) and classes (cb, genes, n), a round a join.
+
+    A round deals the classes' entries by cell and gene, then by cell and
+    class, so one cell is spread over tasks.  A cell whose counts have moved by
+    less than ``tolerance`` stays as it is; the rounds end when all have.
+    """
+    entry = stored(classes.select("cb", F.xxhash64("genes").alias("class"), F.size("genes").alias("size"), F.col("n").cast("double").alias("n"), F.explode("genes").alias("gene")))
+    every = fixed.select("cb", "gene", "u").unionByName(entry.select("cb", "gene", F.lit(0.0).alias("u"))).groupBy("cb", "gene").agg(F.sum("u").alias("u"))
+    theta, done = stored(every.withColumn("value", F.col("u"))), []
+    for _ in range(rounds):
+        held = entry.join(theta.select("cb", "gene", "value"), ["cb", "gene"])
+        total = held.groupBy("cb", "class").agg(F.sum("value").alias("total"))
+        share = F.when(F.col("total") > 0, F.col("value") / F.col("total")).otherwise(1 / F.col("size"))
+        parts = held.join(total, ["cb", "class"]).groupBy("cb", "gene").agg(F.sum(F.col("n") * share).alias("part"))
+        new = stored(theta.join(parts, ["cb", "gene"], "left").select("cb", "gene", "u", F.col("value").alias("was"), (F.col("u") + F.coalesce("part", F.lit(0.0))).alias("value")))
+        still = stored(new.groupBy("cb").agg(F.sum(F.abs(F.col("value") - F.col("was"))).alias("moved")).filter(F.col("moved") < tolerance).select("cb"))
+        done.append(new.join(still, "cb", "left_semi").select("cb", "gene", "value"))
+        theta = stored(new.drop("was").join(still, "cb", "left_anti"))
+        if theta.isEmpty():
+            break
+    out = theta.select("cb", "gene", "value")
+    for some in done:
+        out = out.unionByName(some)
+    return out
+
+
 #: How molecules of several genes are dealt with, by name.
 FILTERS = ("none", "multi", "all", "cr", "cr_full")
 METHODS = ("exact", "none", "1mm_cr", "1mm_all", "directional", "umitools")
