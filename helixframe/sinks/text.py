@@ -41,8 +41,9 @@ def fastq_lines(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
 
 
-def matrix_files(matrix: DataFrame, features: DataFrame, barcodes: DataFrame, path: str) -> dict[str, int]:
-    """Write ``matrix.mtx``, ``features.tsv`` and ``barcodes.tsv`` as folders below ``path``; returns the dimensions.
+def matrix_files(matrix: DataFrame, features: DataFrame, barcodes: DataFrame, path: str, *, name: str = "matrix.mtx", features_file: bool = True,
+                 barcodes_file: bool = True) -> dict[str, int]:
+    """Write the matrix ``name``, ``features.tsv`` and ``barcodes.tsv`` as folders below ``path``; returns the dimensions.
 
     ``matrix`` is (gene_idx, cb_idx, value), ``features`` (gene_idx, gene, name),
     ``barcodes`` (cb_idx, cb_seq); the lists are written whole, in order of index.
@@ -56,10 +57,12 @@ def matrix_files(matrix: DataFrame, features: DataFrame, barcodes: DataFrame, pa
         "cb_idx", "gene_idx", F.concat_ws(" ", (F.col("gene_idx") + 1).cast("string"), (F.col("cb_idx") + 1).cast("string"), F.col("value").cast("string")).alias("value")
     )
     whole = lines.select(F.col("at").alias("cb_idx"), F.lit(-1).cast("long").alias("gene_idx"), "value").unionByName(body)
-    whole.orderBy("cb_idx", "gene_idx").select("value").write.text(f"{path}/matrix.mtx")
+    whole.orderBy("cb_idx", "gene_idx").select("value").write.text(f"{path}/{name}")
     kinds = features.orderBy("gene_idx").select(F.concat_ws("\t", "gene", "name", F.lit("Gene Expression")).alias("value"))
-    kinds.write.text(f"{path}/features.tsv")
-    barcodes.orderBy("cb_idx").select(F.col("cb_seq").alias("value")).write.text(f"{path}/barcodes.tsv")
+    if features_file:
+        kinds.write.text(f"{path}/features.tsv")
+    if barcodes_file:
+        barcodes.orderBy("cb_idx").select(F.col("cb_seq").alias("value")).write.text(f"{path}/barcodes.tsv")
     return n
 
 
