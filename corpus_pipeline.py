@@ -28,11 +28,27 @@ def _restored(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.select(*(F.col(new).alias(old) for old, new in names.items()))
 
 
+#: A text is no language if its cosine is below this share of the cosine that all but ``ODD`` of the labelled texts of its size reach.
+FLOOR_SHARE, ODD = 0.5, 0.001
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: texts that are null or have no letter go."""
+    """Documents in a language.
+
+    Texts that are null or have no letter go, and those that are like no
+    language.  What a clean text's cosine is depends on its size, so the floor
+    is calibrated for each power of two of the length, on the labelled texts
+    whose language is predicted right; it is ``FLOOR_SHARE`` of their
+    ``ODD`` quantile.  A size without such texts has no floor.
+    """
     rows, at = _shielded(docs)
-    out = langid.identify(rows, id_col=at["doc_id"], text_col=at["text"], lang_col=at["lang"], keep=True)
-    return _restored(out.filter(F.col("lang_pred") != langid.UNKNOWN), at)
+    scored = langid.identify(rows, id_col=at["doc_id"], text_col=at["text"], lang_col=at["lang"], keep=True)
+    scored = scored.withColumn("size", F.floor(F.log2(F.length(at["text"]) + 1)))
+    right = scored.filter(F.col("lang_pred") == F.col(at["lang"]))
+    floors = right.groupBy("size").agg((FLOOR_SHARE * F.percentile_approx("score", ODD, 10_000)).alias("floor"))
+    # one row a power of two
+    out = scored.join(F.broadcast(floors), "size", "left")
+    return _restored(out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= F.coalesce("floor", F.lit(0.0)))), at)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
