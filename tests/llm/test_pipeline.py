@@ -23,7 +23,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings", "benchmark"):
+    for table in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -153,3 +153,15 @@ def test_near_copies_from_four_fifths_on_are_dropped(spark):
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert len(below) == 2
     assert sorted(r.doc_id for r in kept) == sorted([i for i, _ in rows if i % 2 == 0] + below)
+
+
+def test_letters_in_no_language_go_and_clean_texts_stay(spark):
+    rng = random.Random(3)
+    words = {"aa": ["lorem", "ipsum", "dolor", "sit", "amet", "magna"], "bb": ["wiki", "nuku", "taro", "moana", "kahu", "rangi"]}
+    clean = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    junk = lambda n: " ".join("".join(rng.choice("bcdfghjkpqvwxyz") for _ in range(6)) for _ in range(n))
+    rows = [(i, clean(lang, rng.randint(30, 60)), lang) for i in range(0, 200) for lang in [rng.choice(["aa", "bb"])]]
+    rows += [(1000 + i, clean("aa", 40), None) for i in range(5)] + [(2000 + i, junk(40), None) for i in range(5)] + [(3000, "?!", None), (3001, "ok", None)]
+    docs = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == {i for i, *_ in rows if i < 2000 or i == 3001}
