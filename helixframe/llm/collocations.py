@@ -31,15 +31,22 @@ from helixframe.llm.common import UPPER, mix64, new_path, store
 
 LONGEST = 5
 #: Bytes of text that are held as arrays at once.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 18
 #: Bits of the map of slots that may be frequent: what is broadcast between passes has this size at any size of the text.
 MAP_BITS = 1 << 26
 #: Bytes of phrases in the automata of one pass.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
+#: Counters of phrases that go through a shuffle as one row.
+COUNTERS = 1 << 10
+#: Slots of the sketch that go through a shuffle as one row, and phrases that a task gathers before it sends them.
+BUCKET_BITS = 16
+BUCKET = 1 << BUCKET_BITS
+HELD = 1 << 20
 #: A-Z in lower case, tabs as spaces, the ends of pieces as newlines.
 FOLD = bytes.maketrans(UPPER.encode() + b"\t.,;:!?\n\x0b\x0c\r", UPPER.lower().encode() + b" " + b"\n" * 10)
 _BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _AUTOMATA: dict[str, dict] = {}
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
 
 
 def normal(texts: list[bytes]) -> bytes:
@@ -51,14 +58,14 @@ def normal(texts: list[bytes]) -> bytes:
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """(lang, normal text) of some ``RUN_BYTES`` each; columns are lang and text.  A text is never cut."""
     held, size = defaultdict(list), Counter()
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+    for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()):
             held[lang].append(text)
             size[lang] += len(text)
             if size[lang] >= RUN_BYTES:
                 yield lang, normal(held.pop(lang))
                 del size[lang]
-        if size.total() >= 16 * RUN_BYTES:
+        if size.total() >= 8 * RUN_BYTES:
             yield from ((lang, normal(texts)) for lang, texts in held.items())
             held.clear()
             size.clear()
@@ -67,9 +74,17 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    """Powers of the base and of its inverse, kept for texts of up to two runs."""
+    if len(_POWERS[0]) < n:
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            power = np.full(max(n, RUN_BYTES), base, np.uint64)
+            power[0] = 1
+            out.append(np.cumprod(power, out=power))
+        if n > 2 * RUN_BYTES:
+            return out[0], out[1]
+        _POWERS[:] = out
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 class Words:
@@ -83,7 +98,10 @@ class Words:
         self.begin, self.end = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
         self.piece = np.cumsum(raw == 10)[self.begin] if len(self.begin) else self.begin
         up, down = _powers(len(raw) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1])])
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.add(raw, np.uint64(1), out=total[1:], dtype=np.uint64)
+        total[1:] *= up[:-1]
+        np.cumsum(total, out=total)
         code = np.frombuffer(hashlib.blake2b(lang.encode(), digest_size=8).digest(), np.uint64)[0]
         self.hashes = [mix64((total[self.end] - total[self.begin]) * down[self.begin] ^ code)]
 
@@ -111,20 +129,64 @@ def _in_map(bits: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def sketch(texts: DataFrame, width: int, maps: list, ks: tuple[int, ...]) -> DataFrame:
-    """(lang, slot, n): counters of phrases of ``ks`` words; and with a null slot a language's number of words, if 1 is in ``ks``."""
+def _counted(slots: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The slots with their numbers as rows of ``BUCKET`` slots each."""
+    found, n = np.unique(np.concatenate(slots), return_counts=True)
+    bucket = found >> np.uint64(BUCKET_BITS)
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    low, n = (found & np.uint64(BUCKET - 1)).astype(np.uint16), n.astype(np.uint32)
+    bounds = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(found)])) if len(found) else []
+    columns = [pa.nulls(len(bounds), pa.string()), pa.array([int(bucket[i]) for i, _ in bounds], pa.int64()), pa.array([low[i:j].tobytes() for i, j in bounds], pa.binary()),
+               pa.array([n[i:j].tobytes() for i, j in bounds], pa.binary()), pa.nulls(len(bounds), pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "slots", "counts", "n"])
+
+
+def sketch(texts: DataFrame, width: int, maps: list, ks: tuple[int, ...], least: int) -> DataFrame:
+    """(lang, slot, n): the counters of phrases of ``ks`` words that reach ``least``; and with a null slot a language's words, if 1 is in ``ks``.
+
+    Counters travel as rows of ``BUCKET`` slots and are added up a bucket at a
+    time, so no task holds more than one bucket's counters.
+    """
     shared = [texts.sparkSession.sparkContext.broadcast(m) for m in maps]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [m.value for m in shared]
+        known, held, total = [m.value for m in shared], [], Counter()
         for lang, data in runs(batches):
             words = Words(lang, data)
-            slots, n = np.unique(np.concatenate([words.phrases(k)[words.possible(width, known, k)] for k in ks]) & np.uint64(width - 1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(slots), pa.string()), pa.array(slots.astype(np.int64)), pa.array(n)], ["lang", "slot", "n"])
-            if 1 in ks:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.int64()), pa.array([len(words.begin)])], ["lang", "slot", "n"])
-
-    return texts.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+            held += [words.phrases(k)[words.possible(width, known, k)] & np.uint64(width - 1) for k in ks]
+            total[lang] += len(words.begin)
+            if sum(map(len, held)) >= HELD:
+                yield from _counted(held)
+                held = []
+        if held:
+            yield from _counted(held)
+        if 1 in ks and total:
+            nothing = [pa.nulls(len(total), t) for t in (pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array([-1] * len(total)), *nothing, pa.array(total.values(), pa.int64())], ["lang", "bucket", "slots", "counts", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, bucket, sums, words = ["lang", "slot", "n"], None, np.zeros(BUCKET, np.int64), Counter()
+
+        def close() -> pa.RecordBatch:
+            at = np.flatnonzero(sums >= least) if bucket is not None else np.zeros(0, np.int64)
+            out = pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(((bucket or 0) << BUCKET_BITS) + at), pa.array(sums[at])], names)
+            sums[:] = 0
+            return out
+
+        for batch in batches:
+            for lang, here, slots, counts, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist()):
+                if here < 0:
+                    words[lang] += n
+                    continue
+                if here != bucket:
+                    yield close()
+                    bucket = here
+                sums[np.frombuffer(slots.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
+        yield close()
+        yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64())], names)
+
+    rows = texts.mapInArrow(count, "lang string, bucket long, slots binary, counts binary, n long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "lang string, slot long, n long")
 
 
 def heavy_map(counters: DataFrame, least: int, width: int) -> np.ndarray:
@@ -179,7 +241,11 @@ def _automata(token: str, phrases: dict[str, list[str]]) -> dict:
 
 
 def occurrences(texts: DataFrame, phrases: dict[str, list[str]]) -> DataFrame:
-    """(lang, phrase, f): exact counts of the phrases, overlapping ones included."""
+    """(lang, phrase, f): exact counts of the phrases, overlapping ones included.
+
+    A task sends its counters as blocks of ``COUNTERS``, so what is shuffled
+    are few rows, whatever the number of phrases found.
+    """
     shared, token = texts.sparkSession.sparkContext.broadcast(phrases), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +256,33 @@ def occurrences(texts: DataFrame, phrases: dict[str, list[str]]) -> DataFrame:
                 text = (re.sub(rb" {2,}", b" ", guarded) if b"  " in guarded else guarded).decode()
                 found[lang].update(map(itemgetter(1), _automata(token, own)[lang].iter(text)))
         for lang, counts in found.items():
-            names = own[lang]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([names[i] for i in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "phrase", "f"])
-
-    counted = texts.filter(F.col("lang").isin(sorted(phrases))).mapInArrow(scan, "lang string, phrase string, f long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+            held = np.zeros(-(-len(own[lang]) // COUNTERS) * COUNTERS, np.int64)
+            held[np.fromiter(counts.keys(), np.int64, len(counts))] = np.fromiter(counts.values(), np.int64, len(counts))
+            blocks = held.reshape(-1, COUNTERS)
+            some = np.flatnonzero(blocks.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["lang", "block", "counters"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, key, sums = shared.value, None, np.zeros(COUNTERS, np.int64)
+
+        def close() -> pa.RecordBatch:
+            at = np.flatnonzero(sums)
+            lang, block = key or ("", 0)
+            names = [own[lang][block * COUNTERS + i] for i in at]
+            out = pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(names, pa.string()), pa.array(sums[at])], ["lang", "phrase", "f"])
+            sums[:] = 0
+            return out
+
+        for batch in batches:
+            for lang, block, counters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if (lang, block) != key:
+                    yield close()
+                    key = (lang, block)
+                sums += np.frombuffer(counters.as_buffer(), np.int64)
+        yield close()
+
+    blocks = texts.filter(F.col("lang").isin(sorted(phrases))).mapInArrow(scan, "lang string, block long, counters binary")
+    return blocks.repartition("lang", "block").sortWithinPartitions("lang", "block").mapInArrow(add, "lang string, phrase string, f long")
 
 
 def passes(patterns: DataFrame, pass_bytes: int) -> Iterator[dict[str, list[str]]]:
@@ -227,7 +315,9 @@ def scored(counts: DataFrame, totals: DataFrame, least: int) -> DataFrame:
     cut = frequent.select("lang", "phrase", "words", "a", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cut = cut.select("lang", "phrase", "words", "a", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("one"), F.array_join(F.slice("w", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("two"))
     left, right = counts.select("lang", F.col("phrase").alias("one"), F.col("f").alias("l")), counts.select("lang", F.col("phrase").alias("two"), F.col("f").alias("r"))
-    cut = cut.join(left, ["lang", "one"]).join(right, ["lang", "two"]).join(totals, "lang")
+    cut = cut.join(left, ["lang", "one"]).join(right, ["lang", "two"])
+    # one row a language
+    cut = cut.join(F.broadcast(totals), "lang")
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     cut = cut.withColumns({"above": F.lit(1000).cast("decimal(4,0)") * wide("a") * wide("n"), "below": wide("l") * wide("r")}).withColumn("score", F.expr("above div below"))
     best = cut.groupBy("lang", "phrase", "words", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
@@ -264,11 +354,11 @@ def mine(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", lea
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     width = 1 << max(16, (size // 4).bit_length())
     maps: list[np.ndarray] = []
-    counters = store(sketch(texts, width, maps, (1,)), "phrase-counters")
-    totals = counters.filter("slot is null").select("lang", "n")
+    counters = store(sketch(texts, width, maps, (1,), least), "phrase-counters")
+    totals = counters.filter("slot is null").groupBy("lang").agg(F.sum("n").alias("n"))
     for ks in (2,), tuple(range(3, LONGEST + 1)):
         maps.append(heavy_map(counters, least, width))
-        counters = sketch(texts, width, maps, ks)
+        counters = sketch(texts, width, maps, ks, least)
     maps.append(heavy_map(counters, least, width))
     found = store(candidates(texts, width, maps), "phrases")
     w = F.split("phrase", " ")
