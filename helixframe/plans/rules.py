@@ -368,3 +368,32 @@ def sj_unique_only(spark, d):
     from helixframe.operators import junctions as J
 
     return J.collapse(P.unique_only(V.junction_obs(spark, d)))
+
+
+BEST_PARTNERS = """with s as (select l_orderkey as read_id, l_linenumber * 1000000 + l_partkey as seg, l_suppkey % 3 as chr, min(l_extendedprice::bigint) as "start", l_partkey % 2 = 0 as rev, (l_partkey % 4) * 25 as rs,
+  (l_partkey % 4) * 25 + 20 + l_suppkey % 40 as re0, l_partkey % 9 = 0 as plus, l_suppkey % 11 = 0 as minus, l_suppkey % 17 = 0 as other from lineitem group by all)
+, t as (select *, least(re0, 100) as re, "start" + least(re0, 100) - rs as "end", least(re0, 100) - rs - l as score, case when rev then 100 - least(re0, 100) else rs end as b, case when rev then 100 - rs else least(re0, 100) end as e,
+  count(*) over (partition by read_id) as n from (select *, (seg % 3) as l from s))
+, m as (select * from t qualify row_number() over (partition by read_id order by score desc, seg) = 1)
+, f as (select m.read_id, m.seg as a, t.seg as b, greatest(0, least(m.e, t.e) - greatest(m.b, t.b)) as ov, m.score + t.score - greatest(0, least(m.e, t.e) - greatest(m.b, t.b)) as score,
+  t.b as tb, t.e as te, m.b as mb, m.e as me, m.chr <> t.chr or m.rev <> t.rev or greatest(t."start" - m."end", m."start" - t."end", 0) > 589824 as unlike
+  from m join t on m.read_id = t.read_id and m.seg <> t.seg where (m.n <= 10 or m.n = 2) and (m.b >= 12 or m.e - 1 + 12 < 100) and m.e - m.b >= 12 and not m.other and not t.other and not (m.plus and m.minus)
+  and (not (m.plus or m.minus) or not (t.plus or t.minus) or (m.rev <> m.plus) = (t.rev <> t.plus)) and least(m.e - m.b, t.e - t.b) > 12 + greatest(0, least(m.e, t.e) - greatest(m.b, t.b)) and m.e >= t.b and t.e >= m.b)
+, best as (select * from f qualify row_number() over (partition by read_id order by score desc, b) = 1)
+, nx as (select best.read_id, max(f.score) as nx from best join f on best.read_id = f.read_id and f.b <> best.b and greatest(0, least(best.te, f.te) - greatest(best.tb, f.tb)) = 0 group by 1)
+select read_id, case when mb <= tb then a else b end as donor, case when mb <= tb then b else a end as acceptor, ov as overlap, score from best left join nx using (read_id)
+where score >= 0 and score + 20 >= 100 and (nx is null or nx + 10 < score) and (ov > 0 or least(me - mb, te - tb) >= 20) and unlike"""
+
+
+@query(BEST_PARTNERS)
+def chimeric_best(spark, d):
+    """An order's lines as segments of one read: the best pair of each read."""
+    c = F.col
+    x = V.table(spark, d, "lineitem").groupBy(
+        c("l_orderkey").alias("read_id"), (c("l_linenumber") * 1000000 + c("l_partkey")).alias("seg"), (c("l_suppkey") % 3).alias("chr"), (c("l_partkey") % 2 == 0).alias("is_reverse"),
+        (c("l_partkey") % 4 * 25).alias("read_start"), F.least(c("l_partkey") % 4 * 25 + 20 + c("l_suppkey") % 40, F.lit(100)).alias("read_end"), (c("l_partkey") % 9 == 0).alias("plus"),
+        (c("l_suppkey") % 11 == 0).alias("minus"), (c("l_suppkey") % 17 == 0).alias("other"), (c("l_suppkey") % 40).alias("_more"),
+    ).agg(F.min(F.round("l_extendedprice").cast("long")).alias("start"))
+    size = c("read_end") - c("read_start")
+    x = x.withColumns({"end": c("start") + size, "score": size - c("seg") % 3, "read_len": F.lit(100)})
+    return X.best_partners(x).select("read_id", F.col("donor.seg").alias("donor"), F.col("acceptor.seg").alias("acceptor"), "overlap", "score")
