@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.intervals import contain_join, overlap_join
+from helixframe.operators.molecules import collapsed
 
 #: Counts of a library that follows the gene's strand, the opposite one, or either.
 STRANDS = ("unstranded", "forward", "reverse")
@@ -111,6 +112,22 @@ def velocyto(records: DataFrame) -> DataFrame:
     return mols.groupBy("cb", "gene").agg(n(2).alias("spliced"), n(3).alias("unspliced"), n(1).alias("ambiguous"))
 
 
+def splice_states(records: DataFrame, size: int, *, method: str = "exact", keep_ambiguous: bool = True) -> DataFrame:
+    """(cb, gene, spliced, unspliced, ambiguous): as :func:`velocyto`, with tags of ``size`` bases collapsed within each category.
+
+    A molecule's category is settled first, by the strongest of its reads;
+    ``method`` then collapses the tags of one category, with all of a
+    molecule's reads.  Without ``keep_ambiguous`` ambiguous molecules count as
+    spliced before tags are collapsed.
+    """
+    state = F.when(F.col("junctions") > 0, 1).when(F.col("exonic"), 0).otherwise(2)
+    mols = records.groupBy("cb", "gene", "umi").agg(F.max(state).alias("s"), F.count(F.lit(1)).alias("reads"))
+    kind = F.col("s") if keep_ambiguous else F.greatest("s", F.lit(1))
+    counts = collapsed(mols.select("cb", (F.col("gene") * 3 + kind).cast("long").alias("gene"), "umi", "reads"), size, method)
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("gene") % 3 == k, F.col("value"))), F.lit(0)).cast("long")
+    return counts.groupBy("cb", F.floor(F.col("gene") / 3).alias("gene")).agg(of(1).alias("spliced"), of(2).alias("unspliced"), of(0).alias("ambiguous"))
+
+
 def gene_spans(exons: DataFrame) -> DataFrame:
     """(gene, chr, start, end) over a gene's exons."""
     return exons.groupBy("gene", "chr").agg(F.min("start").alias("start"), F.max("end").alias("end"))

@@ -359,6 +359,13 @@ def count_matrix(obs: DataFrame, size: int, *, method: str = "exact", filtering:
         return count_exact(filter_cr_corrected(mols, size))
     if filtering != "none":
         mols = filter_multi_gene(mols, filtering)
+    return collapsed(mols, size, method)
+
+
+def collapsed(mols: DataFrame, size: int, method: str = "exact") -> DataFrame:
+    """(cb, gene, value): molecules (cb, gene, umi, reads) counted by one of ``METHODS``."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
     if method == "exact":
         return count_exact(mols)
     if method == "none":

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import alignments as A
 from helixframe.operators import cells as C
+from helixframe.operators import genes as G
+from helixframe.operators import junctions as J
 from helixframe.operators import molecules as M
 from helixframe.operators.ranking import global_rank
 from helixframe.operators.storage import scratch
@@ -104,3 +106,43 @@ def summary_text(spark, d):
     totals = V.table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("reads"), n("l_partkey % 10 <> 0").alias("valid_barcodes"), n("l_linenumber = 1").alias("unique_reads"), n("l_linenumber = 2").alias("multi_reads"),
                                                n("l_linenumber = 1 and l_partkey % 10 <> 0").alias("feature_reads"))
     return sets.summary_lines(cells, called, totals, C.summary(cells, counts, called).select("genes_detected"))
+
+
+#: One step of correction among tags of three bases: m is (cb, gene, umi, reads).
+NEAREST = """, up as (select a.cb, a.gene, a.umi, b.umi as target from m a join m b on a.cb = b.cb and a.gene = b.gene and bit_count((xor(a.umi, b.umi) | (xor(a.umi, b.umi) >> 1)) & 21) = 1
+  where (b.reads, b.umi) > (a.reads, a.umi) qualify row_number() over (partition by a.cb, a.gene, a.umi order by b.reads desc, b.umi desc) = 1)
+, v as (select m.cb, m.gene, count(distinct coalesce(target, m.umi)) as value from m left join up on m.cb = up.cb and m.gene = up.gene and m.umi = up.umi group by 1, 2)"""
+
+
+def _states(spark, d):
+    x = V.table(spark, d, "lineitem")
+    return x.select((F.col("l_suppkey") % 40).alias("cb"), (F.col("l_orderkey") % 8).alias("gene"), (F.col("l_partkey") % 64).alias("umi"), (F.col("l_linenumber") % 5 == 0).cast("int").alias("junctions"),
+                    (F.col("l_quantity") > 5).alias("exonic"))
+
+
+STATES = """with s as (select l_suppkey % 40 as cb, l_orderkey % 8 as gene, l_partkey % 64 as umi, max(case when l_linenumber % 5 = 0 then 1 when l_quantity > 5 then 0 else 2 end) as s, count(*) as reads from lineitem group by 1, 2, 3)
+, m as (select cb, gene * 3 + {0} as gene, umi, reads from s)""" + NEAREST + """
+select cb, gene // 3 as gene, cast(coalesce(sum(value) filter (gene % 3 = 1), 0) as bigint) as spliced, cast(coalesce(sum(value) filter (gene % 3 = 2), 0) as bigint) as unspliced,
+  cast(coalesce(sum(value) filter (gene % 3 = 0), 0) as bigint) as ambiguous from v group by 1, 2"""
+
+
+@query(STATES.format("s"))
+def splice_states_1mm(spark, d):
+    """Molecules by splice state, tags collapsed within each state."""
+    return G.splice_states(_states(spark, d), 3, method="1mm_cr")
+
+
+@query(STATES.format("greatest(s, 1)"))
+def splice_states_folded(spark, d):
+    """Ambiguous molecules counted as spliced before tags are collapsed."""
+    return G.splice_states(_states(spark, d), 3, method="1mm_cr", keep_ambiguous=False)
+
+
+@query(with_views("obs") + """, r as (select chr, "start", "end", row_number() over (order by chr, "start", "end") - 1 as sj from (select distinct chr, "start", "end" from obs))
+, m as (select obs.read_id % 50 as cb, sj as gene, obs.read_id % 64 as umi, count(*) as reads from obs join r on obs.chr = r.chr and obs."start" = r."start" and obs."end" = r."end" group by 1, 2, 3)"""
+       + NEAREST + " select cb, gene as sj, value from v")
+def sj_matrix_1mm(spark, d):
+    """Junctions by cell, tags of one junction collapsed."""
+    obs = V.junction_obs(spark, d)
+    rows = global_rank(obs.select("chr", "start", "end").distinct(), [F.col("chr"), F.col("start"), F.col("end")], "sj").withColumn("sj", F.col("sj") - 1)
+    return J.matrix_by(obs.select((F.col("read_id") % 50).alias("cb"), (F.col("read_id") % 64).alias("umi"), "chr", "start", "end"), rows, 3, "1mm_cr")
