@@ -38,10 +38,9 @@ MAP_BITS = 1 << 26
 PASS_BYTES = 2 << 20
 #: Counters of phrases that go through a shuffle as one row.
 COUNTERS = 1 << 10
-#: Slots of the sketch that go through a shuffle as one row, and phrases that a task gathers before it sends them.
-BUCKET_BITS = 16
-BUCKET = 1 << BUCKET_BITS
+#: Phrases that a task gathers before it sends their slots, and bits of the largest bucket of slots.
 HELD = 1 << 20
+BUCKET_BITS = 22
 #: A-Z in lower case, tabs as spaces, the ends of pieces as newlines.
 FOLD = bytes.maketrans(UPPER.encode() + b"\t.,;:!?\n\x0b\x0c\r", UPPER.lower().encode() + b" " + b"\n" * 10)
 _BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -129,12 +128,14 @@ def _in_map(bits: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _counted(slots: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The slots with their numbers as rows of ``BUCKET`` slots each."""
+def _counted(slots: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """The slots with their numbers, a row for each bucket of ``2**bits`` slots: places in the bucket as differences, and counts."""
     found, n = np.unique(np.concatenate(slots), return_counts=True)
-    bucket = found >> np.uint64(BUCKET_BITS)
+    bucket = found >> np.uint64(bits)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    low, n = (found & np.uint64(BUCKET - 1)).astype(np.uint16), n.astype(np.uint32)
+    low, n = np.diff(found.astype(np.int64), prepend=0).astype(np.uint32), n.astype(np.uint32)
+    starts = np.concatenate([[0], cuts]) if len(found) else cuts
+    low[starts] = (found & np.uint64((1 << bits) - 1))[starts]
     bounds = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(found)])) if len(found) else []
     columns = [pa.nulls(len(bounds), pa.string()), pa.array([int(bucket[i]) for i, _ in bounds], pa.int64()), pa.array([low[i:j].tobytes() for i, j in bounds], pa.binary()),
                pa.array([n[i:j].tobytes() for i, j in bounds], pa.binary()), pa.nulls(len(bounds), pa.int64())]
@@ -144,9 +145,11 @@ def _counted(slots: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 def sketch(texts: DataFrame, width: int, maps: list, ks: tuple[int, ...], least: int) -> DataFrame:
     """(lang, slot, n): the counters of phrases of ``ks`` words that reach ``least``; and with a null slot a language's words, if 1 is in ``ks``.
 
-    Counters travel as rows of ``BUCKET`` slots and are added up a bucket at a
-    time, so no task holds more than one bucket's counters.
+    Counters travel as buckets, some 256 of them or as many as their size bound
+    asks for, and are added up a bucket at a time, so no task holds more than
+    one bucket's counters.
     """
+    bits = min(BUCKET_BITS, max(8, width.bit_length() - 9))
     shared = [texts.sparkSession.sparkContext.broadcast(m) for m in maps]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,20 +159,20 @@ def sketch(texts: DataFrame, width: int, maps: list, ks: tuple[int, ...], least:
             held += [words.phrases(k)[words.possible(width, known, k)] & np.uint64(width - 1) for k in ks]
             total[lang] += len(words.begin)
             if sum(map(len, held)) >= HELD:
-                yield from _counted(held)
+                yield from _counted(held, bits)
                 held = []
         if held:
-            yield from _counted(held)
+            yield from _counted(held, bits)
         if 1 in ks and total:
             nothing = [pa.nulls(len(total), t) for t in (pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array([-1] * len(total)), *nothing, pa.array(total.values(), pa.int64())], ["lang", "bucket", "slots", "counts", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, bucket, sums, words = ["lang", "slot", "n"], None, np.zeros(BUCKET, np.int64), Counter()
+        names, bucket, sums, words = ["lang", "slot", "n"], None, np.zeros(1 << bits, np.int64), Counter()
 
         def close() -> pa.RecordBatch:
             at = np.flatnonzero(sums >= least) if bucket is not None else np.zeros(0, np.int64)
-            out = pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(((bucket or 0) << BUCKET_BITS) + at), pa.array(sums[at])], names)
+            out = pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(((bucket or 0) << bits) + at), pa.array(sums[at])], names)
             sums[:] = 0
             return out
 
@@ -181,7 +184,7 @@ def sketch(texts: DataFrame, width: int, maps: list, ks: tuple[int, ...], least:
                 if here != bucket:
                     yield close()
                     bucket = here
-                sums[np.frombuffer(slots.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
+                sums[np.cumsum(np.frombuffer(slots.as_buffer(), np.uint32), dtype=np.int64)] += np.frombuffer(counts.as_buffer(), np.uint32)
         yield close()
         yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64())], names)
 
