@@ -32,6 +32,15 @@ def drop_many_loci(aln: DataFrame, most: int = 10) -> DataFrame:
     return aln.withColumn("n_loci", n).filter(F.col("n_loci") <= most)
 
 
+def loci_status(aln: DataFrame, most: int = 10) -> DataFrame:
+    """(read_id, n_loci, status): the places of every read, all counted, and ``too_many_loci`` beyond ``most``, ``multi`` or ``unique``.
+
+    The mapping quality of a read with too many places is that of ``n_loci``.
+    """
+    n = aln.groupBy("read_id").agg(F.count(F.lit(1)).alias("n_loci"))
+    return n.withColumn("status", F.when(F.col("n_loci") > most, "too_many_loci").when(F.col("n_loci") > 1, "multi").otherwise("unique"))
+
+
 def ranked(aln: DataFrame) -> DataFrame:
     """Adds ``hit`` (1 is primary) and ``mapq``."""
     w = Window.partitionBy("read_id").orderBy(F.col("score").desc(), "n_junction", "chr", "start", "is_reverse")

@@ -28,20 +28,24 @@ def tag(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}:i:"), value.cast("string"))
 
 
-def sam_lines(hits: DataFrame) -> DataFrame:
+def sam_lines(hits: DataFrame, fields: Column | None = None) -> DataFrame:
     """(read_id, hit, line) of ranked alignments.
 
     Needs read_id, hit, n_loci, mapq, chr_name, start (0-based), is_reverse,
     cigar (text), seq, qual, score, n_mismatch; null sequences are ``*``.
-    Order the lines by (chr, start) or (read_id, hit) where they are written.
+    ``fields`` is the text of the optional fields (see
+    ``tags.optional_fields``), by default NH, HI, AS and nM.  Order the lines
+    by (chr, start) or (read_id, hit) where they are written.
     """
+    if fields is None:
+        fields = F.concat_ws("\t", tag("NH", F.col("n_loci")), tag("HI", F.col("hit")), tag("AS", F.col("score")), tag("nM", F.col("n_mismatch")))
     star = lambda c: F.coalesce(F.col(c), F.lit("*"))
     turned = F.when(F.col("is_reverse"), S.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     line = F.concat_ws(
         "\t", F.col("read_id").cast("string"), flag(F.col("is_reverse"), F.col("hit")).cast("string"), "chr_name", (F.col("start") + 1).cast("string"),
         F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), F.coalesce(turned, F.lit("*")),
         F.when(F.col("is_reverse"), F.reverse(star("qual"))).otherwise(star("qual")),
-        tag("NH", F.col("n_loci")), tag("HI", F.col("hit")), tag("AS", F.col("score")), tag("nM", F.col("n_mismatch")),
+        F.when(fields != "", fields),
     )
     return hits.select("read_id", "hit", line.alias("line"))
 

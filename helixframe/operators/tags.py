@@ -60,3 +60,43 @@ def mismatch_text(cigar: Column, read: Column, reference: Column) -> Column:
 
     first = F.struct(F.lit(0).alias("run"), F.lit("").alias("text"))
     return F.aggregate(bases, first, write, lambda s: F.concat(s["text"], s["run"].cast("string")))
+
+
+def _numbers(kind: str, values: Column) -> Column:
+    """An array as a field's text; null where it is null or empty."""
+    return F.when(F.size(values) > 0, F.concat(F.lit(kind), F.array_join(F.transform(values, lambda v: v.cast("string")), ",")))
+
+
+def optional_fields(names: list[str], *, first_hit: int = 1) -> Column:
+    """The tab-separated optional fields of a record, in the order of ``names``; fields without a value are left out.
+
+    Columns read, by field: NH n_loci, HI hit (counted from ``first_hit``), AS
+    score, nM n_mismatch, NM n_mismatch and parsed (the CIGAR as parsed), XS
+    motifs, jM motifs and annotated, jI start (0-based) and parsed, MD parsed,
+    aligned (the read on the forward strand) and reference, RG group, vA
+    alleles and vG places (1-based) of the variants that the record covers, vW
+    wasp (code of the remapping filter).
+    """
+    c = F.col
+    whole = lambda tag, v: F.concat(F.lit(f"{tag}:i:"), v.cast("string"))
+    field = {
+        "NH": lambda: whole("NH", c("n_loci")), "HI": lambda: whole("HI", c("hit") - 1 + first_hit), "AS": lambda: whole("AS", c("score")),
+        "nM": lambda: whole("nM", c("n_mismatch")), "NM": lambda: whole("NM", edit_distance(c("n_mismatch"), c("parsed"))),
+        "XS": lambda: F.concat(F.lit("XS:A:"), transcript_strand(c("motifs"))), "jM": lambda: _numbers("jM:B:c,", junction_motifs(c("motifs"), c("annotated"))),
+        "jI": lambda: _numbers("jI:B:i,", junction_places(c("start"), c("parsed"))), "MD": lambda: F.concat(F.lit("MD:Z:"), mismatch_text(c("parsed"), c("aligned"), c("reference"))),
+        "RG": lambda: F.concat(F.lit("RG:Z:"), c("group")), "vA": lambda: _numbers("vA:B:c,", c("alleles")), "vG": lambda: _numbers("vG:B:i,", c("places")), "vW": lambda: whole("vW", c("wasp")),
+    }
+    unknown = [n for n in names if n not in field]
+    if unknown:
+        raise ValueError(f"no such fields: {unknown}")
+    return F.concat_ws("\t", *(field[n]() for n in names))
+
+
+#: Why a read has no place.
+UNMAPPED = {"other": 0, "too_short": 1, "too_many_mismatches": 2, "too_many_loci": 3}
+
+
+def unmapped_field(reason: Column) -> Column:
+    """uT: the code of the reason, 0 for any that is not known."""
+    codes = F.create_map(*(F.lit(x) for pair in UNMAPPED.items() for x in pair))
+    return F.concat(F.lit("uT:A:"), F.coalesce(F.try_element_at(codes, reason), F.lit(0)).cast("string"))

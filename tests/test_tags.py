@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
@@ -111,3 +112,50 @@ def test_allele_swaps_are_aligned_again(spark):
     again = place(numbered.select(F.col("id").alias("read_id"), "seq")).select(F.floor(F.col("read_id") / 100).alias("read_id"), (F.col("read_id") % 100).cast("int").alias("combo"), "place")
     out = alignments.allele_codes(place(reads.select("read_id", "seq")), codes, swaps, again).collect()
     assert {r.read_id: r.code for r in out} == {1: 1, 2: 6, 3: 2, 4: 3, 5: 7}
+
+
+def test_optional_fields_in_the_order_asked_for(spark):
+    from helixframe.functions import sequence as S
+    from helixframe.operators import records, tags
+
+    rows = [
+        (1, 1, 2, 40, 1, "5M10N5M", 100, [1], [True], "ACGTAACGTA", "ACGTCNNNNNNNNNNACGTA", "g1", [1, 3], [103, 117], 1),
+        (2, 1, 1, 10, 0, "10M", 5, [], [], "ACGTAACGTA", "ACGTAACGTA", None, [], [], None),
+    ]
+    cols = "read_id long, hit int, n_loci int, score int, n_mismatch int, cigar string, start long, motifs array<int>, annotated array<boolean>, aligned string, reference string, group string, alleles array<int>, places array<int>, wasp int"
+    df = spark.createDataFrame(rows, cols).withColumn("parsed", S.parse_cigar(F.col("cigar")))
+    names = ["NH", "HI", "AS", "nM", "NM", "XS", "jM", "jI", "MD", "RG", "vA", "vG", "vW"]
+    got = [r.f.split("\t") for r in df.orderBy("read_id").select(tags.optional_fields(names).alias("f")).collect()]
+    assert got[0] == ["NH:i:2", "HI:i:1", "AS:i:40", "nM:i:1", "NM:i:1", "XS:A:+", "jM:B:c,21", "jI:B:i,106,115", "MD:Z:4C5", "RG:Z:g1", "vA:B:c,1,3", "vG:B:i,103,117", "vW:i:1"]
+    assert got[1] == ["NH:i:1", "HI:i:1", "AS:i:10", "nM:i:0", "NM:i:0", "MD:Z:10"]
+    with pytest.raises(ValueError):
+        tags.optional_fields(["ZZ"])
+    hits = df.withColumns({"mapq": F.lit(3), "chr_name": F.lit("c"), "is_reverse": F.lit(False), "seq": F.col("aligned"), "qual": F.lit("IIIIIIIIII")})
+    lines = {r.read_id: r.line for r in records.sam_lines(hits, tags.optional_fields(["HI", "RG"], first_hit=0)).collect()}
+    assert lines[1].endswith("IIIIIIIIII\tHI:i:0\tRG:Z:g1") and lines[2].endswith("\tHI:i:0")
+    reasons = spark.createDataFrame([("too_short",), ("too_many_loci",), ("else",), (None,)], "r string")
+    assert [r.u for r in reasons.select(tags.unmapped_field(F.col("r")).alias("u")).collect()] == ["uT:A:1", "uT:A:3", "uT:A:0", "uT:A:0"]
+
+
+def test_run_counters_and_status_of_places(spark):
+    from helixframe.operators import alignments, barcodes
+
+    rows = [("exact", "ACGT"), ("exact", "AAAA"), ("multi_rejected", "ANGT"), ("none", None), ("corrected", "ACCC")]
+    got = {r.kind: r.n for r in barcodes.run_stats(spark.createDataFrame(rows, "kind string, umi string")).collect()}
+    assert got == {"exact": 2, "corrected": 1, "multi": 0, "none": 1, "n_in_cb": 0, "multi_rejected": 1, "n_in_umi": 1, "umi_homopolymer": 1}
+    aln = spark.createDataFrame([(1,)] * 3 + [(2,)] + [(3,)] * 2, "read_id long")
+    assert sorted(map(tuple, alignments.loci_status(aln, 2).collect())) == [(1, 3, "too_many_loci"), (2, 1, "unique"), (3, 2, "multi")]
+
+
+def test_short_manifest_lines_and_unknown_chromosomes_are_errors(spark, tmp_path):
+    from helixframe.sources import text
+
+    (tmp_path / "m").write_text("#x\na.fq\tb.fq\tcell\n\nc.fq\t-\td\n")
+    assert sorted(map(tuple, text.manifest(spark, f"{tmp_path}/m").collect())) == [("a.fq", "b.fq", "cell"), ("c.fq", None, "d")]
+    (tmp_path / "bad").write_text("a.fq\tb.fq\n")
+    with pytest.raises(Exception, match="manifest line"):
+        text.manifest(spark, f"{tmp_path}/bad").collect()
+    (tmp_path / "j").write_text("c1 5 9 +\nc2 7 8\n")
+    assert len(text.junction_table(spark, f"{tmp_path}/j", ["c1", "c2"]).collect()) == 2
+    with pytest.raises(Exception, match="unknown chromosome"):
+        text.junction_table(spark, f"{tmp_path}/j", ["c1"]).collect()
