@@ -62,8 +62,12 @@ def good_turing(counts: np.ndarray) -> np.ndarray:
     return np.array([value[c] if c else rest for c in counts.tolist()])
 
 
+#: Fixed value: the seed of the walks.
+SEED = 19760110
+
+
 def empty_drops(counts: DataFrame, *, lower: int = 100, simulations: int = 10_000, fdr: float = 0.01, expected: int = 3000,
-                seed: int = 19760110) -> DataFrame:
+                seed: int = SEED) -> DataFrame:
     """(cb, n_umis, kind): knee cells, and barcodes whose genes differ from the ambient profile.
 
     ``counts`` is (cb, gene, value).  The ambient profile is the sum over

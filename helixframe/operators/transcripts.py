@@ -125,6 +125,10 @@ def common_transcripts(hits: DataFrame) -> DataFrame:
     return both.filter(F.col("k") == F.col("n")).select("cluster", "umi", "transcript", "log_weight")
 
 
+#: Shares of the molecules below which a value is frozen, and how far below the tolerance it moves then.
+FROZEN, STILL = 1e-8, 0.1
+
+
 def transcript_shares(common: DataFrame, factors: DataFrame | None = None, rounds: int = 10_000, tolerance: float = 1e-5) -> DataFrame:
     """(cluster, transcript, value): expected molecules of each transcript by expectation-maximisation.
 
