@@ -167,7 +167,7 @@ def transcript_shares(common: DataFrame, factors: DataFrame | None = None, round
             move = np.abs(new - old)[open_] / old[open_]
             moved = np.zeros(k)
             moved[open_] = move
-            gone, still = open_ & (new < 1e-8 * molecules), open_ & (moved < tolerance * 0.1)
+            gone, still = open_ & (new < FROZEN * molecules), open_ & (moved < tolerance * STILL)
             frozen |= gone | still
             alone[gone] = 0.0
             alone[still] = new[still]
