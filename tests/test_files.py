@@ -67,7 +67,10 @@ def test_run_folders_and_a_second_filter(spark, tmp_path):
     features = spark.createDataFrame([(0, "G1", "one"), (1, "G2", "two")], "gene_idx long, gene string, name string")
     counts = spark.createDataFrame([(0, 0, 40), (0, 1, 10), (2, 1, 30), (1, 0, 1)], "cb long, gene long, value long")
     mols = spark.createDataFrame([(c, u, g, 2) for c, g, n in ((0, 0, 40), (0, 1, 10), (2, 1, 30), (1, 0, 1)) for u in range(n)], "cb long, umi long, gene long, reads long")
-    run = solo.Run(None, None, None, None, mols, counts, features, whitelist)
+    some = lambda n: spark.range(n).withColumnRenamed("id", "read_id")
+    places = some(150).withColumn("n_loci", F.when(F.col("read_id") < 120, 1).otherwise(3))
+    genes = some(110).withColumn("status", F.when(F.col("read_id") < 100, "gene").otherwise("none"))
+    run = solo.Run(some(200), places, some(160), genes, mols, counts, features, whitelist)
     solo.write_run(run, f"{tmp_path}/out", spark.createDataFrame([(0,), (2,)], "cb long"))
     assert lines(spark, f"{tmp_path}/out/raw/matrix.mtx") == ["%%MatrixMarket matrix coordinate integer general", "%", "2 3 4", "1 1 40", "2 1 10", "1 2 1", "2 3 30"]
     assert lines(spark, f"{tmp_path}/out/raw/features.tsv") == ["G1\tone\tGene Expression", "G2\ttwo\tGene Expression"]
@@ -75,7 +78,10 @@ def test_run_folders_and_a_second_filter(spark, tmp_path):
     assert lines(spark, f"{tmp_path}/out/filtered/matrix.mtx")[2:] == ["2 2 3", "1 1 40", "2 1 10", "2 2 30"]
     assert lines(spark, f"{tmp_path}/out/filtered/barcodes.tsv") == ["AAAA", "GGGG"]
     summary = dict(x.split(",") for x in lines(spark, f"{tmp_path}/out/Summary.csv"))
-    assert summary["Estimated Number of Cells"] == "2" and summary["UMIs in Cells"] == "80" and summary["Sequencing Saturation"] == "0.5"
+    assert len(summary) == 17 and summary["Estimated Number of Cells"] == "2" and summary["UMIs in Cells"] == "80" and summary["Sequencing Saturation"] == "0.500000"
+    assert summary["Number of Reads"] == "200" and summary["Reads With Valid Barcodes"] == "0.800000" and summary["Reads Mapped to Genome: Unique+Multiple"] == "0.750000"
+    assert summary["Reads Mapped to Genome: Unique"] == "0.600000" and summary["Reads Mapped to Gene: Unique Gene"] == "0.500000"
+    assert summary["Fraction of Unique Reads in Cells"] == "0.987654" and summary["Median UMI per Cell"] == "40" and summary["Total Gene Detected"] == "2"
     assert lines(spark, f"{tmp_path}/out/CellReads.stats") == ["cb_seq\tn_reads\tn_umis\tn_genes", "AAAA\t100\t50\t2", "CCCC\t2\t1\t1", "GGGG\t60\t30\t1"]
     called = lambda m: cells.top_cells(m.groupBy("cb").agg(F.sum("value").alias("n_umis")), 1)
     solo.filter_matrix(spark, f"{tmp_path}/out/raw", f"{tmp_path}/again", called)
