@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -126,3 +127,14 @@ def test_passages_that_polynomial_hashes_confuse(spark):
     rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, "c" + word[:400]), (4, "d" + word[:399])]
     out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute(rows, 400)
+
+
+def test_texts_are_packed_in_small_batches(monkeypatch):
+    monkeypatch.setattr(substring, "RUN_BYTES", 5000)
+    texts = ["é" * 500, None, "", "x" * 12000, *(str(i) * 300 for i in range(60))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts), 0, -1)), pa.array(texts)], ["doc", "mark", "text"])
+    out = list(substring._pack_text(iter([batch.slice(0, 3), batch.slice(3)])))
+    back = [[None if p is None else zlib.decompress(p) for p in b.column("packed").to_pylist()] for b in out]
+    assert [x for b in back for x in b] == [None if t is None else t.encode() for t in texts]
+    assert [(d, m) for b in out for d, m in zip(b.column("doc").to_pylist(), b.column("mark").to_pylist())] == [(i, len(texts) - i) for i in range(len(texts))]
+    assert all(sum(len(x or b"") for x in b) <= 5000 for b in back if len(b) > 1)
