@@ -4,47 +4,43 @@
    every phrase an upper bound of its count.  Words are sketched first, then
    pairs of words that may be frequent, then phrases of 3 to 5 words made of
    such pairs: three passes, each pruned by what the last one has ruled out.
-2. Phrases whose bound reaches the threshold are candidates.
-3. Candidates and the words at their ends compile into Aho-Corasick automata,
-   each phrase guarded by a space on either side.  Shards of text, with single
-   spaces between words, are scanned for all overlapping occurrences, and the
-   counts are summed.
-4. Thresholds, cuts, containment and ranks are joins of the counted phrases.
+2. Phrases whose bound reaches the threshold are candidates.  One more pass
+   over the text counts them all, however many there are: a task numbers its
+   words, then the pairs of a number and a word, and so on, so phrases are
+   told apart by all their bytes; their counts travel in buckets and are added
+   up a bucket at a time.
+3. Thresholds, cuts, containment and ranks are joins of the counted phrases.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from operator import itemgetter
+from itertools import count as numbers
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import UPPER, mix64, new_path, store
+from helixframe.llm.common import UPPER, mix64, store
 
 LONGEST = 5
 #: Bytes of text that are held as arrays at once.
 RUN_BYTES = 1 << 18
 #: Bits of the map of slots that may be frequent: what is broadcast between passes has this size at any size of the text.
 MAP_BITS = 1 << 26
-#: Bytes of phrases in the automata of one pass.
-PASS_BYTES = 2 << 20
-#: Counters of phrases that go through a shuffle as one row.
-COUNTERS = 1 << 10
-#: Phrases that a task gathers before it sends their slots, and bits of the largest bucket of slots.
+#: Bytes of text whose phrases a task counts before it sends them.
+PASS_BYTES = 12 << 20
+#: Phrases that a task gathers before it sends their slots or adds up their counts, and bits of the largest bucket of slots.
 HELD = 1 << 20
 BUCKET_BITS = 22
 #: A-Z in lower case, tabs as spaces, the ends of pieces as newlines.
 FOLD = bytes.maketrans(UPPER.encode() + b"\t.,;:!?\n\x0b\x0c\r", UPPER.lower().encode() + b" " + b"\n" * 10)
 _BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-_AUTOMATA: dict[str, dict] = {}
 _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
 
 
@@ -111,16 +107,28 @@ class Words:
             self.hashes.append(mix64(last[:-1] * _STEP + self.hashes[0][at:]) if len(last) else last)
         return self.hashes[k - 1]
 
-    def possible(self, width: int, maps: list[np.ndarray], k: int) -> np.ndarray:
-        """Where a phrase of ``k`` words may begin, by the maps there are (of words, of pairs, of longer phrases)."""
+    def starts(self, width: int, maps: list[np.ndarray], longest: int) -> Iterator[np.ndarray]:
+        """Where phrases of 1, 2, ... ``longest`` words may begin, by the maps there are (of words, of pairs, of longer phrases)."""
         one = self.phrases(1)
-        ok = _in_map(maps[0], one, width) if maps else np.ones(len(one), bool)
-        for n in range(2, k + 1):
+        yield (ok := _in_map(maps[0], one, width) if maps else np.ones(len(one), bool))
+        for n in range(2, longest + 1):
             ok = ok[:-1] & ok[1:] & (self.piece[: len(ok) - 1] == self.piece[n - 1 :]) if len(ok) else ok
             level = min(n, 3) - 1
             if level < len(maps):
                 ok[ok] = _in_map(maps[level], self.phrases(n)[ok], width)
-        return ok
+            yield ok
+
+    def possible(self, width: int, maps: list[np.ndarray], k: int) -> np.ndarray:
+        """Where a phrase of ``k`` words may begin."""
+        return list(self.starts(width, maps, k))[-1]
+
+    def numbered(self) -> tuple[np.ndarray, pa.Array]:
+        """Each word as its place among the text's different words, and these."""
+        raw = np.frombuffer(self.data, np.uint8)
+        ends = np.concatenate([[0], np.cumsum(self.end - self.begin)]).astype(np.int64)
+        letters = pa.py_buffer(raw[(raw != 32) & (raw != 10)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.begin), [None, pa.py_buffer(ends), letters]).dictionary_encode()
+        return words.indices.to_numpy(), words.dictionary
 
 
 def _in_map(bits: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
@@ -156,7 +164,7 @@ def sketch(texts: DataFrame, width: int, maps: list, ks: tuple[int, ...], least:
         known, held, total = [m.value for m in shared], [], Counter()
         for lang, data in runs(batches):
             words = Words(lang, data)
-            held += [words.phrases(k)[words.possible(width, known, k)] & np.uint64(width - 1) for k in ks]
+            held += [words.phrases(k)[ok] & np.uint64(width - 1) for k, ok in enumerate(words.starts(width, known, max(ks)), 1) if k in ks]
             total[lang] += len(words.begin)
             if sum(map(len, held)) >= HELD:
                 yield from _counted(held, bits)
@@ -211,104 +219,132 @@ def heavy_map(counters: DataFrame, least: int, width: int) -> np.ndarray:
     return out[: bits // 8]
 
 
-def candidates(texts: DataFrame, width: int, maps: list) -> DataFrame:
-    """(lang, phrase, words): all phrases of 2 to 5 words whose bound reaches the threshold."""
+class Shard:
+    """Words of many texts as numbers, and how many words a phrase from each place on may have."""
+
+    def __init__(self):
+        number = numbers()
+        self.known: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(number.__next__))
+        self.ids, self.reach, self.hashes, self.size = [], [], [], 0
+
+    def take(self, lang: str, words: Words, starts: Iterator[np.ndarray]) -> None:
+        reach = np.zeros(len(words.begin), np.uint8)
+        for ok in starts:
+            reach[: len(ok)] += ok
+        at, different = words.numbered()
+        some = np.flatnonzero(reach)
+        first = np.full(len(different), -1)
+        first[at[some]] = some
+        used = np.flatnonzero(first >= 0)
+        names = different.take(pa.array(used)).to_pylist()
+        number = np.full(len(different), -1)
+        number[used] = np.fromiter(map(self.known[lang].__getitem__, names), np.int64, len(names))
+        self.ids.append(number[at].astype(np.int32))
+        self.reach.append(reach)
+        self.hashes.append((number[used], words.phrases(1)[first[used]]))
+        self.size += len(words.data)
+
+    def phrases(self) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+        """For 1 to ``LONGEST`` words: languages by place in ``known``, hashes, phrases and counts of what is there."""
+        total = sum(map(len, self.known.values()))
+        names, lang = pa.array([w for own in self.known.values() for w in own], pa.large_binary()), np.zeros(total, np.int64)
+        place = np.fromiter((i for own in self.known.values() for i in own.values()), np.int64, total)
+        lang[place] = np.repeat(np.arange(len(self.known)), [len(own) for own in self.known.values()])
+        names = names.take(pa.array(np.argsort(place)))
+        one = np.zeros(total, np.uint64)
+        for number, hashes in self.hashes:
+            one[number] = hashes
+        ids, reach = np.concatenate(self.ids), np.concatenate(self.reach)
+        at = np.flatnonzero(reach)
+        code, own, hashes, phrases = ids[at].astype(np.int64), lang, one, names
+        yield own, hashes, phrases, np.bincount(code, minlength=total)
+        for k in range(2, LONGEST + 1):
+            more = reach[at] >= k
+            at, code = at[more], code[more]
+            last = ids[at + k - 1]
+            pairs = pa.array(code * total + last).dictionary_encode()
+            different = pairs.dictionary.to_numpy()
+            code = pairs.indices.to_numpy().astype(np.int64)
+            start, end = different // max(total, 1), different % max(total, 1)
+            own, hashes = own[start], mix64(hashes[start] * _STEP + one[end])
+            phrases = pc.binary_join_element_wise(phrases.take(pa.array(start)), names.take(pa.array(end)), pa.scalar(b" ", pa.large_binary()))
+            yield own, hashes, phrases, np.bincount(code, minlength=len(different))
+
+
+def _packed(shard: Shard, bits: int) -> Iterator[pa.RecordBatch]:
+    """The shard's phrases with their counts, a compressed row for each language and bucket of their hashes."""
+    own, hashes, phrases, counts = zip(*shard.phrases())
+    key = np.concatenate(own) << bits | (np.concatenate(hashes) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, counts = key[order], np.concatenate(counts)[order].astype(np.uint32)
+    phrases = pa.concat_arrays(phrases).take(pa.array(order))
+    _, ends, letters = phrases.buffers()
+    ends, letters = np.frombuffer(ends, np.int64)[: len(phrases) + 1], np.frombuffer(letters, np.uint8)
+    sizes = np.diff(ends).astype(np.uint32)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]).tolist() if len(key) else [0]
+    langs, codec = list(shard.known), pa.Codec("zstd", 1)
+    blocks = [sizes[i:j].tobytes() + counts[i:j].tobytes() + letters[ends[i] : ends[j]].tobytes() for i, j in zip(cuts, cuts[1:])]
+    key = key[cuts[:-1]]
+    columns = [pa.array([langs[k >> bits] for k in key.tolist()], pa.string()), pa.array(key & ((1 << bits) - 1), pa.int64()), pa.array(np.diff(cuts), pa.int64()),
+               pa.array([len(x) for x in blocks], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in blocks], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n", "size", "block"])
+
+
+def _unpacked(n: int, size: int, block: pa.Buffer) -> pa.Table:
+    data = pa.Codec("zstd").decompress(block, size)
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint32, n), dtype=np.int64)])
+    phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), data.slice(8 * n)])
+    return pa.table({"phrase": phrases, "f": pa.array(np.frombuffer(data, np.uint32, n, 4 * n).astype(np.int64))})
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(tables).combine_chunks().group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+    return out.rename_columns(["phrase" if c == "phrase" else "f" for c in out.column_names])
+
+
+def tally(texts: DataFrame, width: int, maps: list, least: int, pass_bytes: int, bits: int) -> DataFrame:
+    """(lang, phrase, f): all phrases of 1 to 5 words that occur ``least`` times, with their exact counts.
+
+    One pass over the text, whatever the number of phrases.  What a task finds
+    travels in ``2**bits`` buckets a language; a bucket's phrases are added up
+    in one task, some ``HELD`` counts at a time.
+    """
     shared = [texts.sparkSession.sparkContext.broadcast(m) for m in maps]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [m.value for m in shared]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, shard = [m.value for m in shared], Shard()
         for lang, data in runs(batches):
             words = Words(lang, data)
-            for k in range(2, LONGEST + 1):
-                at = np.flatnonzero(words.possible(width, known, k))
-                _, first = np.unique(words.phrases(k)[at], return_index=True)
-                at = at[first]
-                found = [data[b:e].decode() for b, e in zip(words.begin[at].tolist(), words.end[at + k - 1].tolist())] if len(at) else []
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array([k] * len(found), pa.int32())], ["lang", "phrase", "words"])
-
-    return texts.mapInArrow(read, "lang string, phrase string, words int").distinct()
-
-
-def _automata(token: str, phrases: dict[str, list[str]]) -> dict:
-    """An automaton for each language, built once a worker and pass."""
-    if token not in _AUTOMATA:
-        _AUTOMATA.clear()
-        built = {}
-        for lang, own in phrases.items():
-            built[lang] = ahocorasick.Automaton()
-            for i, phrase in enumerate(own):
-                built[lang].add_word(f" {phrase} ", i)
-            built[lang].make_automaton()
-        _AUTOMATA[token] = built
-    return _AUTOMATA[token]
-
-
-def occurrences(texts: DataFrame, phrases: dict[str, list[str]]) -> DataFrame:
-    """(lang, phrase, f): exact counts of the phrases, overlapping ones included.
-
-    A task sends its counters as blocks of ``COUNTERS``, so what is shuffled
-    are few rows, whatever the number of phrases found.
-    """
-    shared, token = texts.sparkSession.sparkContext.broadcast(phrases), uuid.uuid4().hex
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, found = shared.value, defaultdict(Counter)
-        for lang, data in runs(batches):
-            if lang in own:
-                guarded = b" " + data.replace(b"\n", b" \n ") + b" "
-                text = (re.sub(rb" {2,}", b" ", guarded) if b"  " in guarded else guarded).decode()
-                found[lang].update(map(itemgetter(1), _automata(token, own)[lang].iter(text)))
-        for lang, counts in found.items():
-            held = np.zeros(-(-len(own[lang]) // COUNTERS) * COUNTERS, np.int64)
-            held[np.fromiter(counts.keys(), np.int64, len(counts))] = np.fromiter(counts.values(), np.int64, len(counts))
-            blocks = held.reshape(-1, COUNTERS)
-            some = np.flatnonzero(blocks.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["lang", "block", "counters"])
+            shard.take(lang, words, words.starts(width, known, LONGEST))
+            if shard.size >= pass_bytes:
+                yield from _packed(shard, bits)
+                shard = Shard()
+        if shard.size:
+            yield from _packed(shard, bits)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, key, sums = shared.value, None, np.zeros(COUNTERS, np.int64)
+        key, held, size, limit = None, [], 0, HELD
 
-        def close() -> pa.RecordBatch:
-            at = np.flatnonzero(sums)
-            lang, block = key or ("", 0)
-            names = [own[lang][block * COUNTERS + i] for i in at]
-            out = pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(names, pa.string()), pa.array(sums[at])], ["lang", "phrase", "f"])
-            sums[:] = 0
-            return out
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                all_of = _summed(held)
+                own = all_of.filter(pc.greater_equal(all_of["f"], least)).combine_chunks()
+                yield from own.set_column(0, "phrase", own["phrase"].cast(pa.string())).add_column(0, "lang", pa.array([key[0]] * len(own), pa.string())).to_batches()
 
         for batch in batches:
-            for lang, block, counters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if (lang, block) != key:
-                    yield close()
-                    key = (lang, block)
-                sums += np.frombuffer(counters.as_buffer(), np.int64)
-        yield close()
+            for lang, bucket, n, length, block in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                if (lang, bucket) != key:
+                    yield from close()
+                    key, held, size, limit = (lang, bucket), [], 0, HELD
+                held.append(_unpacked(n, length, block.as_buffer()))
+                size += n
+                if size >= limit:
+                    held = [_summed(held)]
+                    size, limit = 0, max(HELD, len(held[0]))
+        yield from close()
 
-    blocks = texts.filter(F.col("lang").isin(sorted(phrases))).mapInArrow(scan, "lang string, block long, counters binary")
-    return blocks.repartition("lang", "block").sortWithinPartitions("lang", "block").mapInArrow(add, "lang string, phrase string, f long")
-
-
-def passes(patterns: DataFrame, pass_bytes: int) -> Iterator[dict[str, list[str]]]:
-    """The patterns (lang, phrase) in groups of about ``pass_bytes``; a large language is split by the phrase's hash."""
-    size = patterns.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 2).alias("n")).collect()
-    groups, room = [[]], pass_bytes
-    for lang, n in size:
-        parts = -(-n // pass_bytes)
-        for part in range(parts):
-            if n // parts > room and groups[-1]:
-                groups.append([])
-                room = pass_bytes
-            groups[-1].append((lang, part, parts))
-            room -= n // parts
-    for group in filter(None, groups):
-        own = None
-        for lang, part, parts in group:
-            some = patterns.filter((F.col("lang") == lang) & (F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part))
-            own = some if own is None else own.unionByName(some)
-        out = defaultdict(list)
-        for lang, phrase in own.select("lang", "phrase").collect():
-            out[lang].append(phrase)
-        yield dict(out)
+    rows = texts.mapInArrow(count, "lang string, bucket long, n long, size long, block binary")
+    return rows.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(add, "lang string, phrase string, f long")
 
 
 def scored(counts: DataFrame, totals: DataFrame, least: int) -> DataFrame:
@@ -363,15 +399,7 @@ def mine(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", lea
         maps.append(heavy_map(counters, least, width))
         counters = sketch(texts, width, maps, ks, least)
     maps.append(heavy_map(counters, least, width))
-    found = store(candidates(texts, width, maps), "phrases")
-    w = F.split("phrase", " ")
-    ends = found.select("lang", F.explode(F.array(F.element_at(w, 1), F.element_at(w, -1))).alias("phrase"))
-    patterns = store(found.select("lang", "phrase").unionByName(ends).distinct(), "patterns")
-    path, spark = new_path(docs.sparkSession, "phrase-counts"), docs.sparkSession
-    spark.createDataFrame([], "lang string, phrase string, f long").write.parquet(path)
-    for phrases in passes(patterns, pass_bytes):
-        occurrences(texts, phrases).write.mode("append").parquet(path)
-    counts = spark.read.schema("lang string, phrase string, f long").parquet(path)
+    counts = store(tally(texts, width, maps, least, pass_bytes, min(12, max(6, size.bit_length() - 26))), "phrase-counts")
     best = store(scored(counts, totals, least), "scored-phrases")
     kept = best.join(within_longer(best), ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < percent * F.col("a"), F.lit(True)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

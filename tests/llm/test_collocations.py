@@ -89,3 +89,27 @@ def test_phrase_hashes_follow_words_not_their_place():
     assert h[0] == h[3] == h[5] and h[0] != h[1] and two.phrases(2)[0] != h[0]
     assert one.possible(1 << 20, [], 3).tolist() == [True, False, False, False, False, True]
     assert K.Words("en", b"").possible(16, [], 2).tolist() == [] and np.array_equal(K.Words("en", b" ").phrases(3), [])
+
+
+def test_the_text_is_read_as_often_for_many_phrases_as_for_few(spark):
+    rows = corpus(5, 150)
+    docs, read = made(spark, rows), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    for least, many in ((3, 300), (60, 1)):
+        read.value = 0
+        got = K.mine(docs.mapInArrow(seen, docs.schema), least=least, pass_bytes=300)
+        want = expected(rows, least)
+        assert sorted(map(tuple, got.collect())) == want and len(want) >= many
+        assert read.value == 5 * len(rows)
+
+
+def test_counts_of_a_bucket_are_added_up_a_few_at_a_time(spark, monkeypatch):
+    rows = corpus(8, 120)
+    monkeypatch.setattr(K, "HELD", 20)
+    got = K.mine(made(spark, rows).repartition(5), least=4, pass_bytes=1)
+    assert sorted(map(tuple, got.collect())) == expected(rows, 4)
