@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,21 +102,28 @@ def substitute_variants(variants: DataFrame) -> DataFrame:
 
     A greedy rule along a chromosome: a variant is kept if it starts at or after
     the end of the last kept one.  Only variants that overlap, directly or by
-    others, bear on each other, so the rule runs within each such group.
+    others, bear on each other, so the rule runs within each such group, along
+    sorted rows of many groups.
     """
 
-    def keep(pdf):
-        pdf = pdf.sort_values(["pos", "alt"], kind="stable")
-        end, ok = -1, []
-        for pos, size in zip(pdf["pos"], pdf["ref_len"]):
-            ok.append(pos >= end)
-            if ok[-1]:
-                end = pos + size
-        return pdf[ok].drop(columns="_group")
+    names = variants.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, end = None, -1
+        for batch in batches:
+            ok = []
+            for *group, pos, size in zip(*(batch.column(c).to_pylist() for c in ("chr", "_group", "pos", "ref_len"))):
+                if group != of:
+                    of, end = group, -1
+                ok.append(end is not None and pos >= end)
+                if ok[-1]:
+                    end = None if size is None else pos + size
+            yield batch.filter(pa.array(ok, pa.bool_())).select(names)
 
     last = F.col("pos") + F.greatest(F.col("ref_len"), F.lit(1)) - 1  # groups part where no base is shared
     groups = overlap_clusters(variants.withColumn("_last", last), ["chr"], start="pos", end="_last", name="_group").drop("_last")
-    return groups.groupBy("chr", "_group").applyInPandas(keep, variants.schema)
+    rows = groups.repartition("chr", "_group").sortWithinPartitions("chr", "_group", "pos", F.col("alt").asc_nulls_last())
+    return rows.mapInArrow(keep, variants.schema)
 
 
 def transform_blocks(chromosomes: DataFrame, variants: DataFrame) -> DataFrame:

@@ -126,3 +126,21 @@ def test_ambiguous_bases_as_mismatches(spark):
     df = spark.createDataFrame([("ACGTAGNTC", 4, 9)], "s string, plain int, strict int")
     row = df.select("*", S.adapter_offset(F.col("s"), "AGATC", 0.3).alias("a"), S.adapter_offset(F.col("s"), "AGATC", 0.2, True).alias("b")).first()
     assert (row.a, row.b) == (row.plain, row.strict)
+
+
+def test_variants_are_kept_without_a_call_a_group(spark):
+    import random
+
+    from helixframe.operators import alignments
+
+    r = random.Random(3)
+    rows = sorted({(f"c{r.randrange(3)}", r.randrange(4000), r.choice("ACGT")): r.randint(1, 4) for _ in range(2500)}.items())
+    rows = [(c, pos, size, alt) for (c, pos, alt), size in rows]
+    kept, end = [], {}
+    for c, pos, size, alt in sorted(rows, key=lambda x: (x[0], x[1], x[3])):
+        if pos >= end.get(c, -1):
+            end[c] = pos + size
+            kept.append((c, pos, size, alt))
+    found = alignments.substitute_variants(spark.createDataFrame(rows, "chr string, pos long, ref_len int, alt string").repartition(5))
+    assert sorted(map(tuple, found.collect())) == kept
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
