@@ -42,16 +42,113 @@ def edges(mols: DataFrame, size: int) -> DataFrame:
     return near.join(there, [*CELL_GENE, "other"])
 
 
-def corrected_cr(mols: DataFrame, size: int) -> DataFrame:
-    """(cb, gene, umi, reads, target): each UMI goes to its neighbour of most reads, then largest value, if that is above itself."""
+#: Stands for null in arrays.
+NONE = -(1 << 63)
+
+
+def _targets(group: np.ndarray, umi: np.ndarray, reads: np.ndarray, size: int) -> np.ndarray:
+    """Where each UMI goes; rows are sorted by group (from 0) and UMI, which are unique together."""
+    if not len(umi):
+        return umi
+    width = max(2 * size, int(umi[-1]).bit_length(), int(umi.max()).bit_length())
+    if group[0] != group[-1] and (umi.min() < 0 or width + int(group[-1]).bit_length() > 62):
+        at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        return np.concatenate([_targets(group[i:j], umi[i:j], reads[i:j], size) for i, j in zip(at, at[1:])])
+    code = (group - group[0]) << width
+    keys, n, target = code + umi, reads.copy(), umi.copy()
+    for i in range(size):
+        for d in (1, 2, 3):
+            other = umi ^ (d << (2 * i))
+            at = np.searchsorted(keys, code + other)
+            at[at == len(keys)] = 0
+            theirs = reads[at]
+            up = (keys[at] == code + other) & ((theirs > n) | ((theirs == n) & (other > target)))
+            n, target = np.where(up, theirs, n), np.where(up, other, target)
+    return target
+
+
+CORRECTED = "cb long, gene long, umi long, reads long, target long"
+
+
+def _correct(size: int, per_row: bool):
+    """Sorted molecules of whole cells and genes: their targets, or the number of these."""
+
+    def done(cb, gene, umi, reads) -> pa.RecordBatch:
+        new = np.concatenate([[True], (cb[1:] != cb[:-1]) | (gene[1:] != gene[:-1])])
+        group, target = np.cumsum(new) - 1, umi.copy()
+        known = np.flatnonzero((cb != NONE) & (gene != NONE) & (umi != NONE))  # what is null has no neighbours
+        target[known] = _targets(group[known], umi[known], reads[known], size)
+        array = lambda x: pa.array(x, pa.int64(), mask=x == NONE)
+        if per_row:
+            return pa.RecordBatch.from_arrays([array(x) for x in (cb, gene, umi, reads, target)], ["cb", "gene", "umi", "reads", "target"])
+        order = np.lexsort((target, group))
+        g, t = group[order], target[order]
+        first = np.concatenate([[True], (g[1:] != g[:-1]) | (t[1:] != t[:-1])]) & (t != NONE)
+        value = np.bincount(g[first], minlength=int(new.sum()))
+        return pa.RecordBatch.from_arrays([array(cb[new]), array(gene[new]), pa.array(value.astype(np.int64))], [*CELL_GENE, "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cb, gene, umi, reads = (batch.column(c).fill_null(NONE).to_numpy(zero_copy_only=False) for c in ("cb", "gene", "umi", "reads"))
+            # the last cell and gene may go on in the next batch
+            cut = int(np.flatnonzero((cb != cb[-1]) | (gene != gene[-1]))[-1]) + 1 if (cb[0], gene[0]) != (cb[-1], gene[-1]) else 0
+            if held and (cut or (held[-1][0][-1], held[-1][1][-1]) != (cb[0], gene[0])):
+                same = (held[-1][0][-1], held[-1][1][-1]) == (cb[0], gene[0])
+                end = int(np.flatnonzero((cb == cb[0]) & (gene == gene[0]))[-1]) + 1 if same else 0
+                if end:
+                    held.append((cb[:end], gene[:end], umi[:end], reads[:end]))
+                yield done(*(np.concatenate(x) for x in zip(*held)))
+                held, cb, gene, umi, reads, cut = [], cb[end:], gene[end:], umi[end:], reads[end:], max(cut - end, 0)
+            if cut:
+                yield done(cb[:cut], gene[:cut], umi[:cut], reads[:cut])
+            if len(cb) > cut:
+                held.append((cb[cut:], gene[cut:], umi[cut:], reads[cut:]))
+        if held:
+            yield done(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def _in_tasks(rows: DataFrame, size: int, per_row: bool) -> DataFrame:
+    rows = rows.repartition(*CELL_GENE).sortWithinPartitions(*CELL_GENE, "umi")
+    return rows.mapInArrow(_correct(size, per_row), CORRECTED if per_row else "cb long, gene long, value long")
+
+
+def _by_joins(mols: DataFrame, size: int) -> DataFrame:
     up = edges(mols, size).filter(F.struct("other_reads", "other") > F.struct("reads", "umi"))
     best = up.groupBy(*CELL_GENE, "umi").agg(F.max_by("other", F.struct("other_reads", "other")).alias("target"))
     return mols.join(best, [*CELL_GENE, "umi"], "left").select(*CELL_GENE, "umi", "reads", F.coalesce("target", "umi").alias("target"))
 
 
-def count_cr(mols: DataFrame, size: int) -> DataFrame:
+def _corrected(mols: DataFrame, size: int, large: int, per_row: bool) -> DataFrame:
+    count = lambda rows: rows.groupBy(*CELL_GENE).agg(F.count_distinct("target").alias("value"))
+    rows = mols.select(*(F.col(c).cast("long") for c in (*CELL_GENE, "umi", "reads")))
+    if 4**size <= large:
+        return _in_tasks(rows, size, per_row)
+    rows = stored(rows)
+    big = stored(rows.groupBy(*CELL_GENE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select(*CELL_GENE))
+    if big.isEmpty():
+        return _in_tasks(rows, size, per_row)
+    spread = _by_joins(rows.join(big, CELL_GENE, "left_semi"), size)
+    return _in_tasks(rows.join(big, CELL_GENE, "left_anti"), size, per_row).unionByName(spread if per_row else count(spread))
+
+
+def corrected_cr(mols: DataFrame, size: int, large: int | None = None) -> DataFrame:
+    """(cb, gene, umi, reads, target): each UMI goes to its neighbour of most reads, then largest value, if that is above itself.
+
+    Molecules are dealt by cell and gene once and looked up in sorted arrays;
+    cells and genes of more than ``large`` UMIs (LARGE) meet their neighbours by
+    joins.
+    """
+    return _corrected(mols, size, LARGE if large is None else large, True)
+
+
+def count_cr(mols: DataFrame, size: int, large: int | None = None) -> DataFrame:
     """(cb, gene, value): distinct UMIs after one correction step."""
-    return corrected_cr(mols, size).groupBy(*CELL_GENE).agg(F.count_distinct("target").alias("value"))
+    return _corrected(mols, size, LARGE if large is None else large, False)
 
 
 def _greedy(size: int, rule: str, add: int):
