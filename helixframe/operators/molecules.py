@@ -319,12 +319,16 @@ def filter_cr_corrected(mols: DataFrame, size: int) -> DataFrame:
     The winner on corrected reads must not have fewer uncorrected reads of that
     UMI than another gene.
     """
-    moved = corrected_cr(mols, size).groupBy("cb", F.col("target").alias("umi"), "gene").agg(F.sum("reads").alias("reads"))
-    best = filter_multi_gene(moved, "cr")
-    raw = mols.groupBy("cb", "umi").agg(F.max("reads").alias("_max"))
-    own = mols.select("cb", "umi", "gene", F.col("reads").alias("_own"))
-    rows = best.join(raw, ["cb", "umi"], "left").join(own, ["cb", "umi", "gene"], "left")
-    return rows.filter(F.coalesce("_own", F.lit(0)) >= F.coalesce("_max", F.lit(0))).select("cb", "umi", "gene")
+    own = F.struct("cb", "umi", "gene", F.col("reads").alias("_own"), F.when(F.col("target").eqNullSafe(F.col("umi")), F.col("reads")).alias("_now"))
+    gone = F.struct("cb", F.col("target").alias("umi"), "gene", F.lit(None).cast("long").alias("_own"), F.col("reads").alias("_now"))
+    # a row of each molecule with its own reads and one of what has moved; all meet by cell and UMI
+    rows = corrected_cr(mols, size).select(F.explode(F.when(F.col("target") != F.col("umi"), F.array(own, gone)).otherwise(F.array(own))).alias("m")).select("m.*")
+    sums = rows.groupBy("cb", "umi", "gene").agg(F.sum("_own").alias("_own"), F.sum("_now").alias("_now"))
+    umi = Window.partitionBy("cb", "umi")
+    sums = sums.withColumns({"_most": F.max("_now").over(umi), "_max": F.max("_own").over(umi)})
+    sums = sums.withColumn("_top", F.sum((F.col("_now") == F.col("_most")).cast("int")).over(umi))
+    keep = (F.col("_now") == F.col("_most")) & (F.col("_top") == 1) & (F.coalesce("_own", F.lit(0)) >= F.coalesce("_max", F.lit(0)))
+    return sums.filter(keep).select("cb", "umi", "gene")
 
 
 def cell_stats(mols: DataFrame, counts: DataFrame) -> DataFrame:
