@@ -28,8 +28,8 @@ def tag(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}:i:"), value.cast("string"))
 
 
-def sam_lines(hits: DataFrame, fields: Column | None = None) -> DataFrame:
-    """(read_id, hit, line) of ranked alignments.
+def sam_lines(hits: DataFrame, fields: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(read_id, hit, line) of ranked alignments, and the columns to ``keep``.
 
     Needs read_id, hit, n_loci, mapq, chr_name, start (0-based), is_reverse,
     cigar (text), seq, qual, score, n_mismatch; null sequences are ``*``.
@@ -47,7 +47,7 @@ def sam_lines(hits: DataFrame, fields: Column | None = None) -> DataFrame:
         F.when(F.col("is_reverse"), F.reverse(star("qual"))).otherwise(star("qual")),
         F.when(fields != "", fields),
     )
-    return hits.select("read_id", "hit", line.alias("line"))
+    return hits.select("read_id", "hit", line.alias("line"), *keep)
 
 
 def header_lines(chromosomes: DataFrame) -> DataFrame:

@@ -17,31 +17,35 @@ from helixframe.sinks.text import FINAL_REPORT, matrix_files
 RATE = {"unique_reads": "unique_share", "multi_reads": "multi_share", "many_reads": "many_share"}
 
 
-def write_ordered(body: DataFrame, order: list[str], head: list[str], path: str) -> None:
-    """Write column ``value`` of ``body`` below the lines of ``head``, sorted by the columns of ``order``."""
+def write_ordered(body: DataFrame, order: list[str], head: list[str], path: str, compression: str = "none") -> None:
+    """Write column ``value`` of ``body`` below the lines of ``head``, sorted by the columns of ``order``; ``compression`` is a codec's name."""
     keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order)]
     lines = body.select(F.lit(1).alias("_at"), F.lit(0).alias("_n"), *keys, "value")
     top = body.sparkSession.createDataFrame([(i, x) for i, x in enumerate(head)], "_n int, value string").withColumn("_at", F.lit(0))
     whole = lines.unionByName(top, allowMissingColumns=True)
-    whole.orderBy("_at", "_n", *(f"_k{i}" for i in range(len(order)))).select("value").write.text(path)
+    whole.orderBy("_at", "_n", *(f"_k{i}" for i in range(len(order)))).select("value").write.text(path, compression=compression)
 
 
-def sam_set(hits: DataFrame, chromosomes: DataFrame, path: str, *, sort: str = "coordinate", extra: tuple[str, ...] = ()) -> None:
+def sam_set(hits: DataFrame, chromosomes: DataFrame, path: str, *, sort: str = "coordinate", extra: tuple[str, ...] = (), compression: str = "none") -> None:
     """SAM text with its header: ``hits`` as ``records.sam_lines`` takes them, chromosomes (chr, chr_name, length).
 
     ``sort`` is ``coordinate`` (chromosome in the order of ``chr``, start, then
     read and hit) or ``unsorted`` (read and hit).  ``extra`` are further header
-    lines.  The header is one line a chromosome.
+    lines.  The header is one line a chromosome, and these lines are broadcast
+    to order the others.  ``compression`` is the codec of the parts.
     """
     if sort not in ("coordinate", "unsorted"):
         raise ValueError("sort must be coordinate or unsorted")
-    names = [f"@SQ\tSN:{r.chr_name}\tLN:{r.length}" for r in chromosomes.orderBy("chr").select("chr_name", "length").collect()]
-    lines = sam_lines(hits).withColumnRenamed("line", "value")
+    rows = chromosomes.orderBy("chr").select("chr", "chr_name", "length").collect()
+    names = [f"@SQ\tSN:{r.chr_name}\tLN:{r.length}" for r in rows]
     order = ["read_id", "hit"]
     if sort == "coordinate":
-        place = hits.join(chromosomes.select("chr_name", F.col("chr").alias("_chr")), "chr_name").select("read_id", "hit", "_chr", F.col("start").alias("_start"))
-        lines, order = lines.join(place, ["read_id", "hit"]), ["_chr", "_start", "read_id", "hit"]
-    write_ordered(lines, order, [f"@HD\tVN:1.4\tSO:{sort}", *names, *extra], path)
+        kind = chromosomes.select("chr_name", F.col("chr").alias("_chr")).schema
+        places = hits.sparkSession.createDataFrame([(r.chr_name, r.chr) for r in rows], kind)
+        hits = hits.withColumn("_start", F.col("start")).join(F.broadcast(places), "chr_name")
+        order = ["_chr", "_start", *order]
+    lines = sam_lines(hits, keep=tuple(order[:-2])).withColumnRenamed("line", "value")
+    write_ordered(lines, order, [f"@HD\tVN:1.4\tSO:{sort}", *names, *extra], path, compression)
 
 
 def junction_set(matrix: DataFrame, junctions: DataFrame, barcodes: DataFrame, path: str) -> dict[str, int]:
