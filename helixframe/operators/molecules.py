@@ -373,10 +373,11 @@ def share_multi_em(unique: DataFrame, sets: DataFrame, rounds: int = 100, tolera
     its different sets.  Cells of up to ``large`` entries are arrays of one
     task; larger ones go through :func:`em_rounds`.
     """
-    sets = sets.join(unique.select("cb").distinct(), "cb").select(F.col("cb").cast("long").alias("cb"), "molecule", F.col("gene").cast("long").alias("gene"))
+    fixed = stored(unique.select(F.col("cb").cast("long").alias("cb"), F.col("gene").cast("long").alias("gene"), F.col("value").cast("double").alias("u")))
+    sets = sets.select(F.col("cb").cast("long").alias("cb"), "molecule", F.col("gene").cast("long").alias("gene"))
     classes = sets.groupBy("cb", "molecule").agg(F.sort_array(F.collect_list("gene")).alias("genes")).groupBy("cb", "genes").agg(F.count(F.lit(1)).alias("n"))
-    classes = stored(classes)
-    fixed = unique.select(F.col("cb").cast("long").alias("cb"), F.col("gene").cast("long").alias("gene"), F.col("value").cast("double").alias("u"))
+    # cells are chosen among classes, of which there are fewer than molecules
+    classes = stored(classes.join(fixed.select("cb").distinct(), "cb"))
     big = classes.groupBy("cb").agg(F.sum(F.size("genes")).alias("k")).filter(F.col("k") > large).select("cb")
     if big.isEmpty():
         return _em_arrays(fixed, classes, rounds, tolerance)
@@ -413,31 +414,115 @@ def _em_arrays(fixed: DataFrame, classes: DataFrame, rounds: int, tolerance: flo
     return both.groupBy("cb").applyInArrow(run, "cb long, gene long, value double")
 
 
-def em_rounds(fixed: DataFrame, classes: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """(cb, gene, value) of unique counts (cb, gene, u) and classes (cb, genes, n), a round a join.
+#: Entries of a block of classes, and counts (cells times genes) that go through the driver at once.
+BLOCK, STATE = 200_000, 100_000
 
-    A round deals the classes' entries by cell and gene, then by cell and
-    class, so one cell is spread over tasks.  A cell whose counts have moved by
-    less than ``tolerance`` stays as it is; the rounds end when all have.
+BLOCKS = "cb long, gene binary, class binary, n binary"
+
+
+def _blocks(classes: DataFrame) -> DataFrame:
+    """Classes (cb, genes, n) packed by cell: of each entry its gene, of each class its size and number."""
+
+    def pack(cb: int, genes: list, n: list) -> pa.RecordBatch:
+        size = np.array([len(g) for g in genes], np.int32)
+        flat = np.concatenate([np.asarray(g, np.int64) for g in genes])
+        return pa.RecordBatch.from_arrays([pa.array([cb], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (flat, size, np.array(n, np.float64)))], ["cb", "gene", "class", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, genes, held, entries = None, [], [], 0
+        for batch in batches:
+            for cb, g, n in zip(*(batch.column(c).to_pylist() for c in ("cb", "genes", "n"))):
+                if held and (cb != of or entries >= BLOCK):
+                    yield pack(of, genes, held)
+                    genes, held, entries = [], [], 0
+                of = cb
+                genes.append(g)
+                held.append(n)
+                entries += len(g)
+        if held:
+            yield pack(of, genes, held)
+
+    # dealt at random, as the classes of a cell are to be spread; sorted, so that a cell's lie together
+    rows = classes.filter(F.size("genes") > 0).repartition(F.xxhash64("cb", "genes")).sortWithinPartitions("cb")
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def _shares(theta: dict):
+    """What a round gives to the genes of each cell: theta is cb -> (genes in order, counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for cb, gene, size, n in zip(*(batch.column(c).to_pylist() for c in ("cb", "gene", "class", "n"))):
+                if cb not in theta.value:
+                    continue
+                names, value = theta.value[cb]
+                at, size, n = np.searchsorted(names, np.frombuffer(gene, np.int64)), np.frombuffer(size, np.int32), np.frombuffer(n)
+                held = value[at]
+                total = np.add.reduceat(held, np.concatenate([[0], np.cumsum(size)[:-1]]))
+                # per entry: the share of its class, equal parts where all counts are 0
+                weight = np.repeat(np.where(total > 0, n / np.where(total > 0, total, 1), 0), size)
+                even = np.repeat(np.where(total > 0, 0, n / size), size)
+                part = np.bincount(at, weight * held + even, len(names))
+                sums[cb] = sums[cb] + part if cb in sums else part
+        for cb, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([cb], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["cb", "part"])
+
+    return run
+
+
+def em_rounds(fixed: DataFrame, classes: DataFrame, rounds: int = 100, tolerance: float = 1e-6, state: int | None = None) -> DataFrame:
+    """(cb, gene, value) of unique counts (cb, gene, u) and classes (cb, genes, n), for cells too large for one task.
+
+    The classes of a cell lie in blocks of ``BLOCK`` entries over many tasks
+    and are never moved again.  A round sends the counts of the cells to the
+    tasks and adds up what comes back; the driver holds those of some cells at
+    once, ``state`` counts or one cell.  A cell whose counts have moved by less
+    than ``tolerance`` stays as it is.
     """
-    entry = stored(classes.select("cb", F.xxhash64("genes").alias("class"), F.size("genes").alias("size"), F.col("n").cast("double").alias("n"), F.explode("genes").alias("gene")))
-    every = fixed.select("cb", "gene", "u").unionByName(entry.select("cb", "gene", F.lit(0.0).alias("u"))).groupBy("cb", "gene").agg(F.sum("u").alias("u"))
-    theta, done = stored(every.withColumn("value", F.col("u"))), []
+    spark, state = fixed.sparkSession, state or STATE
+    blocks = stored(_blocks(classes))
+    every = fixed.select("cb", "gene", "u").unionByName(classes.select("cb", F.explode("genes").alias("gene"), F.lit(0.0).alias("u")))
+    every = stored(every.groupBy("cb", "gene").agg(F.sum("u").alias("u")))
+    out = None
+    group: list[int] = []
+    held = 0
+    sizes = every.groupBy("cb").agg(F.count(F.lit(1)).alias("k")).orderBy("cb").collect()  # one row a large cell
+    for i, r in enumerate(sizes):
+        group.append(r.cb)
+        held += r.k
+        if i + 1 < len(sizes) and held + sizes[i + 1].k <= state:
+            continue
+        done = stored(_em_together(spark, every.filter(F.col("cb").isin(group)), blocks.filter(F.col("cb").isin(group)), rounds, tolerance))
+        out = done if out is None else out.unionByName(done)
+        group, held = [], 0
+    return every.select("cb", "gene", F.col("u").alias("value")) if out is None else out
+
+
+def _em_together(spark, every: DataFrame, blocks: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    rows = every.toArrow().sort_by([("cb", "ascending"), ("gene", "ascending")])
+    cb, gene, u = (rows.column(c).to_numpy() for c in ("cb", "gene", "u"))
+    at = np.flatnonzero(np.concatenate([[True], cb[1:] != cb[:-1], [True]]))
+    of = {int(cb[i]): slice(i, j) for i, j in zip(at, at[1:])}
+    value, open_ = u.astype(np.float64), list(of)
     for _ in range(rounds):
-        held = entry.join(theta.select("cb", "gene", "value"), ["cb", "gene"])
-        total = held.groupBy("cb", "class").agg(F.sum("value").alias("total"))
-        share = F.when(F.col("total") > 0, F.col("value") / F.col("total")).otherwise(1 / F.col("size"))
-        parts = held.join(total, ["cb", "class"]).groupBy("cb", "gene").agg(F.sum(F.col("n") * share).alias("part"))
-        new = stored(theta.join(parts, ["cb", "gene"], "left").select("cb", "gene", "u", F.col("value").alias("was"), (F.col("u") + F.coalesce("part", F.lit(0.0))).alias("value")))
-        still = stored(new.groupBy("cb").agg(F.sum(F.abs(F.col("value") - F.col("was"))).alias("moved")).filter(F.col("moved") < tolerance).select("cb"))
-        done.append(new.join(still, "cb", "left_semi").select("cb", "gene", "value"))
-        theta = stored(new.drop("was").join(still, "cb", "left_anti"))
-        if theta.isEmpty():
+        theta = spark.sparkContext.broadcast({c: (gene[of[c]], value[of[c]]) for c in open_})
+        parts: dict = {c: [] for c in open_}
+        for r in blocks.mapInArrow(_shares(theta), "cb long, part binary").collect():
+            parts[r.cb].append(r.part)
+        theta.destroy()
+        still = []
+        for c in open_:
+            # in one order, whatever the order of the tasks
+            new = u[of[c]] + sum((np.frombuffer(p) for p in sorted(parts[c])), np.zeros(of[c].stop - of[c].start))
+            moved = np.abs(new - value[of[c]]).sum()
+            value[of[c]] = new
+            if moved >= tolerance:
+                still.append(c)
+        open_ = still
+        if not open_:
             break
-    out = theta.select("cb", "gene", "value")
-    for some in done:
-        out = out.unionByName(some)
-    return out
+    return spark.createDataFrame(pa.table([pa.array(cb), pa.array(gene), pa.array(value)], ["cb", "gene", "value"]))
 
 
 #: How molecules of several genes are dealt with, by name.

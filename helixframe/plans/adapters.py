@@ -6,7 +6,7 @@ both engines agree: as a function here and as a WITH clause in ``SQL``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CB_BASES = 8
@@ -96,18 +96,21 @@ def positions(spark, d):
     )
 
 
+def _gene_rows(spark, d):
+    """(cb, molecule, gene), each once; dealt by molecule, so what is done by molecule deals nothing again."""
+    x = table(spark, d, "lineitem").select((F.col("l_orderkey") % 20).alias("cb"), F.col("l_orderkey").alias("molecule"), (F.col("l_partkey") % 40).alias("gene"))
+    return x.repartition("molecule").distinct()
+
+
 def gene_sets(spark, d):
     """(cb, molecule, gene): molecules with several genes, one row for each."""
-    x = table(spark, d, "lineitem").select((F.col("l_orderkey") % 20).alias("cb"), F.col("l_orderkey").alias("molecule"), (F.col("l_partkey") % 40).alias("gene"))
-    rows = x.distinct()
-    many = rows.groupBy("cb", "molecule").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("cb", "molecule")
-    return rows.join(many, ["cb", "molecule"])
+    n = F.count(F.lit(1)).over(Window.partitionBy("cb", "molecule"))
+    return _gene_rows(spark, d).withColumn("k", n).filter("k > 1").drop("k")
 
 
 def unique_genes(spark, d):
     """(cb, gene, value) of molecules with one gene."""
-    x = table(spark, d, "lineitem").select((F.col("l_orderkey") % 20).alias("cb"), F.col("l_orderkey").alias("molecule"), (F.col("l_partkey") % 40).alias("gene"))
-    one = x.distinct().groupBy("cb", "molecule").agg(F.count(F.lit(1)).alias("k"), F.min("gene").alias("gene")).filter("k = 1")
+    one = _gene_rows(spark, d).groupBy("cb", "molecule").agg(F.count(F.lit(1)).alias("k"), F.min("gene").alias("gene")).filter("k = 1")
     return one.groupBy("cb", "gene").agg(F.count(F.lit(1)).alias("value"))
 
 
