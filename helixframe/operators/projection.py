@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
 from helixframe.operators.filters import PROJECTIONS, projectable
+from helixframe.operators.intervals import contain_join
 from helixframe.operators.records import cigar_text, flag
 from helixframe.operators.seeds import TILE
-from helixframe.operators.transcripts import concordant
+from helixframe.operators.transcripts import with_offsets
 
 
 def _op(kind: str, size: Column) -> Column:
@@ -28,17 +29,15 @@ def _op_like(out: Column, c: Column) -> Column:
     return F.struct(c["op"].alias("op"), (F.element_at(out, -1)["len"] + c["len"]).alias("len"))
 
 
-def segments(aln: DataFrame) -> DataFrame:
-    """(read_id, block_no, n_blocks, chr, start, end): the stretches between introns of alignments (aln_id, chr, start, cigar as parsed)."""
+def stretches(cigar: Column, start: Column) -> Column:
+    """[(start, end)]: what a parsed CIGAR covers between introns."""
     step = lambda s, c: F.struct(
         F.when(c["op"].isin("M", "D", "N", "=", "X"), s["at"] + c["len"]).otherwise(s["at"]).alias("at"),
         F.when(c["op"] == "N", s["at"] + c["len"]).otherwise(s["begin"]).alias("begin"),
         F.when(c["op"] == "N", F.concat(s["out"], F.array(F.struct(s["begin"].alias("start"), s["at"].alias("end"))))).otherwise(s["out"]).alias("out"),
     )
-    first = F.struct(F.col("start").cast("long").alias("at"), F.col("start").cast("long").alias("begin"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
-    all_of = F.aggregate("cigar", first, step, lambda s: F.concat(s["out"], F.array(F.struct(s["begin"].alias("start"), s["at"].alias("end")))))
-    rows = aln.select("aln_id", "chr", all_of.alias("b")).select("aln_id", "chr", F.size("b").alias("n_blocks"), F.posexplode("b").alias("block_no", "b"))
-    return rows.select(F.col("aln_id").alias("read_id"), "block_no", "n_blocks", "chr", "b.start", "b.end")
+    first = F.struct(start.cast("long").alias("at"), start.cast("long").alias("begin"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+    return F.aggregate(cigar, first, step, lambda s: F.concat(s["out"], F.array(F.struct(s["begin"].alias("start"), s["at"].alias("end")))))
 
 
 def clip_sizes(cigar: Column) -> tuple[Column, Column]:
@@ -99,9 +98,33 @@ def projected(aln: DataFrame, exons: DataFrame, *, mode: str = "ban_indels_exten
     if not PROJECTIONS[mode][1] and parts is not None:
         clipped = F.exists("cigar", lambda c: c["op"] == "S")
         rows = rows.filter(~clipped).unionByName(extended(rows.filter(clipped), parts, tile=tile))
-    found = concordant(segments(rows), exons.select("transcript", "chr", "start", "end")).withColumnRenamed("read_id", "aln_id")
-    strand = exons.groupBy("transcript").agg(F.first("strand").alias("strand"))
-    both = found.join(rows.select("aln_id", "read_id", "cigar", "is_reverse", "n_mismatch"), "aln_id").join(strand, "transcript")
+    # an alignment meets the exons that hold its first stretch, each of which brings all of its transcript's exons
+    per = Window.partitionBy("transcript")
+    model = with_offsets(exons.select("transcript", "chr", "start", "end", "strand"))
+    model = model.withColumns({"strand": F.first("strand").over(per), "t_length": F.sum(F.col("end") - F.col("start")).over(per)})
+    all_of = F.sort_array(F.collect_list(F.struct("exon_no", "start", "end", "offset")).over(Window.partitionBy("transcript", "chr")))
+    model = model.select("chr", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "transcript", "exon_no", "strand", "t_length", all_of.alias("_exons"))
+    slim = rows.withColumn("_first", stretches(F.col("cigar"), F.col("start"))[0])
+    slim = slim.select("aln_id", "read_id", "chr", "start", F.col("_first.end").alias("end"), cigar_text(F.col("cigar")).alias("_text"), "is_reverse", "n_mismatch")
+    # an array of one, exploded, is made once a row; an alias would be put into each of its uses
+    once = lambda value: F.explode(F.array(value))
+    both = contain_join(slim, model).withColumn("cigar", once(S.parse_cigar(F.col("_text"))))
+    both = both.withColumn("_blocks", once(stretches(F.col("cigar"), F.col("start"))))
+    both = both.withColumn("_n", once(F.size("_blocks")))
+    n = F.col("_n")
+
+    def holds(e: Column, b: Column, i: Column) -> Column:
+        edges = ((i == 0) | (b["start"] == e["start"])) & ((i == n - 1) | (b["end"] == e["end"]))
+        return (e["start"] <= b["start"]) & (e["end"] >= b["end"]) & edges
+
+    inside = lambda e, at: e["offset"] + at - e["start"]
+    hit = lambda b, i: F.transform(F.filter("_exons", lambda e: holds(e, b, i)), lambda e: F.struct(
+        e["exon_no"].alias("no"), inside(e, b["start"]).alias("a"), inside(e, b["end"]).alias("b")))
+    both = both.withColumn("_hits", once(F.transform("_blocks", hit)))
+    both = both.filter(F.try_element_at(F.col("_hits")[0], F.lit(1))["no"] == F.col("exon_no")).withColumn("_hits", F.flatten("_hits"))
+    of = lambda f: F.transform("_hits", lambda h: h[f])
+    both = both.filter((F.size("_hits") == n) & (F.array_max(of("no")) - F.array_min(of("no")) + 1 == n))
+    both = both.withColumns({"t_start": F.array_min(of("a")), "to_end": F.col("t_length") - F.array_max(of("b"))})
     turned = F.col("strand") == "-"
     cigar = merged(F.col("cigar"))
     return both.select("aln_id", "read_id", "transcript", F.when(turned, F.col("to_end")).otherwise(F.col("t_start")).alias("t_start"),

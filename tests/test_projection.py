@@ -104,3 +104,14 @@ def test_pairs_need_both_mates_on_one_transcript(spark):
     for hit in (1, 2):
         flags = sorted(r.flag for r in got if r.hit == hit)
         assert [f & 0x3 for f in flags] == [3, 3] and {f & 0xC0 for f in flags} == {64, 128} and {f & 0x30 for f in flags} == {16, 32}
+
+
+def test_projection_moves_an_alignment_once_and_needs_each_exon_once(spark):
+    """Overlapping exons of one transcript give no row where a stretch lies in two of them; no join but that with the exons."""
+    exons = [("t", "c", 100, 200, "+"), ("t", "c", 300, 400, "+"), ("u", "c", 100, 200, "-"), ("u", "c", 150, 260, "-")]
+    rows = [(1, 1, "c", 120, 330, "80M100N30M", False, 0), (2, 2, "c", 120, 140, "20M", True, 0), (3, 3, "c", 160, 180, "20M", False, 0), (4, 4, "c", 120, 330, "79M101N30M", False, 0)]
+    aln = spark.createDataFrame(rows, "aln_id long, read_id long, chr string, start long, end long, cigar string, is_reverse boolean, n_mismatch int")
+    out = projection.projected(aln, spark.createDataFrame(exons, "transcript string, chr string, start long, end long, strand string"), mode="keep")
+    got = sorted((r.aln_id, r.transcript, r.t_start, r.cigar, r.is_reverse) for r in out.collect())
+    assert got == [(1, "t", 20, "110M", False), (2, "t", 20, "20M", True), (2, "u", 170, "20M", False), (3, "t", 60, "20M", False)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
